@@ -19,6 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def bucket_codes(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES, p
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the usable vectors and their float32 matrix: ``dim`` finite components, not all zero."""
-    lengths = np.asarray(pa.compute.list_value_length(column).fill_null(-1))
+    lengths = np.asarray(pc.list_value_length(column).fill_null(-1))
     rows = np.flatnonzero(lengths == dim)
     if not len(rows):
         return rows, np.zeros((0, dim), np.float32)
