@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import neardup, splitting, vectors
+from lodesift.llm import neardup, packing, splitting, tokens, vectors
 from lodesift.runtime import table
 
 # ------------------------------------------------------------------ problem 1
@@ -87,6 +87,30 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.distinct()
 
 
+# ------------------------------------------------------------------ problems 5 and 6
+
+
+def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), "ids")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "id", "n_tokens").withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are: one row."""
+    filled = p6_containers(spark, folder).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    return filled.where("used > 0").agg(
+        F.count("*").alias("containers"),
+        F.sum("used").alias("tokens"),
+        F.max("used").alias("fullest"),
+        (1 - F.sum("used") / (F.count("*") * packing.CAPACITY)).alias("unused_share"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -95,6 +119,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_groups": p2_groups,
         "p3_found": p3_found,
         "p3_neighbours": p3_neighbours,
+        "p5_ids": p5_ids,
+        "p6_containers": p6_containers,
+        "p6_fill": p6_fill,
     }
 
 

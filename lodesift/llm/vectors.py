@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodesift.runtime import cut, keep_keys
 
-TABLES, HASHES, PROBES = 6, 2, 2
+TABLES, HASHES, PROBES = 8, 2, 2
 BLOCK = 4096
 SEED = 20240611
 #: Four-bit components put a cosine off by 0.03 (one standard deviation); the floor gives three of it.
