@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import neardup, packing, splitting, tokens, vectors
+from lodesift.llm import abuse, neardup, packing, pairs, splitting, tokens, vectors
 from lodesift.runtime import table
 
 # ------------------------------------------------------------------ problem 1
@@ -87,6 +87,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.distinct()
 
 
+# ------------------------------------------------------------------ problem 4
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "qa_set").select("qid", "question", "reference_answer").where(F.col("qid").isNotNull()).distinct()
+    own = asked.select(F.lit("qa_set").alias("src"), F.col("qid").alias("pair_key"), "qid", "question", F.col("reference_answer").alias("answer"))
+    by_qid = asked.groupBy("qid").agg(F.max("question").alias("question"))
+    runs = table(spark, folder, "answers").select("answer_id", "qid", "answer").join(by_qid, "qid")
+    runs = runs.select(F.lit("answers").alias("src"), F.col("answer_id").cast("string").alias("pair_key"), "qid", "question", "answer")
+    return own.unionByName(runs)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken_pairs(_pairs(spark, folder))
+
+
 # ------------------------------------------------------------------ problems 5 and 6
 
 
@@ -111,6 +127,30 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------ problem 7
+
+
+def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.score_documents(table(spark, folder, "documents"), table(spark, folder, "review_labels"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_scores(spark, folder).where("flagged").select("doc_id")
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source (spellings joined): documents, flagged ones, their share and the mean score."""
+    source = F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim("source")), r"[^a-z0-9]+", "_"), F.lit("")), F.lit("unknown"))
+    docs = table(spark, folder, "documents").select("doc_id", source.alias("source"))
+    both = docs.join(p7_scores(spark, folder), "doc_id")
+    return both.groupBy("source").agg(
+        F.count("*").alias("documents"),
+        F.count_if("flagged").alias("flagged"),
+        F.avg(F.col("flagged").cast("double")).alias("rate"),
+        F.avg("score").alias("mean_score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -119,9 +159,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_groups": p2_groups,
         "p3_found": p3_found,
         "p3_neighbours": p3_neighbours,
+        "p4_found": p4_found,
         "p5_ids": p5_ids,
         "p6_containers": p6_containers,
         "p6_fill": p6_fill,
+        "p7_found": p7_found,
+        "p7_scores": p7_scores,
+        "p7_rates": p7_rates,
     }
 
 
