@@ -232,6 +232,31 @@ def class_links(sig: DataFrame, share: Fraction) -> DataFrame:
     return pairs.join(one, "cls_a").join(two, "cls_b").where(within & sized).select("cls_a", "cls_b")
 
 
+def links_between(left: DataFrame, right: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, other): texts of ``left`` that are similar to one of ``right``; both have unique (key, text).
+
+    The same filters as :func:`class_links`, but only pairs of a left and a right text are met, so a
+    large family of similar left texts costs nothing. The last test is the Hamming check on the sketches.
+    """
+    share = Fraction(str(similarity))
+
+    def side(df: DataFrame) -> DataFrame:
+        return sign(df, "key", "text", None, words).where(F.col("boxes").isNotNull())
+
+    def posts(sig: DataFrame) -> DataFrame:
+        turned = F.expr("shiftrightunsigned(ring, box * 2) | shiftleft(ring, 64 - box * 2)").alias("ring")
+        flat = sig.select("key", "ring", "n", *_SKETCH, F.posexplode("boxes").alias("box", "start"))
+        return flat.select("key", "n", *_SKETCH, "start", turned)
+
+    a, b = posts(side(left)), posts(side(right))
+    b = b.select([F.col(c).alias(f"{c}_b") for c in b.columns])
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
+    num, den = share.numerator, share.denominator
+    within = apart * (den + num) <= (F.col("n") + F.col("n_b")) * (den - num)
+    met = a.join(b, (F.col("start") == F.col("start_b")) & _chain_ok(F.col("ring"), F.col("ring_b")) & within)
+    return met.select("key", F.col("key_b").alias("other")).distinct()
+
+
 def _sets(df: DataFrame, words: int) -> DataFrame:
     """(cls, text) -> (cls, shingles): the exact sets, as hashes."""
 
