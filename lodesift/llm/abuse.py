@@ -30,14 +30,18 @@ DIMS = 1 << 18
 GRAM = 5
 BLOCK = 64
 #: At most so many labelled documents serve as examples, taken in the order of a hash of their id.
-MOST_LABELLED = 20_000
-FLOOR = 0.30
+MOST_LABELLED = 8_000
+FLOOR = 0.35
 NEIGHBOURS = 15
 SEGMENT_WORDS, STEP_WORDS = 26, 13
 SEED_WEIGHT = 0.02
 #: Segments of flagged documents stay examples if their neighbours elsewhere vote so, or, without
 #: neighbours, if three of their terms are in fewer than one segment in a thousand.
-EDIT, RARE = 0.5, 6.9
+EDIT, EDIT_FLOOR, RARE = 0.5, 0.25, 6.9
+#: Terms of this inverse frequency (in fewer than one segment in 150) count as rare.
+RARE_TERM = 5.0
+#: Offensive examples are kept in tiers by the length of their common part.
+TIERS = (0.0, 0.1, 0.18, 0.25, 0.31, 0.45, 0.65, 1.01)
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOK_ALIKES = str.maketrans(
@@ -45,7 +49,8 @@ _LOOK_ALIKES = str.maketrans(
     "aabbcceehhkkmmooppttxxyyiijjssdhlaabbeehhiikkmmnnoopptt" + "yyxx",
 )
 _SIGNS = str.maketrans("@431!0$57€", "aaeiiosste")
-_SIGN_WORD = re.compile(r"\S*[^\W\d_][@4310!$57€]+[^\W\d_@43!0$57€]?\S*|\S*[@4310$57€]+[^\W\d_]\S*", re.U)
+_SIGN_WORD = re.compile(r"[^\W\d_][@4310$57€]|[@4310$57€!][^\W\d_]", re.U)
+_ODD = re.compile("[\u00ad\u0300-\u036f\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
 _NAMES = re.compile(r"\b[A-Z][a-z]{2,}[A-Z]\w+|\b[A-Z]\w+-(?:\d+k|Eval)\b|\[[\w:.#/-]+\]")
 _ENDS = re.compile(r"(?<=[.!?。！？])\s+|\n+|(?<=[。！？])")
 _REPEATS = re.compile(r"([^\W\d_])\1+", re.U)
@@ -57,9 +62,11 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+", re.U)
 def fold(segment: str) -> str:
     """The lower-case words of a segment, each between spaces, spelling tricks undone, repeats collapsed."""
     s = _NAMES.sub(" ", segment)
-    s = unicodedata.normalize("NFKD", s).translate(_LOOK_ALIKES).lower()
-    s = "".join(c for c in s if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    s = _SIGN_WORD.sub(lambda m: m.group(0).translate(_SIGNS), s)
+    if not s.isascii():
+        s = _ODD.sub("", unicodedata.normalize("NFKD", s)).translate(_LOOK_ALIKES)
+    s = s.lower()
+    if _SIGN_WORD.search(s):
+        s = " ".join(w.translate(_SIGNS) if _SIGN_WORD.search(w) else w for w in s.split(" "))
     s = _SPREAD.sub(lambda m: _GAPS.sub("", m.group(0)), s)
     s = _REPEATS.sub(r"\1", s.replace("*", "").replace("'", " "))
     words = _NOT_LETTERS.sub(" ", s).strip()
@@ -141,7 +148,7 @@ class BlockMaxIndex:
         self.ptr = np.r_[0, np.cumsum(sizes)].astype(np.int64)
         take = np.repeat(ptr[:-1][order] - self.ptr[:-1], sizes) + np.arange(len(terms))
         self.terms, self.w = terms[take].astype(np.int32), w[take]
-        block = np.repeat(np.arange(rows) // BLOCK, sizes)
+        block = np.repeat(np.arange(rows) // BLOCK, sizes).astype(np.int64)
         self.blocks = -(-rows // BLOCK)
         key = self.terms.astype(np.int64) * max(self.blocks, 1) + block
         by = np.argsort(key, kind="stable")
@@ -181,6 +188,44 @@ class BlockMaxIndex:
         return np.concatenate(rows), np.concatenate(cosines)
 
 
+class Offences:
+    """The offensive examples, split by what their common terms alone could contribute.
+
+    An example whose common part is shorter than the floor can only be reached over a rare term, since
+    the common parts of two unit rows have at most the product of their lengths in common. Its index
+    is asked only by segments that share rare terms with it; the others have their own index.
+    """
+
+    def __init__(self, ptr: np.ndarray, terms: np.ndarray, w: np.ndarray, idf: np.ndarray) -> None:
+        self.rare = idf >= RARE_TERM
+        part = np.where(self.rare[terms], 0, w).astype(float)
+        size = np.sqrt(np.add.reduceat(part * part, ptr[:-1])) if len(w) else np.zeros(0)
+        self.indexes, self.common = [], []
+        bag = Bags(ptr, terms, np.zeros(0), np.zeros(0))
+        for low, high in zip(TIERS, TIERS[1:]):
+            rows = np.flatnonzero((size >= low) & (size < high))
+            if len(rows):
+                self.indexes.append(BlockMaxIndex(*_pick(bag, w, rows)))
+                self.common.append(float(size[rows].max()))
+
+    def reachable(self, b: Bags, w: np.ndarray) -> np.ndarray:
+        """For each row of ``b`` and each tier, whether a bound allows it to reach the floor."""
+        out = np.zeros((len(b.owner), len(self.indexes)), bool)
+        if not len(w):
+            return out
+        rare = self.rare[b.terms]
+        start = b.ptr[:-1]
+        common = np.sqrt(np.add.reduceat(np.where(rare, 0, w).astype(float) ** 2, start))
+        for k, (index, most) in enumerate(zip(self.indexes, self.common)):
+            by_rare = np.add.reduceat(np.where(rare, w * index.top[b.terms], 0), start)
+            by_common = np.add.reduceat(np.where(rare, 0, w * index.top[b.terms]), start)
+            out[:, k] = by_rare + np.minimum(by_common, common * most) >= FLOOR - 1e-6
+        return out
+
+    def near(self, terms: np.ndarray, w: np.ndarray, scratch: np.ndarray, tiers: np.ndarray) -> bool:
+        return any(len(self.indexes[k].search(terms, w, FLOOR, scratch)[0]) for k in np.flatnonzero(tiers).tolist())
+
+
 def _pick(b: Bags, w: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(b.ptr)[rows]
     ptr = np.r_[0, np.cumsum(sizes)].astype(np.int64)
@@ -212,7 +257,7 @@ class Model:
         keep = owner_y < 0.5
         near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for r in np.flatnonzero(owner_y >= 0.5).tolist():
-            rows, cos = full.search(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], FLOOR, scratch)
+            rows, cos = full.search(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], EDIT_FLOOR, scratch)
             other = b.owner[rows] != b.owner[r]
             near[r] = rows[other], cos[other]
         for r, (rows, cos) in near.items():
@@ -224,13 +269,13 @@ class Model:
         rows = np.flatnonzero(keep)
         self.y, self.doc = owner_y[rows], ids[b.owner[rows]] if len(rows) else np.zeros(0, np.int64)
         self.index = BlockMaxIndex(*_pick(b, w, rows))
-        bad = np.flatnonzero(self.y >= 0.5)
-        self.offence = BlockMaxIndex(*_pick(b, w, rows[bad]))
+        self.offence = Offences(*_pick(b, w, rows[self.y >= 0.5]), idf)
         # held-out votes of the labelled documents calibrate the scores
         raw = np.zeros(len(texts))
-        could = self.offence.bounds(b, w) >= FLOOR
-        for r in np.flatnonzero(could).tolist():
-            v, _ = self.segment(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], scratch, int(ids[b.owner[r]]))
+        could = self.offence.reachable(b, w)
+        for r in np.flatnonzero(could.any(axis=1)).tolist():
+            own = int(ids[b.owner[r]])
+            v, _ = self.segment(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], scratch, could[r], own)
             raw[b.owner[r]] = max(raw[b.owner[r]], v)
         self.a, self.c = self._calibrate(raw, (y_doc >= 0.5).astype(float))
         self.threshold = self._threshold(raw, y_doc >= 0.5)
@@ -261,10 +306,9 @@ class Model:
                 best, at = f1, float(t)
         return at
 
-    def segment(self, terms: np.ndarray, w: np.ndarray, scratch: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
+    def segment(self, terms: np.ndarray, w: np.ndarray, scratch: np.ndarray, tiers: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
         """Vote and nearest example documents of one segment; 0 without an offensive neighbour."""
-        rows, cos = self.offence.search(terms, w, FLOOR, scratch)
-        if not len(rows):
+        if not self.offence.near(terms, w, scratch, tiers):
             return 0.0, np.zeros(0, np.int64)
         rows, cos = self.index.search(terms, w, FLOOR, scratch)
         if without is not None:
@@ -284,8 +328,9 @@ class Model:
             return raw, evidence
         w = weights(b, self.idf)
         scratch = np.zeros(DIMS, np.float32)
-        for r in np.flatnonzero(self.offence.bounds(b, w) >= FLOOR).tolist():
-            v, near = self.segment(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], scratch)
+        could = self.offence.reachable(b, w)
+        for r in np.flatnonzero(could.any(axis=1)).tolist():
+            v, near = self.segment(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], scratch, could[r])
             if v > raw[b.owner[r]]:
                 raw[b.owner[r]] = v
                 evidence[b.owner[r]] = near[:3].tolist()
