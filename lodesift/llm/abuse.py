@@ -76,7 +76,9 @@ def fold(segment: str) -> str:
 def segments(text: str | None) -> list[str]:
     """Sentences, and of sentences over ``SEGMENT_WORDS`` words the windows of that size, half overlapping."""
     out = []
-    for sentence in _ENDS.split(text or ""):
+    # letters set apart are drawn together first, so that they do not count as words
+    text = _SPREAD.sub(lambda m: _GAPS.sub("", m.group(0)), text or "")
+    for sentence in _ENDS.split(text):
         words = sentence.split()
         if len(words) <= SEGMENT_WORDS:
             if words:
