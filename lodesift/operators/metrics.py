@@ -43,8 +43,8 @@ def filter_accuracy(required: Column, extracted: Column) -> Column:
 def latency_percentiles(df: DataFrame, latency: str, *by: str) -> DataFrame:
     """p50 and p95 by linear interpolation; 0 where there is no value."""
     both = F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*by).agg(both.alias("p"))
-    return out.select(*by, *(F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(("p50", "p95"))))
+    out = df.groupBy(*by).agg(both.alias("__p"))
+    return out.select(*by, *(F.coalesce(F.get("__p", F.lit(i)), F.lit(0.0)).alias(n) for i, n in enumerate(("p50", "p95"))))
 
 
 # US dollars for a million tokens (input, cached input, output, cache creation).
@@ -98,7 +98,7 @@ def bootstrap_ci(scores: DataFrame, score: str, order: str, *by: str, resamples:
     evaluation set does). A group without scores gives zeros.
     """
     item = F.when(F.col(score).isNotNull(), F.struct(F.col(order).alias("o"), F.col(score).cast("double").alias("s")))
-    grouped = scores.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("v"))
+    grouped = scores.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("__v"))
 
     @F.pandas_udf("struct<mean: double, lower: double, upper: double>")
     def interval(v):
@@ -120,4 +120,4 @@ def bootstrap_ci(scores: DataFrame, score: str, order: str, *by: str, resamples:
             rows.append((float(x.mean()), float(low), float(high)))
         return pd.DataFrame(rows, columns=["mean", "lower", "upper"])
 
-    return grouped.select(*by, interval("v").alias("ci")).select(*by, "ci.mean", "ci.lower", "ci.upper")
+    return grouped.select(*by, interval("__v").alias("__ci")).select(*by, "__ci.mean", "__ci.lower", "__ci.upper")
