@@ -743,12 +743,16 @@ def _study(col: patterns.Collection, q: DataFrame, papers: DataFrame) -> DataFra
 
 @query("chunking_study")
 def chunking_study(spark, d):
-    """Two chunkers over the full texts, the same retriever and metric; a variant is a row."""
+    """Six chunkers, the same retriever and metric; a variant is a row."""
     base, q, out = cut(chunks(spark, d)), questions(spark, d), None
     texts = _texts(spark, d).where("paper_id IS NOT NULL").groupBy("paper_id").agg(F.max_by("full_text", "ord").alias("full_text"), F.min("ord").alias("o"))
-    makers = {"fixed_512": lambda t: chunking.chunk_fixed(t, 512), "late_512": lambda t: F.transform(chunking.chunk_late(t), lambda c: c["embed_text"])}
-    for name, f in makers.items():
-        rows = texts.select("paper_id", "o", F.posexplode(f(F.col("full_text"))).alias("i", "text"))
+    makers = {f"fixed_{n}": partial(chunking.chunk_fixed, budget=n) for n in (256, 512, 1024)}
+    makers |= {"semantic": chunking.chunk_semantic, "late_512": lambda t: F.transform(chunking.chunk_late(t), lambda c: c["embed_text"])}
+    variants = {n: texts.select("paper_id", "o", F.posexplode(f(F.col("full_text"))).alias("i", "text")) for n, f in makers.items()}
+    # sections are known of the short chunks only
+    sections = chunking.chunk_document_aware(base.where("paper_id IS NOT NULL")).select("paper_id", F.col("piece").alias("i"), "text")
+    variants["document_aware"] = sections.join(base.groupBy("paper_id").agg(F.min("ord").alias("o")), "paper_id")
+    for name, rows in variants.items():
         rows = cut(rows.select(F.concat_ws("#", "paper_id", "i").alias("chunk_id"), "paper_id", (F.col("o") * 100_000 + F.col("i")).alias("ord"), "text"))
         one = _study(patterns.Collection(rows), q, base).withColumn("variant", F.lit(name))
         out = one if out is None else out.unionByName(one)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,20 @@ def session(app: str = "lodesift", cores: str = "*", **conf: str) -> SparkSessio
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per context, so that they need no copy on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_lodesift_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lodesift-")) / "lodesift.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._lodesift_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read one parquet table (a file or a folder of part files)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

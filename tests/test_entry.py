@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lodesift.plans import queries as core
-from lodesift.sources import jsonl, papers
+from lodesift.sources import jsonl, notebooks, papers
 from lodesift.streaming import events
 
 DATA = "/root/testdata/sf0.001"
@@ -52,6 +52,26 @@ def test_json_lines(spark, tmp_path):
     assert not (tmp_path / "out").exists()
 
 
+def test_notebook_sections(spark, tmp_path):
+    def write(name, *titles):
+        cells = [{"cell_type": "markdown", "source": ["intro\n", f"## {t}\n", "text"]} for t in titles] + [{"cell_type": "code", "source": ["## 9. no"]}]
+        (tmp_path / name).write_text(json.dumps({"cells": cells}))
+
+    write("good.ipynb", "1. Setup here", "2. Results")
+    write("bad.ipynb", "2. Results", "1. Other", "2. Results")
+    write("none.ipynb")
+    heads = notebooks.headers(spark, str(tmp_path))
+    files = spark.createDataFrame([("good.ipynb",), ("bad.ipynb",), ("none.ipynb",)], "notebook string")
+    got = sorted((r.notebook, r.problem.split(":")[0]) for r in notebooks.problems(heads, files, [(1, "setup"), (2, "results")]).collect())
+    assert got == [
+        ("bad.ipynb", "duplicate section numbers"),
+        ("bad.ipynb", "section 1 is titled 'Other', without 'setup'"),
+        ("bad.ipynb", "section numbers out of order"),
+        ("none.ipynb", "missing section 1 (setup)"),
+        ("none.ipynb", "missing section 2 (results)"),
+    ]
+
+
 def test_atom_feed(spark):
     xml = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://arxiv.org/abs/2401.00001v2</id><title>A
       title</title><published>2024-01-02T00:00:00Z</published><author><name>N</name></author>
