@@ -7,10 +7,11 @@ Python callable can be plugged in; it then runs in Arrow batches on the executor
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.text import estimate_tokens
@@ -22,8 +23,31 @@ RESPONSE = (
 )
 
 
+#: Longest shared prefix that is sent to a model.
+MOST_PREFIX_CHARS = 4_000_000
+
+
+@dataclass
+class Prefix:
+    """A prompt prefix shared by many calls, which a provider may cache: the first call writes, later ones read.
+
+    ``sizes`` has key, chars and first (the least ``order`` of its calls). ``key`` and ``order`` name columns
+    of the calls. ``texts`` builds (key, text) and is asked only by providers that send it.
+    """
+
+    key: str
+    order: str
+    sizes: DataFrame
+    texts: Callable[[], DataFrame]
+
+    @classmethod
+    def of_column(cls, df: DataFrame, text: str, order: str) -> Prefix:
+        sizes = df.groupBy(F.col(text).alias("key")).agg(F.length(F.first(text)).alias("chars"), F.min(order).alias("first"))
+        return cls(text, order, sizes, lambda: df.select(F.col(text).alias("key"), F.col(text).alias("text")).distinct())
+
+
 class LLM(Protocol):
-    def ask(self, df: DataFrame, prompt: str, out: str, prefix: str | None = None, order: str | None = None) -> DataFrame:
+    def ask(self, df: DataFrame, prompt: str, out: str, prefix: Prefix | None = None) -> DataFrame:
         """Add the struct column ``out`` (:data:`RESPONSE`) with the answer to column ``prompt``."""
 
 
@@ -38,8 +62,8 @@ class Reranker(Protocol):
 class MockLLM:
     """Answers with the first canned text whose key occurs in the prompt, else with a default.
 
-    Tokens are a quarter of the characters. With a prefix column, the first call in ``order`` with a given
-    prefix writes the prompt cache and later ones read it.
+    Tokens are a quarter of the characters. Of a prefix only the size is needed, so no text is copied to
+    the calls that share it.
     """
 
     def __init__(self, default: str = "This is a mock response.", canned: dict[str, str] | None = None) -> None:
@@ -52,29 +76,30 @@ class MockLLM:
             text = F.when(hit, F.lit(value)) if text is None else text.when(hit, F.lit(value))
         return F.lit(self.default) if text is None else text.otherwise(F.lit(self.default))
 
-    def ask(self, df: DataFrame, prompt: str, out: str, prefix: str | None = None, order: str | None = None) -> DataFrame:
-        text, zero = self._text(F.col(prompt)), F.lit(0).cast("bigint")
-        asked = estimate_tokens(F.col(prompt)).cast("bigint")
-        if prefix is None:
-            reads = writes = zero
-        else:
-            # the prefix is hashed so that the window shuffles digests, not documents
-            calls = Window.partitionBy(F.sha2(F.col(prefix), 256)).orderBy(order or prompt)
-            df = df.withColumn("__call", F.row_number().over(calls))
-            share = estimate_tokens(F.col(prefix)).cast("bigint")
-            used = F.length(prefix) > 0
-            writes = F.when(used & (F.col("__call") == 1), share).otherwise(zero)
-            reads = F.when(used & (F.col("__call") > 1), share).otherwise(zero)
-            asked = asked + F.when(used, share).otherwise(zero)
+    def _answer(self, df: DataFrame, prompt: str, out: str, reads: Column, writes: Column, more: Column) -> DataFrame:
+        text = self._text(F.col(prompt))
         answer = F.struct(
             text.alias("text"),
-            asked.alias("input_tokens"),
+            (estimate_tokens(F.col(prompt)).cast("bigint") + more).alias("input_tokens"),
             estimate_tokens(text).cast("bigint").alias("output_tokens"),
             reads.alias("cached_input_tokens"),
             writes.alias("cache_creation_input_tokens"),
             F.lit(0.1).alias("latency_ms"),
         )
-        return df.withColumn(out, answer).drop("__call")
+        return df.withColumn(out, answer)
+
+    def ask(self, df: DataFrame, prompt: str, out: str, prefix: Prefix | None = None) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        if prefix is None:
+            return self._answer(df, prompt, out, zero, zero, zero)
+        known = prefix.sizes.select(F.col("key").alias("__key"), F.col("chars").alias("__chars"), F.col("first").alias("__first"))
+        df = df.join(known, F.col(prefix.key) == F.col("__key"), "left")
+        used = F.coalesce(F.col("__chars"), F.lit(0)) > 0
+        share = F.greatest(F.lit(1), F.floor(F.col("__chars") / 4)).cast("bigint")
+        first = F.col(prefix.order) == F.col("__first")
+        writes = F.when(used & first, share).otherwise(zero)
+        reads = F.when(used & ~first, share).otherwise(zero)
+        return self._answer(df, prompt, out, reads, writes, F.when(used, share).otherwise(zero)).drop("__key", "__chars", "__first")
 
 
 class CallableLLM:
@@ -83,7 +108,7 @@ class CallableLLM:
     def __init__(self, make: Callable[[], Callable[[str], tuple]]) -> None:
         self.make = make
 
-    def ask(self, df: DataFrame, prompt: str, out: str, prefix: str | None = None, order: str | None = None) -> DataFrame:
+    def ask(self, df: DataFrame, prompt: str, out: str, prefix: Prefix | None = None) -> DataFrame:
         make = self.make
 
         @F.pandas_udf(RESPONSE)
@@ -93,8 +118,15 @@ class CallableLLM:
             for prompts in batches:
                 yield pd.DataFrame([call(p) for p in prompts], columns=names)
 
-        whole = F.col(prompt) if prefix is None else F.concat(F.col(prefix), F.col(prompt))
-        return df.withColumn(out, run(whole))
+        if prefix is None:
+            return df.withColumn(out, run(F.col(prompt)))
+        longest = prefix.sizes.agg(F.max("chars")).first()[0] or 0
+        if longest > MOST_PREFIX_CHARS:
+            raise ValueError(f"a prefix of {longest} characters exceeds {MOST_PREFIX_CHARS}")
+        texts = prefix.texts().select(F.col("key").alias("__key"), F.col("text").alias("__prefix"))
+        df = df.join(texts, F.col(prefix.key) == F.col("__key"), "left")
+        whole = F.concat(F.coalesce("__prefix", F.lit("")), F.col(prompt))
+        return df.withColumn(out, run(whole)).drop("__key", "__prefix")
 
 
 class MockEmbedder:

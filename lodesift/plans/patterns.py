@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.functions.providers import LLM, Embedder, MockEmbedder, MockLLM, MockReranker, Reranker
+from lodesift.functions.providers import LLM, Embedder, MockEmbedder, MockLLM, MockReranker, Prefix, Reranker
 from lodesift.functions.text import fill, parse_action, parse_filter, parse_next_query, parse_subqueries, strip
 from lodesift.operators import ranking
 from lodesift.operators.dense import VectorIndex, dense_search
@@ -168,16 +168,23 @@ def contextual_chunks(col: Collection) -> DataFrame:
     """Chunks with ``embed_text`` = blurb, blank line, text, and the costs of writing the blurbs.
 
     The paper's text is the cacheable prefix: its first chunk (by ord) writes the cache, the others read
-    it. A paper's chunks are gathered once per paper, so a paper must fit in one task; rows without a
-    paper are papers of their own.
+    it. Only the prefix's size goes along with the chunks; its text is put together (one row a paper) only
+    for providers that send it. Rows without a paper are papers of their own.
     """
     paper = F.coalesce("paper_id", F.col("chunk_id"))
     base = col.chunks.select("chunk_id", "ord", F.coalesce("text", F.lit("")).alias("text"), paper.alias("paper"))
-    docs = base.groupBy("paper").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n").alias("document"))
-    asked = base.join(docs, "paper")
-    asked = asked.withColumn("__prefix", fill(col.prompts["prefix"], document=F.col("document"))).drop("document")
-    asked = asked.withColumn("__p", fill(col.prompts["chunk"], text=F.col("text")))
-    asked = col.llm.ask(asked, "__p", "r", prefix="__prefix", order="ord").drop("__prefix", "__p")
+    head = col.prompts["prefix"]
+    fixed = len(head.replace("{{", "{").replace("}}", "}")) - len("{document}")
+    sizes = base.groupBy(F.col("paper").alias("key")).agg(
+        (F.sum(F.length("text")) + 2 * (F.count("*") - 1) + fixed).alias("chars"), F.min("ord").alias("first")
+    )
+
+    def texts() -> DataFrame:
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n\n")
+        return base.groupBy(F.col("paper").alias("key")).agg(whole.alias("d")).select("key", fill(head, document=F.col("d")).alias("text"))
+
+    asked = base.withColumn("__p", fill(col.prompts["chunk"], text=F.col("text")))
+    asked = col.llm.ask(asked, "__p", "r", Prefix("paper", "ord", sizes, texts)).drop("__p")
     return asked.withColumn("embed_text", F.concat(strip(F.col("r.text")), F.lit("\n\n"), F.col("text")))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import text as tx
 from lodesift.functions import vectors as vx
-from lodesift.functions.providers import MockLLM
+from lodesift.functions.providers import MockLLM, Prefix
 from lodesift.operators import chunking, corpus, evaluate, metrics, ranking
 from lodesift.operators.dense import VectorIndex, dense_search
 from lodesift.operators.lexical import Bm25Index
@@ -477,7 +477,7 @@ def cost_cached_vs_uncached(spark, d):
 )
 def prompt_cache_tiers(spark, d):
     c = chunks(spark, d).where("paper_id IS NOT NULL")
-    r = MockLLM().ask(c, "text", "r", prefix="paper_id", order="ord")
+    r = MockLLM().ask(c, "text", "r", Prefix.of_column(c, "paper_id", "ord"))
     return r.select("chunk_id", "r.input_tokens", F.col("r.cached_input_tokens").alias("cached"), F.col("r.cache_creation_input_tokens").alias("created"))
 
 
@@ -669,6 +669,18 @@ _SUBQUERIES = (
 )
 
 
+def _fixed(prompt: str, *places: str) -> int:
+    """Characters of a prompt without what is filled in."""
+    return len(patterns.PROMPTS[prompt].replace("{{", "{").replace("}}", "}")) - sum(len(p) + 2 for p in places)
+
+
+_HOPS = (
+    dense_sql(name="one", k=5),
+    dense_sql("SELECT qid, 'follow-up on the baseline' AS q FROM questions", name="two", k=5),
+    "u AS (SELECT qid, chunk_id, rank, 0 AS src FROM one UNION ALL SELECT qid, chunk_id, rank, 1 FROM two)",
+    "g AS (SELECT qid, chunk_id, min(src * 1000 + rank) AS first FROM u GROUP BY 1, 2)",
+    "m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS rank FROM g)",
+)
 _PATTERN_SQL = {
     "01_naive_dense": _answer_sql(BASE, dense_sql(), source="den"),
     "02_bm25": _answer_sql(BASE, bm25_sql(), source="lex"),
@@ -678,6 +690,12 @@ _PATTERN_SQL = {
     "06_multi_query": _answer_sql(BASE, *_SUBQUERIES, source="m", before="multi_query"),
     "07_contextual": _answer_sql(BASE, dense_sql().replace(vector_sql("text"), vector_sql("'This is a mock response.' || chr(10) || chr(10) || text")), source="den"),
     "08_self_query": _answer_sql(BASE, dense_sql(where="WHERE c.category = 'cs.IR'"), source="den", before="self_query"),
+    "09_multi_hop": _with(BASE, *_HOPS)
+    + _CONTEXT.format("one").replace("ctx AS", "ctx1 AS").replace("context,", "context1,").replace(" AS ids", " AS ids1")
+    + _CONTEXT.format("m")
+    + "SELECT qid, ids, 'This is a mock response.' AS answer, "
+    + f"(({_PROMPT_CHARS} + length(context) + length(question)) // 4 + ({_fixed('multi_hop', 'question', 'context')} + length(context1) + length(question)) // 4)::BIGINT AS input_tokens, "
+    + f"{6 + len(CANNED['one more search']) // 4}::BIGINT AS output_tokens FROM ctx JOIN ctx1 USING (qid) JOIN questions USING (qid)",
     "00_no_rag": _with(BASE) + f" SELECT qid, '' AS ids, {_MOCK.format(tokens=f'(({_PROMPT_CHARS} + length(question)) // 4)::BIGINT')} FROM questions",
 }
 def _pattern(spark, d, name: str):
@@ -704,7 +722,15 @@ def agentic_trace(spark, d):
     return run.where(F.size("tool_call_trace") > 0).select("qid", F.posexplode("tool_call_trace").alias("step", "t")).select("qid", "step", "t.*")
 
 
-@query("contextual_cost_log")
+@query(
+    "contextual_cost_log",
+    _with(BASE)
+    + f""", p AS (SELECT coalesce(paper_id, chunk_id) AS paper, chunk_id, ord, text FROM chunks),
+    s AS (SELECT paper, (sum(length(text)) + 2 * (count(*) - 1) + {_fixed("prefix", "document")})::BIGINT // 4 AS share, min(ord) AS first FROM p GROUP BY 1)
+    SELECT chunk_id, paper, (({_fixed("chunk", "text")} + length(text)) // 4 + share)::BIGINT AS input_tokens, 6::BIGINT AS output_tokens,
+      (CASE WHEN ord = first THEN 0 ELSE share END)::BIGINT AS cached_input_tokens, (CASE WHEN ord = first THEN share ELSE 0 END)::BIGINT AS cache_creation_input_tokens
+    FROM p JOIN s USING (paper)""",
+)
 def contextual_cost_log(spark, d):
     log = patterns.contextual_chunks(collection(spark, d))
     return log.select("chunk_id", "paper", "r.input_tokens", "r.output_tokens", "r.cached_input_tokens", "r.cache_creation_input_tokens")

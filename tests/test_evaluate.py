@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodesift.functions.providers import CallableEmbedder, CallableLLM, CallableReranker, MockLLM
+from lodesift.functions.providers import CallableEmbedder, CallableLLM, CallableReranker, MockLLM, Prefix
 from lodesift.operators import evaluate, metrics
 
 
@@ -60,7 +60,7 @@ def test_prices(spark):
 
 def test_prompt_cache_writes_once_then_reads(spark):
     df = spark.createDataFrame([(1, "doc" * 8, "p1"), (2, "doc" * 8, "p2"), (3, "other" * 8, "p3")], "n int, pre string, p string")
-    got = MockLLM().ask(df, "p", "r", prefix="pre", order="n").orderBy("n").select("r.*").collect()
+    got = MockLLM().ask(df, "p", "r", Prefix.of_column(df, "pre", "n")).orderBy("n").select("r.*").collect()
     assert [(r.cached_input_tokens, r.cache_creation_input_tokens, r.input_tokens) for r in got] == [(0, 6, 7), (6, 0, 7), (0, 10, 11)]
 
 
@@ -68,6 +68,7 @@ def test_callable_providers(spark):
     df = spark.createDataFrame([("a", "b")], "p string, t string")
     llm = CallableLLM(lambda: lambda p: (p.upper(), 1, 2, 0, 0, 0.5))
     assert llm.ask(df, "p", "r").first().r.text == "A"
+    assert llm.ask(df, "p", "r", Prefix.of_column(df, "t", "p")).first().r.text == "BA"
     assert CallableEmbedder(lambda: lambda ts: [[1.0, 2.0] for _ in ts]).embed(df, "p", "v").first().v == [1.0, 2.0]
     assert CallableReranker(lambda: lambda q, t: [0.25] * len(q)).score(df, "p", "t", "s").first().s == 0.25
 
