@@ -13,6 +13,7 @@ document's score is its worst segment's vote, calibrated on the labelled documen
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -38,6 +39,9 @@ SEED_WEIGHT = 0.02
 #: Segments of flagged documents stay examples if their neighbours elsewhere vote so, or, without
 #: neighbours, if three of their terms are in fewer than one segment in a thousand.
 EDIT, EDIT_FLOOR, RARE = 0.5, 0.25, 6.9
+#: An example is dropped if so few flags were this unlikely for wording as frequent in the corpus as its
+#: rarer terms (percentile RARER of their counts), were it labelled no more often than any other.
+UNLIKELY, RARER = 0.01, 30
 #: Terms of this inverse frequency (in fewer than one segment in 150) count as rare.
 RARE_TERM = 5.0
 #: Offensive examples are kept in tiers by the length of their common part.
@@ -56,6 +60,7 @@ _ENDS = re.compile(r"(?<=[.!?。！？])\s+|\n+|(?<=[。！？])")
 _REPEATS = re.compile(r"([^\W\d_])\1+", re.U)
 _SPREAD = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*·]{1,2}){3,}[^\W\d_](?![^\W\d_])", re.U)
 _GAPS = re.compile(r"[ .\-_*·]+")
+_HAN = re.compile("[\u3040-\u30ff\u3400-\u9fff]{2,}")
 _NOT_LETTERS = re.compile(r"[\W\d_]+", re.U)
 
 
@@ -70,6 +75,9 @@ def fold(segment: str) -> str:
     s = _SPREAD.sub(lambda m: _GAPS.sub("", m.group(0)), s)
     s = _REPEATS.sub(r"\1", s.replace("*", "").replace("'", " "))
     words = _NOT_LETTERS.sub(" ", s).strip()
+    if not s.isascii():
+        # scripts without spaces: every pair of characters is a word
+        words = _HAN.sub(lambda m: " ".join(["", *(a + b + a for a, b in zip(m.group(0), m.group(0)[1:])), ""]), words).strip()
     return f" {words} " if words else ""
 
 
@@ -244,11 +252,21 @@ def _vote(cos: np.ndarray, y: np.ndarray, doc: np.ndarray) -> tuple[float, np.nd
     return float((v * y[order]).sum() / (v.sum() + SEED_WEIGHT)), order
 
 
+def _poisson_below(count: int, mean: float) -> float:
+    """Chance of at most ``count`` events where ``mean`` are expected."""
+    term = total = math.exp(-mean)
+    for i in range(1, count + 1):
+        term *= mean / i
+        total += term
+    return total
+
+
 class Model:
     """The edited examples, their index, and the calibration."""
 
-    def __init__(self, docs: list[int], texts: list[str], y: list[float], idf: np.ndarray) -> None:
-        self.idf = idf
+    def __init__(self, docs: list[int], texts: list[str], y: list[float], counts: Counts) -> None:
+        self.idf = idf = counts.idf
+        labelled = len(texts) / max(1, counts.documents)
         b = bags(texts)
         w = weights(b, idf)
         y_doc = np.array(y, float)
@@ -264,10 +282,14 @@ class Model:
             near[r] = rows[other], cos[other]
         for r, (rows, cos) in near.items():
             # with no neighbour elsewhere the label of the own document stands, if the words are rare
+            terms = b.terms[b.ptr[r] : b.ptr[r + 1]]
             if len(rows):
                 keep[r] = _vote(cos, owner_y[rows], b.owner[rows])[0] >= EDIT
             else:
-                keep[r] = int((idf[b.terms[b.ptr[r] : b.ptr[r + 1]]] >= RARE).sum()) >= 3
+                keep[r] = int((idf[terms] >= RARE).sum()) >= 3
+            # reviewers meet offences far more often than other wording of the same frequency
+            flagged = 1 + len(np.unique(b.owner[rows[owner_y[rows] >= 0.5]]))
+            keep[r] &= _poisson_below(flagged, labelled * float(np.percentile(counts.df[terms], RARER))) >= UNLIKELY
         rows = np.flatnonzero(keep)
         self.y, self.doc = owner_y[rows], ids[b.owner[rows]] if len(rows) else np.zeros(0, np.int64)
         self.index = BlockMaxIndex(*_pick(b, w, rows))
@@ -350,26 +372,39 @@ def _stretches(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tupl
         yield begin, len(texts)
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """ln(segments / segments with the term) over all documents; a table of ``DIMS`` numbers."""
+@dataclass
+class Counts:
+    """Over all documents: the segments that have each hashed term, all segments, all documents."""
+
+    df: np.ndarray
+    segments: int
+    documents: int
+
+    @property
+    def idf(self) -> np.ndarray:
+        return np.log((self.segments + 1) / (self.df + 1)).astype(np.float32)
+
+
+def count_terms(docs: DataFrame) -> Counts:
+    """A table of ``DIMS`` counts, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros(DIMS, np.int64), 0
+        seen, segments_, documents = np.zeros(DIMS, np.int64), 0, 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
+            documents += len(texts)
             for lo, hi in _stretches(texts):
                 b = bags(texts[lo:hi])
                 seen += np.bincount(b.terms, minlength=DIMS)
-                total += len(b.owner)
-        term = np.r_[np.flatnonzero(seen), DIMS]
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.r_[seen[seen > 0], total])], names=["term", "n"])
+                segments_ += len(b.owner)
+        term = np.r_[np.flatnonzero(seen), DIMS, DIMS + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.r_[seen[seen > 0], segments_, documents])], names=["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()  # at most DIMS + 1 rows, whatever the input
-    idf = np.zeros(DIMS + 1)
-    idf[table["term"].to_numpy()] = table["n"].to_numpy()
-    total = max(float(idf[DIMS]), 1.0)
-    return np.log((total + 1) / (idf[:DIMS] + 1)).astype(np.float32)
+    table = counted.toPandas()  # at most DIMS + 2 rows, whatever the input
+    all_ = np.zeros(DIMS + 2, np.int64)
+    all_[table["term"].to_numpy()] = table["n"].to_numpy()
+    return Counts(all_[:DIMS], int(all_[DIMS]), int(all_[DIMS + 1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
@@ -377,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     some = cut(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "flagged").collect()  # bounded by most
     rows.sort(key=lambda r: r["doc_id"])
-    return Model([r["doc_id"] for r in rows], [r["text"] or "" for r in rows], [r["flagged"] for r in rows], inverse_frequencies(docs))
+    return Model([r["doc_id"] for r in rows], [r["text"] or "" for r in rows], [r["flagged"] for r in rows], count_terms(docs))
 
 
 def label_shares(labels: DataFrame) -> DataFrame:
