@@ -72,15 +72,19 @@ WHERE shared * 5 >= (x.n + y.n - shared) * 3
 # ------------------------------------------------------------------ problem 3
 
 
-def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    found = vectors.similar_vectors(
-        table(spark, folder, "vec_chunks"), "row_id", "embedding", table(spark, folder, "chunk_ids"), "chunk_id"
-    )
+def _near_chunks(spark: SparkSession, folder: str, floor: float | None) -> DataFrame:
+    names = table(spark, folder, "chunk_ids")
+    found = vectors.similar_vectors(table(spark, folder, "vec_chunks"), "row_id", "embedding", names, "chunk_id", floor=floor)
     return found.select(F.col("name").alias("chunk_id"), F.col("other").alias("neighbour_id"), "cosine", "rank")
 
 
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_chunks(spark, folder, None)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    near = p3_neighbours(spark, folder)
+    """Pairs of cosine 0.9 or more: what is nearer ranks first, so the floor does not change the five."""
+    near = _near_chunks(spark, folder, 0.9)
     pair = near.select(
         F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")
     )

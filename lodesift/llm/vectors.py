@@ -10,6 +10,8 @@ bits each. Buckets are compared by matrix products of bounded blocks; pairs that
 are ranked by their exact cosine in double precision. Equal vectors are one class, so copies are
 compared once; a bucket that holds more than ``BLOCK`` rows is cut into blocks which are compared in
 pairs by different tasks, every pair of blocks exactly once.
+
+Hashing needs a floor. Without one every pair of classes is compared, by matrix products.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ BLOCK = 4096
 SEED = 20240611
 #: Four-bit components put a cosine off by 0.03 (one standard deviation); the floor gives three of it.
 SLACK = 0.085
+#: Comparison without a floor: classes a round (256 bytes each are broadcast), rows and columns of a
+#: product, and candidates kept beyond those wanted until they are ranked in double precision.
+ROUND, ROWS, COLUMNS, SPARE = 250_000, 1024, 4096, 10
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -273,8 +278,8 @@ def candidate_pairs(df: DataFrame, vec_col: str, dim: int, floor: float) -> Data
     return bucket_pairs(placed, floor).distinct()
 
 
-def exact_cosines(df: DataFrame, vec_col: str, dim: int, pairs: DataFrame) -> DataFrame:
-    """(cls_a, cls_b, cosine) in double precision; ``pairs`` must be a cut table."""
+def class_vectors(df: DataFrame, vec_col: str, dim: int) -> DataFrame:
+    """(cls, v) of every class that a batch holds."""
     src = df.select(F.col(f"`{vec_col}`").alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +291,12 @@ def exact_cosines(df: DataFrame, vec_col: str, dim: int, pairs: DataFrame) -> Da
                 offsets = pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(offsets, flat)], names=["cls", "v"])
 
-    vectors = src.mapInArrow(run, "cls bigint, v array<float>")
+    return src.mapInArrow(run, "cls bigint, v array<float>")
+
+
+def exact_cosines(df: DataFrame, vec_col: str, dim: int, pairs: DataFrame) -> DataFrame:
+    """(cls_a, cls_b, cosine) in double precision; ``pairs`` must be a cut table."""
+    vectors = class_vectors(df, vec_col, dim)
     ends = cut(pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct())
     vectors = cut(keep_keys(vectors, ends, "cls").groupBy("cls").agg(F.first("v").alias("v")))
     one = vectors.select(F.col("cls").alias("cls_a"), F.col("v").alias("p"))
@@ -294,18 +304,108 @@ def exact_cosines(df: DataFrame, vec_col: str, dim: int, pairs: DataFrame) -> Da
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (
-                np.asarray(batch.column(k).flatten()).reshape(batch.num_rows, -1).astype(np.float64) for k in (2, 3)
-            )
-            p = p / np.abs(p).max(axis=1, keepdims=True)
-            q = q / np.abs(q).max(axis=1, keepdims=True)
-            cos = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos)], names=["cls_a", "cls_b", "cosine"])
+            p, q = (np.asarray(batch.column(k).flatten()).reshape(batch.num_rows, -1) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_cosines(p, q))], names=["cls_a", "cls_b", "cosine"])
 
     joined = pairs.join(one, "cls_a").join(two, "cls_b").select("cls_a", "cls_b", "p", "q")
     return joined.mapInArrow(cosines, "cls_a bigint, cls_b bigint, cosine double")
 
 
+def _cosines(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of two matrices in double precision."""
+    p, q = p.astype(np.float64), q.astype(np.float64)
+    p = p / np.abs(p).max(axis=1, keepdims=True)
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    return (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1))
+
+
+def _best(row: np.ndarray, col: np.ndarray, cos: np.ndarray, tie: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the ``most`` largest cosines of each row, ordered by row and rank."""
+    order = np.lexsort((tie, -cos, row))
+    r = row[order]
+    start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
+    nth = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+    return order[nth < most]
+
+
+def nearest_in(cls: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine) of the ``most`` nearest of ``y`` to each row of ``x``, other classes only.
+
+    Every pair is compared in single precision; ``SPARE`` more than wanted are ranked in double precision.
+    """
+    unit, held = _unit(x), most + SPARE
+    row, col, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    floor = np.full(len(x), -np.inf, np.float32)
+    wait: list[tuple] = []
+    waiting = 0
+
+    def settle() -> None:
+        nonlocal row, col, cos, waiting
+        row, col, cos = (np.concatenate([a, *(w[k] for w in wait)]) for k, a in enumerate((row, col, cos)))
+        keep = _best(row, col, cos, col, held)
+        row, col, cos = row[keep], col[keep], cos[keep]
+        full = np.flatnonzero(np.bincount(row, minlength=len(x)) == held)
+        last = np.searchsorted(row, full, "right") - 1
+        floor[full] = cos[last]
+        wait.clear()
+        waiting = 0
+
+    for at in range(0, len(y), COLUMNS):
+        part = _unit(y[at : at + COLUMNS])
+        for lo in range(0, len(x), ROWS):
+            s = unit[lo : lo + ROWS] @ part.T
+            if at == 0 and s.shape[1] > held + 1:  # the one more may be the class itself
+                a = np.repeat(np.arange(len(s)), held + 1)
+                b = np.argpartition(s, s.shape[1] - held - 1, axis=1)[:, -held - 1 :].ravel()
+            else:
+                a, b = np.nonzero(s > floor[lo : lo + ROWS, None])
+            fine = cls[lo + a] != others[at + b]
+            a, b = a[fine], b[fine]
+            wait.append((lo + a, at + b, s[a, b]))
+            waiting += len(a)
+            if waiting > 16 * held * ROWS:
+                settle()
+        if at == 0:
+            settle()
+    settle()
+    exact = _cosines(x[row], y[col]) if len(row) else np.zeros(0)
+    keep = _best(row, col, exact, others[col], most)
+    return row[keep], col[keep], exact[keep]
+
+
+def all_nearest(vectors: DataFrame, dim: int, most: int) -> DataFrame:
+    """(cls_a, cls_b, cosine): the ``most`` nearest other classes of each class of a cut table (cls, v).
+
+    Nothing is skipped: each task compares its rows with a broadcast of at most about ``ROUND`` classes,
+    round by round, so the work grows with the square of the number of classes.
+    """
+    spark = vectors.sparkSession.sparkContext
+    n = vectors.count()
+    rounds = max(1, -(-n // ROUND))
+    rows = vectors.repartition(max(spark.defaultParallelism, -(-n // (4 * ROWS))), "cls")
+    out = None
+    for k in range(rounds):
+        some = vectors if rounds == 1 else vectors.where(F.pmod(F.xxhash64("cls"), F.lit(rounds)) == k)
+        held = some.toArrow()  # about ROUND rows
+        cls = held.column("cls").to_numpy()
+        flat = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        shared = spark.broadcast((cls, flat.reshape(-1, dim).astype(np.float32)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            others, y = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    mine = batch.column(0).to_numpy(zero_copy_only=False)
+                    x = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, dim)
+                    row, col, cos = nearest_in(mine, x, others, y, most)
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[row]), pa.array(others[col]), pa.array(cos)], names=["cls_a", "cls_b", "cosine"])
+
+        part = cut(rows.mapInArrow(run, "cls_a bigint, cls_b bigint, cosine double"))
+        shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def similar_vectors(
     df: DataFrame,
     id_col: str,
@@ -314,26 +414,31 @@ def similar_vectors(
     name_col: str,
     dim: int = 64,
     k: int = 5,
-    floor: float = 0.9,
+    floor: float | None = 0.9,
 ) -> DataFrame:
-    """For every named vector its ``k`` most similar others of cosine >= ``floor``: name, other, cosine, rank.
+    """For every named vector its ``k`` most similar others: name, other, cosine, rank.
 
     ``names`` maps ``id_col`` to ``name_col``. Rows without exactly ``dim`` finite components that are not
     all zero, and rows without a name, take no part; repeated rows count once. Ties are ordered by name.
-    Neighbours below ``floor`` are not listed, so a vector may have fewer than ``k``; recall against
-    brute force is measured in the tests.
+    With a ``floor`` only neighbours of at least that cosine are listed, found by hashing (recall against
+    brute force is measured in the tests). Without one (None) every vector has its ``k``, as far as there
+    are so many others, and every pair of classes is compared.
     """
     named = names.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{name_col}`").alias("name")).dropna()
     members = class_members(df, id_col, vec_col, dim).distinct().join(named, "key").select("cls", "name")
     members = cut(members.dropDuplicates(["name"]))
-    pairs = cut(candidate_pairs(df, vec_col, dim, floor - SLACK))
-    scored = exact_cosines(df, vec_col, dim, pairs).where(F.col("cosine") >= floor)
     # of a class of equal vectors only the first k + 1 names can be anyone's neighbours
     by_name = Window.partitionBy("cls").orderBy("name")
     targets = cut(members.withColumn("nth", F.row_number().over(by_name)).where(F.col("nth") <= k + 1).drop("nth"))
-    both = scored.unionByName(scored.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"), "cosine"))
-    live = targets.select(F.col("cls").alias("cls_b")).distinct()
-    both = both.join(live, "cls_b", "left_semi")
+    if floor is None:
+        named_only = keep_keys(class_vectors(df, vec_col, dim), cut(members.select("cls").distinct()), "cls")
+        both = all_nearest(cut(named_only.groupBy("cls").agg(F.first("v").alias("v"))), dim, k + 1)
+    else:
+        pairs = cut(candidate_pairs(df, vec_col, dim, floor - SLACK))
+        scored = exact_cosines(df, vec_col, dim, pairs).where(F.col("cosine") >= floor)
+        both = scored.unionByName(scored.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"), "cosine"))
+        live = targets.select(F.col("cls").alias("cls_b")).distinct()
+        both = both.join(live, "cls_b", "left_semi")
     nearest = Window.partitionBy("cls_a").orderBy(F.desc("cosine"), "cls_b")
     both = both.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1).drop("nth")
     several = targets.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1")

@@ -80,3 +80,33 @@ def test_other_lengths(spark, dim):
     vec, names = frames(spark, x)
     got = {(r.name, r.other) for r in vectors.similar_vectors(vec, "row_id", "embedding", names, "chunk_id", dim=dim).collect()}
     assert sum((f"n{i:04d}", f"n{i + 30:04d}") in got for i in range(30)) >= 27
+
+
+def test_without_a_floor_every_vector_has_its_nearest(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(700, 64)).astype(np.float32)
+    x = np.concatenate([x, x[:3], x[:1], x[:1], x[:1], x[:1], x[:1], x[:1]])
+    vec, names = frames(spark, x)
+    want = truth(x, floor=-1)
+    for rounds in (vectors.ROUND, 250):
+        monkeypatch.setattr(vectors, "ROUND", rounds)
+        monkeypatch.setattr(vectors, "COLUMNS", 128)
+        monkeypatch.setattr(vectors, "ROWS", 100)
+        got = vectors.similar_vectors(vec, "row_id", "embedding", names, "chunk_id", floor=None).collect()
+        assert {(int(r.name[1:]), int(r.other[1:])) for r in got} == want and len(got) == 5 * len(x)
+    assert sum(r.cosine < 0.9 for r in got) > 3000
+
+
+def test_without_a_floor_few_vectors_have_all_others(spark):
+    vec, names = frames(spark, np.random.default_rng(8).normal(size=(3, 64)).astype(np.float32))
+    assert vectors.similar_vectors(vec, "row_id", "embedding", names, "chunk_id", floor=None).count() == 6
+    assert vectors.similar_vectors(vec.limit(0), "row_id", "embedding", names, "chunk_id", floor=None).count() == 0
+
+
+def test_query_lists_five_neighbours_of_every_vector(spark, tmp_path):
+    from lodesift.llm import queries
+
+    x = np.random.default_rng(9).normal(size=(50, 64)).astype(np.float32)
+    vec, names = frames(spark, x)
+    vec.write.parquet(str(tmp_path / "vec_chunks.parquet"))
+    names.write.parquet(str(tmp_path / "chunk_ids.parquet"))
+    assert queries.p3_neighbours(spark, str(tmp_path)).count() == 250 and queries.p3_found(spark, str(tmp_path)).count() == 0
