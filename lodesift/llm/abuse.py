@@ -13,7 +13,6 @@ document's score is its worst segment's vote, calibrated on the labelled documen
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -39,9 +38,10 @@ SEED_WEIGHT = 0.02
 #: Segments of flagged documents stay examples if their neighbours elsewhere vote so, or, without
 #: neighbours, if three of their terms are in fewer than one segment in a thousand.
 EDIT, EDIT_FLOOR, RARE = 0.5, 0.25, 6.9
-#: An example is dropped if so few flags were this unlikely for wording as frequent in the corpus as its
-#: rarer terms (percentile RARER of their counts), were it labelled no more often than any other.
-UNLIKELY, RARER = 0.01, 30
+#: An example is dropped if its flags are less than this part (ENOUGH) of the labels to be expected for
+#: wording of as many documents as have its rarer terms (percentile RARER of their counts),
+#: unless small numbers fall that short by a chance of UNLIKELY or more.
+RARER, ENOUGH, UNLIKELY = 30, 0.5, 0.1
 #: Terms of this inverse frequency (in fewer than one segment in 150) count as rare.
 RARE_TERM = 5.0
 #: Offensive examples are kept in tiers by the length of their common part.
@@ -138,6 +138,11 @@ def bags(texts: list[str | None]) -> Bags:
     return Bags(np.r_[first, len(key)].astype(np.int64), key % DIMS, counts, np.array(owner)[has])
 
 
+def documents_with(b: Bags) -> np.ndarray:
+    """How many texts have each term."""
+    return np.bincount(np.unique(np.repeat(b.owner, np.diff(b.ptr)) * DIMS + b.terms) % DIMS, minlength=DIMS)
+
+
 def weights(b: Bags, idf: np.ndarray) -> np.ndarray:
     """TF-IDF weights, each row of length 1."""
     w = (1 + np.log(b.counts)) * idf[b.terms]
@@ -253,12 +258,12 @@ def _vote(cos: np.ndarray, y: np.ndarray, doc: np.ndarray) -> tuple[float, np.nd
 
 
 def _poisson_below(count: int, mean: float) -> float:
-    """Chance of at most ``count`` events where ``mean`` are expected."""
-    term = total = math.exp(-mean)
-    for i in range(1, count + 1):
-        term *= mean / i
-        total += term
-    return total
+    """Chance of at most ``count`` events where ``mean`` are expected; the terms are summed as logarithms."""
+    if mean <= 0:
+        return 1.0
+    i = np.arange(1, count + 1)
+    logs = np.r_[0.0, np.cumsum(np.log(mean / i))] - mean
+    return float(np.exp(logs).sum())
 
 
 class Model:
@@ -287,9 +292,10 @@ class Model:
                 keep[r] = _vote(cos, owner_y[rows], b.owner[rows])[0] >= EDIT
             else:
                 keep[r] = int((idf[terms] >= RARE).sum()) >= 3
-            # reviewers meet offences far more often than other wording of the same frequency
+            # reviewers meet offences at least half as often as other wording of as many documents, however many
             flagged = 1 + len(np.unique(b.owner[rows[owner_y[rows] >= 0.5]]))
-            keep[r] &= _poisson_below(flagged, labelled * float(np.percentile(counts.df[terms], RARER))) >= UNLIKELY
+            expected = labelled * float(np.percentile(counts.held[terms], RARER))
+            keep[r] &= flagged >= ENOUGH * expected or _poisson_below(flagged, expected) >= UNLIKELY
         rows = np.flatnonzero(keep)
         self.y, self.doc = owner_y[rows], ids[b.owner[rows]] if len(rows) else np.zeros(0, np.int64)
         self.index = BlockMaxIndex(*_pick(b, w, rows))
@@ -374,9 +380,10 @@ def _stretches(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tupl
 
 @dataclass
 class Counts:
-    """Over all documents: the segments that have each hashed term, all segments, all documents."""
+    """Over all documents: the segments and the documents that have each hashed term, all segments, all documents."""
 
     df: np.ndarray
+    held: np.ndarray
     segments: int
     documents: int
 
@@ -386,25 +393,26 @@ class Counts:
 
 
 def count_terms(docs: DataFrame) -> Counts:
-    """A table of ``DIMS`` counts, whatever the input."""
+    """Two tables of ``DIMS`` counts, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, segments_, documents = np.zeros(DIMS, np.int64), 0, 0
+        seen, segments_, documents = np.zeros(2 * DIMS, np.int64), 0, 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
             documents += len(texts)
             for lo, hi in _stretches(texts):
                 b = bags(texts[lo:hi])
-                seen += np.bincount(b.terms, minlength=DIMS)
+                seen[:DIMS] += np.bincount(b.terms, minlength=DIMS)
+                seen[DIMS:] += documents_with(b)
                 segments_ += len(b.owner)
-        term = np.r_[np.flatnonzero(seen), DIMS, DIMS + 1]
+        term = np.r_[np.flatnonzero(seen), 2 * DIMS, 2 * DIMS + 1]
         yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.r_[seen[seen > 0], segments_, documents])], names=["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    table = counted.toPandas()  # at most DIMS + 2 rows, whatever the input
-    all_ = np.zeros(DIMS + 2, np.int64)
+    table = counted.toPandas()  # at most 2 * DIMS + 2 rows, whatever the input
+    all_ = np.zeros(2 * DIMS + 2, np.int64)
     all_[table["term"].to_numpy()] = table["n"].to_numpy()
-    return Counts(all_[:DIMS], int(all_[DIMS]), int(all_[DIMS + 1]))
+    return Counts(all_[:DIMS], all_[DIMS : 2 * DIMS], int(all_[2 * DIMS]), int(all_[2 * DIMS + 1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:

@@ -71,3 +71,17 @@ def test_no_labels_and_no_documents(spark):
     row = abuse.score_documents(d, none).first()
     assert not row.flagged and row.evidence == []
     assert abuse.score_documents(d.limit(0), none).count() == 0
+
+
+def test_large_groups_of_copies_stay_examples():
+    rng = np.random.default_rng(2)
+    fine = lambda: " ".join(rng.choice(FINE).format(rng.choice(SLOTS)).capitalize() + "." for _ in range(3))
+    bad = BAD[0].format("retriever").capitalize() + "."
+    # a third of the documents are copies which say it several times; in the second collection over 745 of them
+    for n, times in ((240, 4), (2400, 1)):
+        texts = [" ".join([bad] * times) if i % 3 == 0 else fine() for i in range(n)]
+        y = [float(i % 3 == 0) for i in range(n)]
+        b = abuse.bags(texts)
+        counts = abuse.Counts(np.bincount(b.terms, minlength=abuse.DIMS), abuse.documents_with(b), len(b.owner), n)
+        raw, _ = abuse.Model(list(range(n)), texts, y, counts).score([bad, fine()])
+        assert raw[0] >= 0.9 and raw[1] == 0, (n, raw)
