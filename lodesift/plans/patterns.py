@@ -105,7 +105,34 @@ def long_context(col: Collection, questions: DataFrame, k: int = 10) -> DataFram
     context = "\n\n".join(f"[{c}] {t}" for c, t in rows)
     asked = questions.select("qid", "question")
     asked = col.ask(asked, "generate", context=F.lit(context), question=F.col("question"))
-    ids = F.array(*(F.lit(c) for c, _ in rows[:k])).cast("array<string>")
+    return _context_answers(asked, [c for c, _ in rows[:k]])
+
+
+def long_context_by_size(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
+    """:func:`long_context` whatever the size, for models that need only the size of the shared context.
+
+    The prompt up to the end of the context is the cacheable prefix of all questions; its text is put
+    together only for providers that send it, which have their own limit. Chunks without text count as empty.
+    """
+    head, tail = col.prompts["generate"].split("{context}")
+    fixed = len(head.replace("{{", "{").replace("}}", "}"))
+    line = F.concat(F.lit("["), "chunk_id", F.lit("] "), F.coalesce("text", F.lit("")))
+    size = col.chunks.agg((F.coalesce(F.sum(F.length(line) + 2) - 2, F.lit(0)) + fixed).alias("chars"))
+    asked = questions.select("qid", "question", F.lit(0).alias("__all"))
+    sizes = size.crossJoin(asked.agg(F.min("qid").alias("first"))).select(F.lit(0).alias("key"), "chars", "first")
+
+    def texts() -> DataFrame:
+        lines = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
+        whole = F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n")
+        return col.chunks.agg(whole.alias("d")).select(F.lit(0).alias("key"), fill(head + "{context}", context=F.col("d")).alias("text"))
+
+    asked = asked.withColumn("__p", fill(tail, question=F.col("question")))
+    asked = col.llm.ask(asked, "__p", "r", Prefix("__all", "qid", sizes, texts)).drop("__p", "__all")
+    return _context_answers(asked, [r["chunk_id"] for r in col.chunks.select("ord", "chunk_id").orderBy("ord").limit(k).collect()])
+
+
+def _context_answers(asked: DataFrame, first: list[str]) -> DataFrame:
+    ids = F.array(*(F.lit(c) for c in first)).cast("array<string>")
     return asked.select(
         "qid",
         "question",

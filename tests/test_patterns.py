@@ -73,3 +73,26 @@ def test_long_context_refuses_what_no_model_reads(spark, asked, monkeypatch):
     monkeypatch.setattr(patterns, "MOST_CONTEXT_CHARS", 10)
     with pytest.raises(ValueError):
         patterns.long_context(make(spark), asked)
+
+
+def test_long_context_query_holds_the_whole_corpus(spark, asked, monkeypatch):
+    from lodesift.plans import queries
+
+    monkeypatch.setattr(patterns, "MOST_CONTEXT_CHARS", 10)
+    monkeypatch.setattr(queries, "collection", lambda *_: make(spark))
+    monkeypatch.setattr(queries, "questions", lambda *_: asked)
+    monkeypatch.setattr(queries, "_answers", lambda df: df)
+    rows = {r.qid: r for r in queries.long_context(spark, "").collect()}
+    head, tail = patterns.PROMPTS["generate"].split("{context}")
+    share = len(head + "\n\n".join(f"[c{i}] {t}" for i, t in enumerate(TEXTS))) // 4
+    assert set(rows) == {"q1", "q2"} and rows["q1"].retrieved_chunk_ids == [f"c{i}" for i in range(5)]
+    assert all(r.input_tokens == share + len(tail.replace("{question}", r.question)) // 4 for r in rows.values())
+    assert (rows["q1"].cache_creation_input_tokens, rows["q2"].cached_input_tokens) == (share, share)
+
+
+def test_long_context_by_size_sends_the_text_where_it_is_needed(spark, asked):
+    from lodesift.functions.providers import CallableLLM
+
+    col = make(spark, CallableLLM(lambda: lambda p: (p, 1, 2, 0, 0, 0.5)))
+    sent = {r.qid: r.answer for r in patterns.long_context_by_size(col, asked).collect()}
+    assert sent == {r.qid: r.answer for r in patterns.long_context(col, asked).collect()}
