@@ -206,7 +206,7 @@ def features(pairs: DataFrame) -> DataFrame:
                 said = units(answer)
                 cues = [declines(s) for s in _SENTENCE.split(_CITATION.sub("", answer)) if _WORD.search(s)]
                 rows.append(
-                    (src, key, qid, False, copies(question, answer), other_language(question, answer), state, grams, last, bool(_LISTED.search(answer)), len(said), said[:6], cues[:6])
+                    (src, key, qid, False, copies(question, answer), other_language(question, answer), state, grams, last, bool(_LISTED.search(answer)), len(said), said, cues)
                 )
             if rows:
                 cols = list(zip(*rows))

@@ -82,3 +82,10 @@ def test_blank_questions_repeats_and_empty_tables(spark):
     assert found(spark, [(None, None), ("  ", None), (Q, None)]) == {2: "empty"}
     df = spark.createDataFrame([("answers", "1", "q", Q, None)] * 3 + [("qa_set", "1", "q", Q, "")], "src string, pair_key string, qid string, question string, answer string")
     assert sorted(tuple(r) for r in pairs.broken_pairs(df).collect()) == [("answers", "1", "empty"), ("qa_set", "1", "empty")]
+
+
+def test_refusals_of_many_sentences(spark):
+    offers = ["I can look at other papers.", "I can list the tables.", "I can rank the passages again.", "I can shorten the question.", "I can name related work.", "I can widen the search.", "I can stop here."]
+    refusing = [(f"{Q} {w}", " ".join(["I cannot answer this question based on the provided context.", *offers])) for w in "abcd"]
+    told = [(f"{Q} {w}", " ".join([*(f"The {x} table holds a sparse query." for x in ("first", "second", "third", "fourth", "fifth", "sixth", "last")), "It is dropped."])) for w in "ef"]
+    assert found(spark, refusing + told) == {i: "refusal" for i in range(4)}
