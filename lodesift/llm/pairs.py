@@ -1,12 +1,13 @@
 """Broken question-answer pairs: empty, copied, refused, foreign-language and truncated answers.
 
-Refusals are found from the collection itself. The sentences of short answers are masked (names and
-numbers), their openings are clustered by verified MinHash, and a cluster that recurs across unrelated
-prompts and mostly carries a declining phrase is a refusal template; all its members count, whether or
-not they carry the phrase. A sentence that hardly ever stands without a refusal is padding. An answer of
-nothing but refusals and padding is a refusal. Copies, languages and endings are checked pair by pair;
-whether a text without a final stop is finished is decided by counts over all answers of how often the
-same (masked) ending closes a sentence and how often it goes on.
+Refusals are found from the collection itself. The opening words of every sentence (names and figures
+masked) are clustered by MinHash, verified on the exact sets. A cluster that recurs across unrelated
+prompts, shares no words with them and mostly stands in answers without anything of the prompt is a refusal template; no listed
+phrase is needed. A sentence that hardly ever stands without a template is padding. An answer of nothing
+but templates and padding is a refusal. A declining phrase only lowers how often a cluster must recur. Copies,
+languages and endings are checked pair by pair; whether a text without a final stop is finished is
+decided by counts over all answers of how often the same (masked) ending closes a sentence and how often
+it goes on.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -72,6 +74,18 @@ DECLINING = re.compile(
     re.X,
 )
 
+#: Words of a sentence that are its opening.
+OPENING = 6
+#: A cluster of openings recurs from so many prompts on, or from fewer where most of it declines.
+PROMPTS, PROMPTS_DECLINING = 3, 1
+#: Of a cluster's occurrences at most this part may share words with the prompt or hold figures, and this
+#: part of its prompts may begin alike (or half more than all prompts do).
+ECHO, ALIKE = 0.3, 0.75
+#: This part of a template's occurrences stands in answers without any figure or word of the prompt.
+WHOLE = 0.5
+#: A sentence seen so often, and in this part of its occurrences beside a template, is padding.
+PADS, BESIDE = 3, 0.6
+
 #: A word that ends so many answers without a stop is a word, and no cut-off piece of one.
 OFTEN = 3
 
@@ -147,20 +161,43 @@ def _masked(sentence: str, words: list[str]) -> list[str]:
     return ["<li>" if _ITEM.match(sentence) else "<s>", *(mask(w) for w in words)]
 
 
-def units(answer: str) -> list[str]:
-    """The masked sentences of an answer, lower case, without punctuation."""
+def _token(word: str) -> str:
+    """A word in ASCII letters and digits, so that every script can be shingled."""
+    return word if word.isascii() else "u" + word.encode("utf-8", "surrogatepass").hex()
+
+
+def _said(text: str) -> list[str]:
+    """The masked words of a stretch of text; scripts without spaces give single characters."""
+    out = []
+    for w in _WORD.findall(text):
+        if w[0].isdigit():
+            out.append("9")
+        elif _HAN.match(w):
+            out += w
+        else:
+            out.append("X" if _NAME.match(w) else w.lower())
+    return out
+
+
+def opening(words: list[str]) -> str:
+    """The key of a sentence: a mark of its start and its first words, in ASCII."""
+    return " ".join(["0", *(_token(w) for w in words[:OPENING])])
+
+
+def sentences(answer: str) -> list[tuple[str, list[str]]]:
+    """The sentences of an answer that have words, with their masked words."""
     out = []
     for s in _SENTENCE.split(_CITATION.sub("", answer).replace("’", "'")):
-        words = ["9" if w[0].isdigit() else "X" if _NAME.match(w) else w.lower() for w in _WORD.findall(s)]
+        words = _said(s)
         if words:
-            out.append(" ".join(words))
+            out.append((s, words))
     return out
 
 
 def declines(sentence: str) -> bool:
     """The sentence says itself, outside quotation marks and without figures, that it gives no answer."""
-    bare = _QUOTED.sub(" ", sentence.replace("’", "'")).lower()
-    return not re.search(r"\d", re.sub(r"\S*[a-z]\S*\d\S*", " ", bare)) and bool(DECLINING.search(bare))
+    bare = _QUOTED.sub(" ", sentence).lower()
+    return bool(DECLINING.search(bare)) and not re.search(r"\d", re.sub(r"\S*[a-z]\S*\d\S*", " ", bare))
 
 
 def ending(answer: str) -> tuple[str, list[str], str]:
@@ -169,7 +206,7 @@ def ending(answer: str) -> tuple[str, list[str], str]:
     raw = answer.rstrip()
     if raw.count("```") % 2 or len(re.findall(r"\[(?:arxiv:)?[^\]\s]*$", raw)) or raw.count("**") % 2:
         return "broken", [], ""
-    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])\s*$", raw) or re.search(r"\([^()]*$", raw[-80:]):
+    if re.search(r"(?:^|\n)\s*(?:[-*•]|\d+[.)])\s*$", raw) or re.search(r"\([^()]*$", _SENTENCE.split(raw)[-1]):
         return "broken", [], ""
     text = _CITATION.sub("", text).rstrip()
     if re.search(r"[,;:([{/&+=–—-]$|\.\.\.$|…$", text):
@@ -187,34 +224,46 @@ def ending(answer: str) -> tuple[str, list[str], str]:
 
 
 _FEATURES = (
-    "src string, pair_key string, qid string, empty boolean, copied boolean, foreign boolean, state string, "
-    "grams array<string>, last_word string, listed boolean, sentences int, units array<string>, cues array<boolean>"
+    "src string, pair_key string, empty boolean, copied boolean, foreign boolean, state string, grams array<string>, "
+    "last_word string, listed boolean, sentences int, prompt bigint, kind string, plain boolean, "
+    "units array<struct<key: string, figure: boolean, echo: boolean, cue: boolean>>"
 )
+_UNITS = pa.list_(pa.struct([("key", pa.string()), ("figure", pa.bool_()), ("echo", pa.bool_()), ("cue", pa.bool_())]))
+_TYPES = [pa.string()] * 2 + [pa.bool_()] * 3 + [pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), _UNITS]
 
 
 def features(pairs: DataFrame) -> DataFrame:
-    """What is seen in each pair (src, pair_key, qid, question, answer) by itself."""
+    """What is seen in each pair (src, pair_key, question, answer) by itself.
+
+    ``units`` has the opening of every sentence, whether the sentence holds a figure, whether it shares
+    words with the prompt, and whether it declines; ``plain`` answers hold no figures at all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for src, key, qid, question, answer in zip(*(c.to_pylist() for c in batch.columns)):
+            for src, key, question, answer in zip(*(c.to_pylist() for c in batch.columns)):
                 if is_empty(answer):
-                    rows.append((src, key, qid, True, False, False, "closed", [], "", False, 0, [], []))
+                    rows.append((src, key, True, False, False, "closed", [], "", False, 0, 0, "", False, []))
                     continue
+                asked = _said(question)
+                kind = asked[0] if asked else ""
+                prompt = int.from_bytes(blake2b(" ".join(asked).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                content = set(asked) - _FUNCTION - {"X", "9"}
                 state, grams, last = ending(answer)
-                said = units(answer)
-                cues = [declines(s) for s in _SENTENCE.split(_CITATION.sub("", answer)) if _WORD.search(s)]
+                parts = sentences(answer)
+                plain = not any("9" in words for _, words in parts)
+                said = [
+                    {"key": opening(words), "figure": "9" in words, "echo": not content.isdisjoint(words), "cue": plain and declines(s)} for s, words in parts
+                ]
                 rows.append(
-                    (src, key, qid, False, copies(question, answer), other_language(question, answer), state, grams, last, bool(_LISTED.search(answer)), len(said), said, cues)
+                    (src, key, False, copies(question, answer), other_language(question, answer), state, grams, last, bool(_LISTED.search(answer)), len(said), prompt, kind, plain, said)
                 )
             if rows:
-                cols = list(zip(*rows))
-                types = [pa.string()] * 3 + [pa.bool_()] * 3 + [pa.string(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_())]
-                names = [f.split()[0] for f in _FEATURES.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
+                names = re.findall(r"(?:^|, )(\w+) (?=string|boolean|array|int|bigint)", _FEATURES)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _TYPES)], names=names)
 
-    return pairs.select("src", "pair_key", "qid", "question", "answer").mapInArrow(run, _FEATURES)
+    return pairs.select("src", "pair_key", "question", "answer").mapInArrow(run, _FEATURES)
 
 
 def ending_counts(pairs: DataFrame) -> DataFrame:
@@ -259,28 +308,53 @@ def ending_counts(pairs: DataFrame) -> DataFrame:
     return counted.groupBy("kind", "item").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
 
 
-def refusal_units(seen: DataFrame, prompts: int = 3, share: float = 0.5, similarity: float = 0.6) -> DataFrame:
-    """(unit): masked sentences that belong to a refusal template, or decline by themselves.
+def refusing_answers(seen: DataFrame, similarity: float = 0.6) -> DataFrame:
+    """(src, pair_key) of the answers that only refuse, from a cut table of :func:`features`.
 
-    Sentences that recur in ``prompts`` prompts, or decline, are clustered with one another; a cluster
-    that recurs and declines in at least ``share`` of its occurrences is a template. The other sentences
-    are only compared with the templates, so ordinary answers are never compared among themselves.
+    Only openings of answers without figures are clustered (an answer with one is no refusal), but the
+    counts of a cluster are over all answers. Nothing is compared but distinct openings.
     """
-    said = seen.select("qid", F.explode(F.arrays_zip("units", "cues")).alias("u"))
-    said = said.select("qid", F.col("u.units").alias("unit"), F.col("u.cues").alias("cue"))
-    kinds = cut(said.groupBy("unit").agg(F.count_distinct("qid").alias("n"), F.max(F.col("cue").cast("int")).alias("cue")))
-    plain = ~F.col("unit").rlike(r"(^| )9( |$)") & (F.size(F.split("unit", " ")) <= 40)
-    frequent = (F.col("n") >= prompts) | (F.col("cue") == 1)
-    grouped = neardup.near_duplicates(kinds.where(plain & frequent), "unit", "unit", words=2, similarity=similarity)
-    grouped = grouped.select(F.col("key").alias("unit"), "group_id").join(kinds, "unit").where(F.col("group_id").isNotNull())
-    grouped = cut(grouped)
-    by_group = grouped.groupBy("group_id").agg(F.sum("n").alias("all_n"), F.sum(F.col("n") * F.col("cue")).alias("cue_n"))
-    templates = by_group.where((F.col("all_n") >= prompts) & (F.col("cue_n") >= share * F.col("all_n"))).select("group_id")
-    members = grouped.join(templates, "group_id", "left_semi").select("unit")
-    known = cut(members.unionByName(kinds.where("cue = 1").select("unit")).distinct())
-    rest = kinds.where(plain & ~frequent).select(F.col("unit").alias("key"), F.col("unit").alias("text"))
-    alike = neardup.links_between(rest, known.select(F.col("unit").alias("key"), F.col("unit").alias("text")), 2, similarity)
-    return cut(known.unionByName(alike.select(F.col("key").alias("unit"))).distinct())
+    # an answer says something of its own if it holds a figure or a word of the prompt, which cannot be
+    # told of one in another language
+    idle = F.col("plain") & ~F.col("foreign") & ~F.exists("units", lambda u: u["echo"])
+    said = seen.select("src", "pair_key", "prompt", "kind", "plain", "sentences", idle.alias("idle"), F.explode("units").alias("u"))
+    said = said.select("src", "pair_key", "prompt", "kind", "plain", "sentences", "idle", "u.*")
+    sums = ("n", "figures", "echoes", "cues", "idle")
+    counted = cut(
+        said.groupBy("key", "kind", "prompt").agg(
+            F.count("*").alias("n"),
+            F.count_if("figure").alias("figures"),
+            F.count_if("echo").alias("echoes"),
+            F.count_if("cue").alias("cues"),
+            F.count_if("idle").alias("idle"),
+            F.max("plain").alias("plain"),
+        )
+    )
+    keys = counted.where("plain").select("key").distinct()
+    groups = cut(neardup.near_duplicates(keys, "key", "key", words=2, similarity=similarity).select("key", F.col("group_id").alias("grp")))
+    by_prompt = counted.join(groups, "key").groupBy("grp", "kind", "prompt").agg(*(F.sum(c).alias(c) for c in sums))
+    by_kind = by_prompt.groupBy("grp", "kind").agg(F.count("*").alias("prompts"), *(F.sum(c).alias(c) for c in sums))
+    # how many of all prompts begin alike
+    kinds = cut(seen.select("kind", "prompt").distinct().groupBy("kind").agg(F.count("*").alias("alike")))
+    every = kinds.agg(F.sum("alike").alias("every"))
+    share = kinds.crossJoin(F.broadcast(every)).select("kind", (1.5 * F.col("alike") / F.col("every")).alias("usual"))  # one row
+    by_group = by_kind.join(share, "kind").groupBy("grp").agg(
+        F.sum("prompts").alias("p"), F.max(F.struct("prompts", "usual")).alias("top"), *(F.sum(c).alias(c) for c in sums)
+    )
+    varied = F.col("top.prompts") <= F.greatest(F.lit(ALIKE), F.col("top.usual")) * F.col("p")
+    recurs = ((F.col("p") >= PROMPTS) & varied & (F.col("echoes") <= ECHO * F.col("n"))) | (
+        (2 * F.col("cues") >= F.col("n")) & (F.col("p") >= PROMPTS_DECLINING)
+    )
+    chosen = by_group.where(recurs & (F.col("figures") <= ECHO * F.col("n")) & (F.col("idle") >= WHOLE * F.col("n"))).select("grp")
+    templates = cut(groups.join(chosen, "grp", "left_semi").select("key").withColumn("refuses", F.lit(1)))
+    marked = said.select("src", "pair_key", "sentences", "plain", "key").join(templates, "key", "left")
+    beside = marked.groupBy("src", "pair_key").agg(F.count("refuses").alias("refusals")).where("refusals > 0")
+    near = marked.where("refuses is null").join(beside, ["src", "pair_key"], "left").groupBy("key").agg(F.count("*").alias("c"), F.count("refusals").alias("with"))
+    padding = near.where((F.col("c") >= PADS) & (F.col("with") >= BESIDE * F.col("c"))).select("key").withColumn("pads", F.lit(1))
+    judged = marked.where("plain").join(padding, "key", "left").groupBy("src", "pair_key").agg(
+        F.count("refuses").alias("refusals"), F.count(F.coalesce("refuses", "pads")).alias("spent"), F.max("sentences").alias("n")
+    )
+    return judged.where("refusals > 0 and spent = n").select("src", "pair_key").distinct()
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
@@ -292,21 +366,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     """
     asked = cut(pairs.where(F.col("question").isNotNull() & F.col("question").rlike(r"\S")))
     seen = cut(features(asked))
-    # refusals
-    refusing = refusal_units(seen)
-    said = seen.select("src", "pair_key", "sentences", F.explode("units").alias("unit"))
-    marked = said.join(refusing.withColumn("refuses", F.lit(1)), "unit", "left")
-    whole = marked.groupBy("src", "pair_key").agg(F.count("refuses").alias("refusals"))
-    near = said.join(whole, ["src", "pair_key"]).groupBy("unit").agg(
-        F.count("*").alias("c"), F.count(F.when(F.col("refusals") > 0, 1)).alias("with")
-    )
-    padding = near.where((F.col("c") >= 3) & (F.col("with") >= 0.6 * F.col("c"))).select("unit").withColumn("pads", F.lit(1))
-    judged = marked.join(padding, "unit", "left").groupBy("src", "pair_key").agg(
-        F.count("refuses").alias("refusals"),
-        F.count(F.coalesce("refuses", "pads")).alias("idle"),
-        F.max("sentences").alias("n"),
-    )
-    refused = judged.where("refusals > 0 and idle = n").select("src", "pair_key").distinct().withColumn("refused", F.lit(True))
+    refused = refusing_answers(seen).withColumn("refused", F.lit(True))
     # endings
     counts = cut(ending_counts(asked))
     open_ = seen.where("state = 'open'")

@@ -89,3 +89,40 @@ def test_refusals_of_many_sentences(spark):
     refusing = [(f"{Q} {w}", " ".join(["I cannot answer this question based on the provided context.", *offers])) for w in "abcd"]
     told = [(f"{Q} {w}", " ".join([*(f"The {x} table holds a sparse query." for x in ("first", "second", "third", "fourth", "fifth", "sixth", "last")), "It is dropped."])) for w in "ef"]
     assert found(spark, refusing + told) == {i: "refusal" for i in range(4)}
+
+
+def _topics(n):
+    kinds = ["What recall does Tasu{i}Rank reach?", "Why does the {w} table fail?", "How many layers were used to train Mira{i}QA?", "Describe how Oro{i}Mix handles {w} judges.", "Which {w} split does Vela{i}Index rely on?"]
+    words = ["dense", "sparse", "greedy", "noisy", "causal", "lossy", "deep"]
+    return [kinds[i % len(kinds)].format(i=i, w=words[i % len(words)]) for i in range(n)]
+
+
+def test_templates_need_no_listed_phrase(spark):
+    wording = "That lies beyond what this desk may talk about, friend."
+    told = [(q, f"It holds 0.{i} of the {q.split()[2]} parts.") for i, q in enumerate(_topics(60))]
+    got = found(spark, told[20:] + [(q, wording) for q in _topics(20)])
+    assert not pairs.declines(wording)
+    assert got == {40 + i: "refusal" for i in range(20)}
+
+
+def test_what_recurs_for_one_kind_of_prompt_is_an_answer(spark):
+    told = [(q, f"It holds 0.{i} of the {q.split()[2]} parts.") for i, q in enumerate(_topics(40))]
+    asked = [(f"Does Vela{i}Mix need a cache when it is {w}?", "Yes, it certainly always does.") for i, w in enumerate("abcdefghij")]
+    assert found(spark, told + asked) == {}
+
+
+def test_refusals_of_seven_sentences_and_of_other_scripts(spark):
+    seven = "I cannot answer this question. It is late. The desk is closed. Nobody is in. Come again. Call first. Have a good day."
+    told = [(q, f"It holds 0.{i} of the {q.split()[2]} parts.") for i, q in enumerate(_topics(40))]
+    other = ["这个问题超出了我们可以谈论的范围。", "Этот разговор выходит за пределы дозволенного."]
+    rows = [(q, seven) for q in _topics(5)]
+    rows += [(q, other[0]) for q in ("为什么稠密表失败？", "哪个模型最好？", "多少层用于训练？", "描述一下贪心查询。")]
+    rows += [(q, other[1]) for q in ("Почему таблица неверна?", "Какая модель лучше?", "Сколько слоев обучено?", "Опишите жадный запрос.")]
+    got = found(spark, told + rows)
+    assert all(got.get(40 + i) == "refusal" for i in range(len(rows)))
+    assert not any(i in got for i in range(40))
+
+
+def test_a_bracket_left_open_long_before_the_end_is_truncated():
+    assert pairs.ending("The table relies on it (see " + "the long list of words " * 10 + "here")[0] == "broken"
+    assert pairs.ending("A smile :( is none. The table is dense.")[0] == "closed"
