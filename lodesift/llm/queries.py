@@ -83,7 +83,10 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of cosine 0.9 or more: what is nearer ranks first, so the floor does not change the five."""
+    """Pairs of cosine 0.9 or more: what is nearer ranks first, so the floor does not change the five.
+
+    The floor is part of this query's definition; ``p3_neighbours`` has none.
+    """
     near = _near_chunks(spark, folder, 0.9)
     pair = near.select(
         F.least("chunk_id", "neighbour_id").alias("chunk_id_a"), F.greatest("chunk_id", "neighbour_id").alias("chunk_id_b")
@@ -91,6 +94,34 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair.distinct()
 
 
+P3_FOUND_SQL = """
+WITH v AS (
+  SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS x FROM vec_chunks JOIN chunk_ids USING (row_id)
+  WHERE len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)), false)
+    AND list_contains(list_transform(embedding, lambda e: e <> 0), true)
+), n AS (SELECT chunk_id, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS u FROM v),
+s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_dot_product(a.u, b.u) AS c FROM n a JOIN n b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS k FROM s WHERE c >= 0.9)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE k <= 5
+"""
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors with neighbours, rows, and how many vectors lack one of their five: one row."""
+    near = p3_neighbours(spark, folder).groupBy("chunk_id").agg(F.count("*").alias("c"), F.max("rank").alias("last"), F.min("rank").alias("first"))
+    fine = (F.col("c") == 5) & (F.col("last") == 5) & (F.col("first") == 1)
+    return near.agg(F.count("*").alias("vectors"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_rows"), F.count_if(~fine).alias("incomplete"))
+
+
+P3_COUNTS_SQL = """
+WITH v AS (
+  SELECT DISTINCT chunk_id FROM vec_chunks JOIN chunk_ids USING (row_id)
+  WHERE len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)), false)
+    AND list_contains(list_transform(embedding, lambda e: e <> 0), true)
+)
+SELECT count(*)::BIGINT AS vectors, (5 * count(*))::BIGINT AS n_rows, 0::BIGINT AS incomplete FROM v
+"""
+
 # ------------------------------------------------------------------ problem 4
 
 
@@ -163,6 +194,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_groups": p2_groups,
         "p3_found": p3_found,
         "p3_neighbours": p3_neighbours,
+        "p3_counts": p3_counts,
         "p4_found": p4_found,
         "p5_ids": p5_ids,
         "p6_containers": p6_containers,
@@ -174,4 +206,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_counts": P3_COUNTS_SQL}

@@ -66,10 +66,11 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
 def test_empty_and_rotation(spark):
     vec, names = frames(spark, np.zeros((0, 64), np.float32))
     assert vectors.similar_vectors(vec, "row_id", "embedding", names, "chunk_id").count() == 0
-    m = vectors.pseudo_rotation(64, np.random.default_rng(0))
+    m = vectors.pseudo_rotation(np.eye(64, dtype=np.float32), 0, 0)
     assert np.allclose(m @ m.T, np.eye(64), atol=1e-5)
     u = vectors._unit(np.random.default_rng(2).normal(size=(50, 64)).astype(np.float32))
-    assert np.abs((vectors._unpack(vectors._pack(u)) * u).sum(1) - 1).max() < 0.05
+    for bits, off in ((4, 0.05), (8, 0.001)):
+        assert np.abs((vectors._unpack(vectors._pack(u, bits), bits) * u).sum(1) - 1).max() < off
 
 
 @pytest.mark.parametrize("dim", [3, 10])
@@ -82,17 +83,13 @@ def test_other_lengths(spark, dim):
     assert sum((f"n{i:04d}", f"n{i + 30:04d}") in got for i in range(30)) >= 27
 
 
-def test_without_a_floor_every_vector_has_its_nearest(spark, monkeypatch):
+def test_without_a_floor_every_vector_has_its_nearest(spark):
     x = np.random.default_rng(7).normal(size=(700, 64)).astype(np.float32)
     x = np.concatenate([x, x[:3], x[:1], x[:1], x[:1], x[:1], x[:1], x[:1]])
     vec, names = frames(spark, x)
     want = truth(x, floor=-1)
-    for rounds in (vectors.ROUND, 250):
-        monkeypatch.setattr(vectors, "ROUND", rounds)
-        monkeypatch.setattr(vectors, "COLUMNS", 128)
-        monkeypatch.setattr(vectors, "ROWS", 100)
-        got = vectors.similar_vectors(vec, "row_id", "embedding", names, "chunk_id", floor=None).collect()
-        assert {(int(r.name[1:]), int(r.other[1:])) for r in got} == want and len(got) == 5 * len(x)
+    got = vectors.similar_vectors(vec, "row_id", "embedding", names, "chunk_id", floor=None).collect()
+    assert {(int(r.name[1:]), int(r.other[1:])) for r in got} == want and len(got) == 5 * len(x)
     assert sum(r.cosine < 0.9 for r in got) > 3000
 
 
@@ -110,3 +107,24 @@ def test_query_lists_five_neighbours_of_every_vector(spark, tmp_path):
     vec.write.parquet(str(tmp_path / "vec_chunks.parquet"))
     names.write.parquet(str(tmp_path / "chunk_ids.parquet"))
     assert queries.p3_neighbours(spark, str(tmp_path)).count() == 250 and queries.p3_found(spark, str(tmp_path)).count() == 0
+
+
+def test_buckets_keep_their_size_as_vectors_grow():
+    for n in (10, 1_000, 100_000, 10_000_000, 10**9):
+        axes_of = vectors.hash_axes(n, 64, 16)
+        buckets = np.prod([2.0 * a for a in axes_of])
+        assert n / 64 <= 16 * buckets <= 4 * n or n < 64
+    assert vectors.hash_axes(5, 64, 16) == []
+
+
+def test_recall_without_a_floor_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_BUCKET_OPEN", 64)
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(8, 64))[rng.integers(0, 8, 2000)] + rng.normal(size=(2000, 64))).astype(np.float32)
+    vec, names = frames(spark, x)
+    got = vectors.similar_vectors(vec, "row_id", "embedding", names, "chunk_id", floor=None).collect()
+    pairs = {(int(r.name[1:]), int(r.other[1:])) for r in got}
+    want = {p for p in truth(x, floor=-1) if p[0] % 20 == 0}
+    assert len(vectors.hash_axes(2000, 64, 64)) >= 1 and len(got) == 5 * len(x)
+    assert len(pairs & want) >= 0.9 * len(want)
