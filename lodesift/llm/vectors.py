@@ -36,9 +36,9 @@ PROBES = 2
 BLOCK = 4096
 SEED = 20240611
 #: Vectors a bucket, with a floor and without one, and the most tables.
-PER_BUCKET, PER_BUCKET_OPEN, MOST_TABLES = 16, 1536, 48
+PER_BUCKET, PER_BUCKET_OPEN, MOST_TABLES = 128, 1536, 48
 #: Part of the pairs that shall share a bucket: at the floor, and of the sampled neighbours.
-HIT, HIT_OPEN = 0.997, 0.96
+HIT, HIT_OPEN = 0.999, 0.96
 #: Vectors whose true neighbours set the number of tables, and vectors that tell which buckets are hot.
 SAMPLE, SIZED = 256, 50_000
 #: Four-bit components put a cosine off by 0.03 (one standard deviation); the floor gives three of it.
@@ -515,14 +515,16 @@ def similar_vectors(
     if floor is not None:
         scored = scored.where(F.col("cosine") >= floor)
     both = scored.unionByName(scored.select(F.col("cls_b").alias("cls_a"), F.col("cls_a").alias("cls_b"), "cosine"))
-    nearest = Window.partitionBy("cls_a").orderBy(F.desc("cosine"), "cls_b")
-    both = both.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1).drop("nth")
+    # ties (equal to twelve decimals) go to the class whose first name is least
+    firsts = targets.groupBy("cls").agg(F.min("name").alias("least")).withColumnRenamed("cls", "cls_b")
+    nearest = Window.partitionBy("cls_a").orderBy(F.round("cosine", 12).desc(), "least")
+    both = both.join(firsts, "cls_b").withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1).drop("nth", "least")
     several = targets.groupBy("cls").agg(F.count("*").alias("c")).where("c > 1")
     same = several.select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"), F.lit(1.0).alias("cosine"))
     to = targets.select(F.col("cls").alias("cls_b"), F.col("name").alias("other"))
     options = both.unionByName(same).join(to, "cls_b").select("cls_a", "other", "cosine")
-    first = Window.partitionBy("cls_a").orderBy(F.desc("cosine"), "other")
+    first = Window.partitionBy("cls_a").orderBy(F.round("cosine", 12).desc(), "other")
     options = options.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1).drop("nth")
     listed = members.withColumnRenamed("cls", "cls_a").join(options, "cls_a").where("name <> other")
-    rank = Window.partitionBy("name").orderBy(F.desc("cosine"), "other")
+    rank = Window.partitionBy("name").orderBy(F.round("cosine", 12).desc(), "other")
     return listed.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("name", "other", "cosine", "rank")
