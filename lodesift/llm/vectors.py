@@ -40,7 +40,7 @@ PER_BUCKET, PER_BUCKET_OPEN, MOST_TABLES = 128, 1536, 48
 #: Part of the pairs that shall share a bucket: at the floor, and of the sampled neighbours.
 HIT, HIT_OPEN = 0.999, 0.96
 #: Vectors whose true neighbours set the number of tables, and vectors that tell which buckets are hot.
-SAMPLE, SIZED = 256, 50_000
+SAMPLE, SIZED = 256, 10_000
 #: Four-bit components put a cosine off by 0.03 (one standard deviation); the floor gives three of it.
 SLACK = 0.085
 #: Neighbours kept beyond those wanted until they are ranked exactly, and tables of the first round.
