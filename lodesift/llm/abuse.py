@@ -7,8 +7,9 @@ segments. A segment of a flagged document that its own neighbourhood in other do
 ordinary text next to the offence and is dropped (Wilson editing). Every segment of every document is
 then compared by exact cosine with the examples, through an inverted index in blocks: the largest weight
 of each term, first over the whole index and then by block, bounds what a segment could reach, and only
-blocks that could reach the floor are evaluated. Neighbours vote with the cube of their cosine; the
-document's score is its worst segment's vote, calibrated on the labelled documents held out one by one.
+blocks that could reach the floor are evaluated. Neighbours vote with the cube of their cosine, but never
+a document's own label for itself; the document's score is its worst segment's vote, calibrated on the
+votes that the labelled documents get.
 """
 
 from __future__ import annotations
@@ -266,75 +267,49 @@ def _poisson_below(count: int, mean: float) -> float:
     return float(np.exp(logs).sum())
 
 
-class Model:
-    """The edited examples, their index, and the calibration."""
+class Examples:
+    """The segments of the labelled documents, before editing."""
 
     def __init__(self, docs: list[int], texts: list[str], y: list[float], counts: Counts) -> None:
-        self.idf = idf = counts.idf
-        labelled = len(texts) / max(1, counts.documents)
-        b = bags(texts)
-        w = weights(b, idf)
-        y_doc = np.array(y, float)
-        owner_y = y_doc[b.owner] if len(b.owner) else np.zeros(0)
-        ids = np.array(docs, np.int64)
-        full = BlockMaxIndex(b.ptr, b.terms, w)
+        self.idf, self.held = counts.idf, counts.held
+        self.labelled = len(texts) / max(1, counts.documents)
+        self.bags = b = bags(texts)
+        self.w = weights(b, self.idf)
+        self.y = np.array(y, float)[b.owner] if len(b.owner) else np.zeros(0)
+        self.doc = np.array(docs, np.int64)[b.owner] if len(b.owner) else np.zeros(0, np.int64)
+        self.index = BlockMaxIndex(b.ptr, b.terms, self.w)
+
+    def keeps(self, rows: np.ndarray) -> np.ndarray:
+        """Which of these segments of flagged documents stay offensive examples."""
+        b, w, idf = self.bags, self.w, self.idf
         scratch = np.zeros(DIMS, np.float32)
-        keep = owner_y < 0.5
-        near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for r in np.flatnonzero(owner_y >= 0.5).tolist():
-            rows, cos = full.search(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], EDIT_FLOOR, scratch)
-            other = b.owner[rows] != b.owner[r]
-            near[r] = rows[other], cos[other]
-        for r, (rows, cos) in near.items():
-            # with no neighbour elsewhere the label of the own document stands, if the words are rare
+        out = np.zeros(len(rows), bool)
+        for i, r in enumerate(rows.tolist()):
             terms = b.terms[b.ptr[r] : b.ptr[r + 1]]
-            if len(rows):
-                keep[r] = _vote(cos, owner_y[rows], b.owner[rows])[0] >= EDIT
+            near, cos = self.index.search(terms, w[b.ptr[r] : b.ptr[r + 1]], EDIT_FLOOR, scratch)
+            other = b.owner[near] != b.owner[r]
+            near, cos = near[other], cos[other]
+            # with no neighbour elsewhere the label of the own document stands, if the words are rare
+            if len(near):
+                keep = _vote(cos, self.y[near], b.owner[near])[0] >= EDIT
             else:
-                keep[r] = int((idf[terms] >= RARE).sum()) >= 3
+                keep = int((idf[terms] >= RARE).sum()) >= 3
             # reviewers meet offences at least half as often as other wording of as many documents, however many
-            flagged = 1 + len(np.unique(b.owner[rows[owner_y[rows] >= 0.5]]))
-            expected = labelled * float(np.percentile(counts.held[terms], RARER))
-            keep[r] &= flagged >= ENOUGH * expected or _poisson_below(flagged, expected) >= UNLIKELY
+            flagged = 1 + len(np.unique(b.owner[near[self.y[near] >= 0.5]]))
+            expected = self.labelled * float(np.percentile(self.held[terms], RARER))
+            out[i] = keep and (flagged >= ENOUGH * expected or _poisson_below(flagged, expected) >= UNLIKELY)
+        return out
+
+
+class Model:
+    """The edited examples and their index; votes are calibrated by :func:`calibrate`."""
+
+    def __init__(self, examples: Examples, keep: np.ndarray) -> None:
         rows = np.flatnonzero(keep)
-        self.y, self.doc = owner_y[rows], ids[b.owner[rows]] if len(rows) else np.zeros(0, np.int64)
-        self.index = BlockMaxIndex(*_pick(b, w, rows))
-        self.offence = Offences(*_pick(b, w, rows[self.y >= 0.5]), idf)
-        # held-out votes of the labelled documents calibrate the scores
-        raw = np.zeros(len(texts))
-        could = self.offence.reachable(b, w)
-        for r in np.flatnonzero(could.any(axis=1)).tolist():
-            own = int(ids[b.owner[r]])
-            v, _ = self.segment(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], scratch, could[r], own)
-            raw[b.owner[r]] = max(raw[b.owner[r]], v)
-        self.a, self.c = self._calibrate(raw, (y_doc >= 0.5).astype(float))
-        self.threshold = self._threshold(raw, y_doc >= 0.5)
-
-    @staticmethod
-    def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-        """Logistic fit (slope, offset) with a weak pull to a slope of 8 around one half."""
-        a, c = 8.0, -4.0
-        for _ in range(200):
-            p = 1 / (1 + np.exp(-(a * raw + c)))
-            g = np.array([((p - y) * raw).sum() + 0.5 * (a - 8), (p - y).sum() + 0.5 * (c + 4)])
-            q = np.maximum(p * (1 - p), 1e-9)
-            h = np.array([[(q * raw * raw).sum() + 0.5, (q * raw).sum()], [(q * raw).sum(), q.sum() + 0.5]])
-            step = np.linalg.solve(h, g)
-            a, c = a - np.clip(step[0], -2, 2), c - np.clip(step[1], -2, 2)
-            if np.abs(step).max() < 1e-8:
-                break
-        return float(max(a, 0.5)), float(c)
-
-    @staticmethod
-    def _threshold(raw: np.ndarray, y: np.ndarray) -> float:
-        """The vote with the best F1 over the held-out documents, from one half to 0.7."""
-        best, at = -1.0, 0.5
-        for t in np.arange(0.50, 0.701, 0.05):
-            hit = raw >= t
-            f1 = 2 * (hit & y).sum() / max(1, hit.sum() + y.sum())
-            if f1 > best + 1e-12:
-                best, at = f1, float(t)
-        return at
+        self.idf = examples.idf
+        self.y, self.doc = examples.y[rows], examples.doc[rows]
+        self.index = BlockMaxIndex(*_pick(examples.bags, examples.w, rows))
+        self.offence = Offences(*_pick(examples.bags, examples.w, rows[self.y >= 0.5]), self.idf)
 
     def segment(self, terms: np.ndarray, w: np.ndarray, scratch: np.ndarray, tiers: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray]:
         """Vote and nearest example documents of one segment; 0 without an offensive neighbour."""
@@ -349,8 +324,8 @@ class Model:
         v, order = _vote(cos, self.y[rows], self.doc[rows])
         return v, self.doc[rows[order]]
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
-        """Raw vote and evidence (up to three example documents) of each text."""
+    def score(self, docs: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
+        """Raw vote and evidence (up to three example documents) of each text, without the document's own label."""
         raw = np.zeros(len(texts))
         evidence: list[list[int]] = [[] for _ in texts]
         b = bags(texts)
@@ -360,13 +335,39 @@ class Model:
         scratch = np.zeros(DIMS, np.float32)
         could = self.offence.reachable(b, w)
         for r in np.flatnonzero(could.any(axis=1)).tolist():
-            v, near = self.segment(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], scratch, could[r])
+            v, near = self.segment(b.terms[b.ptr[r] : b.ptr[r + 1]], w[b.ptr[r] : b.ptr[r + 1]], scratch, could[r], docs[b.owner[r]])
             if v > raw[b.owner[r]]:
                 raw[b.owner[r]] = v
                 evidence[b.owner[r]] = near[:3].tolist()
         return raw, evidence
 
 
+def calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logistic fit (slope, offset) with a weak pull to a slope of 8 around one half."""
+    a, c = 8.0, -4.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(a * raw + c)))
+        g = np.array([((p - y) * raw).sum() + 0.5 * (a - 8), (p - y).sum() + 0.5 * (c + 4)])
+        q = np.maximum(p * (1 - p), 1e-9)
+        h = np.array([[(q * raw * raw).sum() + 0.5, (q * raw).sum()], [(q * raw).sum(), q.sum() + 0.5]])
+        step = np.linalg.solve(h, g)
+        a, c = a - np.clip(step[0], -2, 2), c - np.clip(step[1], -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(max(a, 0.5)), float(c)
+
+
+def best_threshold(raw: np.ndarray, y: np.ndarray) -> float:
+    """The vote with the best F1 over the held-out documents, from one half to 0.7."""
+    best, at = -1.0, 0.5
+    for t in np.arange(0.50, 0.701, 0.05):
+        hit = raw >= t
+        f1 = 2 * (hit & y).sum() / max(1, hit.sum() + y.sum())
+        if f1 > best + 1e-12:
+            best, at = f1, float(t)
+    return at
+
+
 def _stretches(texts: list[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     begin = total = 0
     for i, t in enumerate(texts):
@@ -415,12 +416,28 @@ def count_terms(docs: DataFrame) -> Counts:
     return Counts(all_[:DIMS], all_[DIMS : 2 * DIMS], int(all_[2 * DIMS]), int(all_[2 * DIMS + 1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, flagged in 0..1), at most ``most`` of them."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[Model, DataFrame]:
+    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, flagged in 0..1), and the labels used, at most ``most``."""
+    spark = docs.sparkSession
     some = cut(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", "flagged").collect()  # bounded by most
     rows.sort(key=lambda r: r["doc_id"])
-    return Model([r["doc_id"] for r in rows], [r["text"] or "" for r in rows], [r["flagged"] for r in rows], count_terms(docs))
+    examples = Examples([r["doc_id"] for r in rows], [r["text"] or "" for r in rows], [r["flagged"] for r in rows], count_terms(docs))
+    flagged = np.flatnonzero(examples.y >= 0.5)
+    keep = examples.y < 0.5
+    if len(flagged):
+        shared = spark.sparkContext.broadcast(examples)  # bounded by the labelled sample and DIMS
+        tasks = max(1, min(len(flagged), 4 * spark.sparkContext.defaultParallelism))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in batch.column(0).to_pylist():
+                    mine = flagged[at::tasks]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(shared.value.keeps(mine))], names=["at", "keep"])
+
+        edited = spark.range(0, tasks, 1, tasks).mapInArrow(run, "at bigint, keep boolean").toArrow()  # one row a flagged segment
+        keep[edited.column("at").to_numpy()] = edited.column("keep").to_numpy(zero_copy_only=False)
+    return Model(examples, keep), some
 
 
 def label_shares(labels: DataFrame) -> DataFrame:
@@ -430,33 +447,43 @@ def label_shares(labels: DataFrame) -> DataFrame:
     return told.groupBy("doc_id").agg(F.avg((verdict == "flagged").cast("double")).alias("flagged"))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, score, flagged, evidence) of every document.
+def score_documents(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, keep: str | None = None) -> DataFrame:
+    """(doc_id, score, flagged, evidence) of every document, and the string column ``keep`` of ``docs`` if one is named.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and verdict (flagged, clean, others ignored). ``score``
     is a calibrated probability, ``flagged`` whether the vote reaches the threshold that is best on the
     held-out labelled documents, ``evidence`` up to three labelled documents nearest to the worst segment.
     Null, empty and letterless texts get the score of no evidence.
     """
-    docs = docs.select("doc_id", "text")
-    model = fit(docs, label_shares(labels), most)
+    also = [keep] if keep else []
+    docs = docs.select("doc_id", "text", *also)
+    model, labelled = fit(docs, label_shares(labels), most)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the labelled sample and DIMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in _stretches(texts):
-                raw, evidence = m.score(texts[lo:hi])
+                raw, evidence = m.score(ids[lo:hi], texts[lo:hi])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
-                        pa.array(1 / (1 + np.exp(-(m.a * raw + m.c)))),
-                        pa.array((raw > 0) & (raw >= m.threshold)),
+                        pa.array(raw),
                         pa.array(evidence, pa.list_(pa.int64())),
+                        *(batch.column(2 + k).slice(lo, hi - lo) for k in range(len(also))),
                     ],
-                    names=["doc_id", "score", "flagged", "evidence"],
+                    names=["doc_id", "raw", "evidence", *also],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, score double, flagged boolean, evidence array<bigint>")
+    schema = "doc_id bigint, raw double, evidence array<bigint>"
+    voted = cut(docs.mapInArrow(run, schema + "".join(f", `{c}` string" for c in also)))
+    # the labelled documents' votes, without their own labels, calibrate all of them
+    told = voted.join(F.broadcast(labelled), "doc_id").select("doc_id", "raw", "flagged").dropDuplicates(["doc_id"]).collect()
+    told.sort(key=lambda r: r["doc_id"])
+    raw, y = np.array([r["raw"] for r in told]), np.array([r["flagged"] for r in told]) >= 0.5
+    a, c = calibrate(raw, y.astype(float))
+    score = 1 / (1 + F.exp(-(a * F.col("raw") + c)))
+    flagged = (F.col("raw") > 0) & (F.col("raw") >= best_threshold(raw, y))
+    return voted.select("doc_id", score.alias("score"), flagged.alias("flagged"), "evidence", *also)

@@ -3,7 +3,7 @@
 Every text becomes the set of its consecutive word n-grams (shingles, as 64-bit hashes). Three things
 are derived from a set in one pass:
 
-* ``BOXES`` boxes of ``ROWS`` min-hash symbols each, laid out on a ring,
+* ``BOXES`` boxes of some min-hash symbols each (:func:`symbols_of`), laid out on a ring,
 * the ring itself: two bits of every box,
 * an odd sketch of 512 bits (the parity of hits per bit), whose Hamming distance never exceeds the
   size of the symmetric difference of two sets.
@@ -13,8 +13,11 @@ ring: in every chain of consecutive boxes the cumulative number of differing bit
 chain's proportional share of the whole budget. The test is part of the join condition, so a pair that
 fails it is never written anywhere. Survivors take the full Hamming check on the odd sketches (which
 cannot lose a pair, because the sketch distance is a lower bound), then the exact check on the shingles.
+Starts and chains are statistical: both are derived from the similarity so that a pair right at it is lost
+with a probability below one in a thousand, and similarities below one half, where no such test works,
+are refused.
 
-Equal sets are one class from the start: classes are joined, never copies.
+Equal sets become one class, one row, before anything is joined.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ from pyspark.sql import functions as F
 
 from lodesift.runtime import cut, keep_keys
 
-BOXES, ROWS = 32, 3
+BOXES, MOST_SYMBOLS = 32, 4
+#: Part of the pairs right at the similarity that may share no box.
+MISSED = 5e-4
+#: Two sets of similarity s differ in (1 - s) / 2 of the ring bits on average; so much more is allowed.
+RING_ROOM = 0.2
 SKETCH_WORDS = 8
-#: Share of ring bits that may differ. Sets of similarity 0.6 differ in 0.2 of them on average, so 64
-#: bits exceed a quarter above this share about once in 10,000; sets that share little differ in half.
-RING_SHARE = 0.4
 #: Chains checked from a start, in boxes.
 CHAINS = (8, 16, 24, 32)
 
@@ -53,7 +57,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_SEEDS = ((_mix(np.arange(1, BOXES * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)) | _U(1)).astype(np.uint32)
+_SEEDS = ((_mix(np.arange(1, BOXES * MOST_SYMBOLS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)) | _U(1)).astype(np.uint32)
+
+
+def symbols_of(similarity: float) -> int:
+    """Symbols a box: as many as lose at most ``MISSED`` of the pairs at ``similarity``, at least two."""
+    fine = [r for r in range(2, MOST_SYMBOLS + 1) if (1 - similarity**r) ** BOXES <= MISSED]
+    return fine[-1] if fine else 2
 
 
 class _WordHashes:
@@ -100,23 +110,23 @@ def shingle_sets(texts: list[str], words: int, hashes: _WordHashes) -> tuple[np.
     return np.array(which), starts, s
 
 
-def signatures(starts: np.ndarray, s: np.ndarray) -> dict[str, np.ndarray]:
-    """Class id, size, box keys, ring and odd sketch of each set."""
+def signatures(starts: np.ndarray, s: np.ndarray, per_box: int) -> dict[str, np.ndarray]:
+    """Class id, size, box keys, ring and odd sketch of each set, with ``per_box`` symbols a box."""
     docs = len(starts)
     sizes = np.diff(np.r_[starts, len(s)])
     with np.errstate(over="ignore"):
         ids = _mix(np.add.reduceat(_mix(s), starts) + np.bitwise_xor.reduceat(s * _U(0x9E3779B97F4A7C15), starts))
         small = (s >> _U(32)).astype(np.uint32)
-        symbols = np.empty((docs, BOXES * ROWS), np.uint32)
-        for k, seed in enumerate(_SEEDS):
+        symbols = np.empty((docs, BOXES * per_box), np.uint32)
+        for k, seed in enumerate(_SEEDS[: BOXES * per_box]):
             x = small * seed
             symbols[:, k] = np.minimum.reduceat(x ^ (x >> np.uint32(15)), starts)
         boxes = np.zeros((docs, BOXES), _U)
-        for r in range(ROWS):
-            boxes = _mix(boxes + symbols[:, r::ROWS].astype(_U) + _U(r))
+        for r in range(per_box):
+            boxes = _mix(boxes + symbols[:, r::per_box].astype(_U) + _U(r))
         boxes = _mix(boxes + np.arange(BOXES, dtype=_U) * _U(0xD6E8FEB86659FD93))
         ring = np.zeros(docs, _U)
-        bits = (_mix(symbols.astype(_U)) & _U(1)).reshape(docs, BOXES, ROWS)[:, :, :2].reshape(docs, 64)
+        bits = (_mix(symbols.astype(_U)) & _U(1)).reshape(docs, BOXES, per_box)[:, :, :2].reshape(docs, 64)
         for b in range(64):
             ring |= bits[:, b] << _U(b)
     owner = np.repeat(np.arange(docs), sizes)
@@ -141,11 +151,11 @@ def _slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[i
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
-def sign(df: DataFrame, id_col: str, text_col: str, group_col: str | None, words: int) -> DataFrame:
+def sign(df: DataFrame, id_col: str, text_col: str, group_col: str | None, words: int, per_box: int) -> DataFrame:
     """One row per text that has at least ``words`` words: key, grp, cls, n, ring, boxes, s0..s7.
 
-    Of texts with the same set only the first that a task meets has boxes, ring and sketch; the rest
-    have nulls there, which keeps copies out of every later join.
+    Of texts with the same set only the first that a task meets has boxes, ring and sketch, the rest
+    have nulls there; :func:`class_table` makes one row of what the tasks send.
     """
     group = F.col(f"`{group_col}`").cast("string") if group_col else F.lit(None).cast("string")
     src = df.select(F.col(f"`{id_col}`").alias("key"), group.alias("grp"), F.col(f"`{text_col}`").alias("text"))
@@ -162,7 +172,7 @@ def sign(df: DataFrame, id_col: str, text_col: str, group_col: str | None, words
                 which, starts, s = shingle_sets(texts[lo:hi], words, hashes)
                 if not len(which):
                     continue
-                sig = signatures(starts, s)
+                sig = signatures(starts, s, per_box)
                 ids = sig["ids"].view(np.int64)
                 new = np.zeros(len(ids), bool)
                 for i, v in enumerate(ids.tolist()):
@@ -191,22 +201,31 @@ def sign(df: DataFrame, id_col: str, text_col: str, group_col: str | None, words
     return src.where(F.col("text").isNotNull()).mapInArrow(run, schema)
 
 
-def _chain_ok(ring_a: Column, ring_b: Column) -> Column:
+def class_table(sig: DataFrame) -> DataFrame:
+    """One row per class: cls, key (one of its texts), n, ring, boxes, sketch; texts with nulls there move nothing."""
+    rest = ("key", "n", "ring", "boxes", *_SKETCH)
+    first = F.min_by(F.struct(*rest), "key").alias("r")
+    return sig.where(F.col("boxes").isNotNull()).groupBy("cls").agg(first).select("cls", "r.*")
+
+
+def _chain_ok(ring_a: Column, ring_b: Column, share: float) -> Column:
     """The pigeonring test from a start: every chain within its proportional share of the budget."""
     differing = ring_a.bitwiseXOR(ring_b)
     test = None
     for boxes in CHAINS:
         bits = 2 * boxes
         part = differing if bits == 64 else differing.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
-        ok = F.bit_count(part) <= int(RING_SHARE * bits)
+        ok = F.bit_count(part) <= int(share * bits)
         test = ok if test is None else test & ok
     return test
 
 
-def class_links(sig: DataFrame, share: Fraction) -> DataFrame:
-    """Pairs of classes (cls_a < cls_b) that pass the pigeonring test and the full Hamming check."""
-    firsts = sig.where(F.col("boxes").isNotNull())
-    posts = firsts.select("cls", "ring", F.posexplode("boxes").alias("box", "start")).select(
+def class_links(classes: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs of classes (cls_a < cls_b) that pass the pigeonring test and the full Hamming check.
+
+    ``classes`` is a cut :func:`class_table`.
+    """
+    posts = classes.select("cls", "ring", F.posexplode("boxes").alias("box", "start")).select(
         "start",
         "cls",
         # turn the ring so that it begins at the box of this start
@@ -217,10 +236,10 @@ def class_links(sig: DataFrame, share: Fraction) -> DataFrame:
         b,
         (F.col("a.start") == F.col("b.start"))
         & (F.col("a.cls") < F.col("b.cls"))
-        & _chain_ok(F.col("a.ring"), F.col("b.ring")),
+        & _chain_ok(F.col("a.ring"), F.col("b.ring"), (1 - float(share)) / 2 + RING_ROOM),
     )
     pairs = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
-    sketches = firsts.groupBy("cls").agg(F.min("n").alias("n"), *(F.max(c).alias(c) for c in _SKETCH))
+    sketches = classes.select("cls", "n", *_SKETCH)
     one = sketches.select([F.col(c).alias(f"{c}_a") for c in sketches.columns])
     two = sketches.select([F.col(c).alias(f"{c}_b") for c in sketches.columns])
     apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
@@ -232,31 +251,6 @@ def class_links(sig: DataFrame, share: Fraction) -> DataFrame:
     return pairs.join(one, "cls_a").join(two, "cls_b").where(within & sized).select("cls_a", "cls_b")
 
 
-def links_between(left: DataFrame, right: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, other): texts of ``left`` that are similar to one of ``right``; both have unique (key, text).
-
-    The same filters as :func:`class_links`, but only pairs of a left and a right text are met, so a
-    large family of similar left texts costs nothing. The last test is the Hamming check on the sketches.
-    """
-    share = Fraction(str(similarity))
-
-    def side(df: DataFrame) -> DataFrame:
-        return sign(df, "key", "text", None, words).where(F.col("boxes").isNotNull())
-
-    def posts(sig: DataFrame) -> DataFrame:
-        turned = F.expr("shiftrightunsigned(ring, box * 2) | shiftleft(ring, 64 - box * 2)").alias("ring")
-        flat = sig.select("key", "ring", "n", *_SKETCH, F.posexplode("boxes").alias("box", "start"))
-        return flat.select("key", "n", *_SKETCH, "start", turned)
-
-    a, b = posts(side(left)), posts(side(right))
-    b = b.select([F.col(c).alias(f"{c}_b") for c in b.columns])
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH), F.lit(0))
-    num, den = share.numerator, share.denominator
-    within = apart * (den + num) <= (F.col("n") + F.col("n_b")) * (den - num)
-    met = a.join(b, (F.col("start") == F.col("start_b")) & _chain_ok(F.col("ring"), F.col("ring_b")) & within)
-    return met.select("key", F.col("key_b").alias("other")).distinct()
-
-
 def _sets(df: DataFrame, words: int) -> DataFrame:
     """(cls, text) -> (cls, shingles): the exact sets, as hashes."""
 
@@ -276,6 +270,18 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "cls bigint, shingles array<bigint>")
 
 
+def shared_shingles(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls_a, cls_b, shared, total) of every link, from the sets (cls, shingles) of the linked classes.
+
+    A set goes once to its own class's links and once more with each link to the other class.
+    """
+    one = sets.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("one"))
+    two = sets.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("two"))
+    both = links.join(one, "cls_a").join(two, "cls_b")
+    shared, size = F.size(F.array_intersect("one", "two")), F.size("one") + F.size("two")
+    return both.select("cls_a", "cls_b", shared.alias("shared"), size.alias("size")).select("cls_a", "cls_b", "shared", (F.col("size") - F.col("shared")).alias("total"))
+
+
 def similar_classes(
     df: DataFrame, id_col: str, text_col: str, group_col: str | None = None, words: int = 5, similarity: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
@@ -283,32 +289,19 @@ def similar_classes(
 
     Returns two tables: members (key, grp, cls, n), one row per text of at least ``words`` words, and
     links (cls_a, cls_b, shared, total) with shared / total >= ``similarity`` and cls_a < cls_b.
-    Null, empty and shorter texts are in neither. Ids must be unique.
+    Null, empty and shorter texts are in neither. Ids must be unique. ``similarity`` lies between 0.5 and 1.
     """
-    if not 0.3 <= similarity <= 1:
-        raise ValueError("similarity must lie between 0.3 and 1")
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("similarity must lie between 0.5 and 1")
     share = Fraction(str(similarity))
-    sig = cut(sign(df, id_col, text_col, group_col, words))
-    links = cut(class_links(sig, share))
+    sig = cut(sign(df, id_col, text_col, group_col, words, symbols_of(similarity)))
+    classes = cut(class_table(sig))
+    links = cut(class_links(classes, share))
     ends = cut(links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct())
-    firsts = keep_keys(sig.where(F.col("boxes").isNotNull()).select("key", "cls"), ends, "cls")
-    chosen = cut(firsts.groupBy("cls").agg(F.min("key").alias("key")))
+    chosen = cut(keep_keys(classes.select("cls", "key"), ends, "cls"))
     source = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
     texts = keep_keys(source, chosen.select("key"), "key").join(chosen, "key").select("cls", "text")
-    sets = _sets(texts, words)
-    one = sets.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("one"))
-    two = sets.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("two"))
-    counted = (
-        links.join(one, "cls_a")
-        .join(two, "cls_b")
-        .select(
-            "cls_a",
-            "cls_b",
-            F.size(F.array_intersect("one", "two")).alias("shared"),
-            (F.size("one") + F.size("two")).alias("both"),
-        )
-        .select("cls_a", "cls_b", "shared", (F.col("both") - F.col("shared")).alias("total"))
-    )
+    counted = shared_shingles(links, _sets(texts, words))
     exact = counted.where(F.col("shared") * share.denominator >= F.col("total") * share.numerator)
     return sig.select("key", "grp", "cls", "n"), exact
 

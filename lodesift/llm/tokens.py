@@ -2,10 +2,11 @@
 
 A rolling hash over 16 characters cuts texts where its low bits vanish, so copies and shared passages
 fall into the same chunks wherever they stand. A cut may split a word; the join is repaired by encoding
-again the stretch between the two nearest *safe* places around it. Safe is a place before a space (U+0020)
-that follows a character that is not white space: the splitting pattern of this tokenizer family takes
-white space only at the start of a match, so no match ever reaches over such a place, and the encoding of
-a text is exactly the encodings of its parts on both sides. Every part (chunk body or repaired join) is
+again the stretch between the two nearest *safe* places around it. Safe is a place before a space, tab or
+line break that follows a character that is not white space: the splitting pattern of this tokenizer family
+takes white space only at the start of a match, so no match ever reaches over such a place. So is a place
+between a full-width mark and a Han or kana letter, since no match holds both. The encoding of a text is
+therefore exactly the encodings of its parts. Every part (chunk body or repaired join) is
 encoded once for the whole corpus and joined back by its 128-bit content hash.
 """
 
@@ -32,7 +33,8 @@ WINDOW = 16
 #: Cuts come every 2 ** CUT_BITS characters on average and never closer than LEAST.
 CUT_BITS, LEAST = 9, 128
 
-_SPACE = re.compile(r"(?<=\S) ")
+#: Safe places: before white space that follows none, and between a full-width mark and a Han or kana letter.
+_SAFE = re.compile("(?<=\\S)(?=[ \\n\\r\\t])|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5])")
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 
 
@@ -64,7 +66,7 @@ def parts(text: str) -> list[str]:
             last = c
     if not cuts:
         return [text]
-    safe = np.array([0, *(m.start() for m in _SPACE.finditer(text)), n])
+    safe = np.array([0, *(m.start() for m in _SAFE.finditer(text)), n])
     at = np.array(cuts)
     before = safe[np.searchsorted(safe, at, "right") - 1]
     after = safe[np.searchsorted(safe, at, "left")]
@@ -159,3 +161,17 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VO
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32())], names=["id", "n_tokens"])
 
     return src.mapInArrow(run, f"id {kind}, n_tokens int")
+
+
+def decode(df: DataFrame, id_col: str, ids_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, text): what lists of token ids stand for; bytes that are no UTF-8 become U+FFFD, null lists stay null."""
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{ids_col}`").alias("ids"))
+    kind = src.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = tokenizer(vocabulary)
+        for batch in batches:
+            texts = [None if ids is None else enc.decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
+
+    return src.mapInArrow(run, f"id {kind}, text string")

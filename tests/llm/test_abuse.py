@@ -83,5 +83,23 @@ def test_large_groups_of_copies_stay_examples():
         y = [float(i % 3 == 0) for i in range(n)]
         b = abuse.bags(texts)
         counts = abuse.Counts(np.bincount(b.terms, minlength=abuse.DIMS), abuse.documents_with(b), len(b.owner), n)
-        raw, _ = abuse.Model(list(range(n)), texts, y, counts).score([bad, fine()])
+        ex = abuse.Examples(list(range(n)), texts, y, counts)
+        keep = ex.y < 0.5
+        rows = np.flatnonzero(~keep)
+        keep[rows] = ex.keeps(rows)
+        raw, _ = abuse.Model(ex, keep).score([None, None], [bad, fine()])
         assert raw[0] >= 0.9 and raw[1] == 0, (n, raw)
+
+
+def test_a_document_is_no_evidence_for_itself(spark):
+    import random
+
+    rng = random.Random(2)
+    fine = [" ".join(rng.choice("dense sparse query table layer index cache window token vector score paper".split()) for _ in range(14)) + "." for _ in range(60)]
+    insult = "You revolting gutless imbecile, crawl back into your filthy hole."
+    docs = [(i, t) for i, t in enumerate(fine)] + [(100 + i, f"{fine[i]} {insult}") for i in range(6)] + [(200, "Zygomorphic quokkas prefer xylophones over bagpipes nowadays.")]
+    labels = [(i, "clean") for i in range(30)] + [(100 + i, "flagged") for i in range(5)] + [(200, "flagged")]
+    scored = abuse.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, verdict string"))
+    got = {r.doc_id: r for r in scored.collect()}
+    assert got[105].flagged and got[100].flagged and 100 not in got[100].evidence
+    assert not got[200].flagged and got[200].evidence == [] and not any(got[i].flagged for i in range(60))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from lodesift.llm import neardup
 
 
@@ -78,8 +80,33 @@ def test_empty_table_and_components(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 100}
 
 
-def test_links_between_meets_left_and_right_only(spark):
-    base = "the model can not answer this question from the given context at all"
-    left = spark.createDataFrame([("l1", base + " sorry"), ("l2", base), ("l3", "quite another sentence about cats and dogs")], "key string, text string")
-    right = spark.createDataFrame([("r1", base)], "key string, text string")
-    assert {tuple(r) for r in neardup.links_between(left, right, 2, 0.6).collect()} == {("l1", "r1"), ("l2", "r1")}
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.8, 0.9])
+def test_recall_right_at_each_similarity(spark, similarity):
+    import random
+
+    rng = random.Random(5)
+    rows, n, words = [], 60, 120
+    for i in range(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        grams = words - 2
+        # one changed stretch of m words costs m + 2 of the grams on both sides
+        m = int(grams * (1 - similarity) / (1 + similarity)) - 2
+        other = base[:20] + [f"v{rng.randrange(10**6)}" for _ in range(m)] + base[20 + m :]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "id long, text string")
+    _, links = neardup.similar_classes(df, "id", "text", None, 3, similarity)
+    got = links.collect()
+    assert len(got) == n and min(r.shared / r.total for r in got) < similarity + 0.03
+
+
+def test_similarities_without_a_filter_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b c")], "id long, text string")
+    with pytest.raises(ValueError):
+        neardup.similar_classes(df, "id", "text", None, 3, 0.4)
+
+
+def test_copies_in_many_tasks_are_one_class_before_the_join(spark):
+    one, two = "a quick brown fox jumps over the lazy dog again", "some other words that have nothing to do with it"
+    df = spark.createDataFrame([(i, (one, two)[i % 2]) for i in range(64)], "id long, text string").repartition(32)
+    sig = neardup.sign(df, "id", "text", None, 3, 3)
+    assert neardup.class_table(sig).count() == 2

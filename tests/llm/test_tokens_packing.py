@@ -79,3 +79,13 @@ def test_plan_places_each_item_once():
         for i in range(items):
             load[box + i // each] += length
     assert (seen == h).all() and load.max() <= 100 and load.sum() / (n * 100) > 0.97
+
+
+def test_texts_without_spaces_have_parts_too():
+    lines = "\n".join(f"word{i}" for i in range(3000))
+    marks = "".join("密集检索在这些文档上是否稳定" + "。，！"[i % 3] for i in range(800))
+    for text in (lines, marks):
+        ps = tokens.parts(text)
+        enc = tokens.tokenizer()
+        assert len(ps) > 5 and "".join(ps) == text
+        assert [t for p in ps for t in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
