@@ -19,7 +19,7 @@ from lodesift.functions.vectors import mock_score, mock_vector
 
 RESPONSE = (
     "struct<text: string, input_tokens: bigint, output_tokens: bigint, cached_input_tokens: bigint, "
-    "cache_creation_input_tokens: bigint, latency_ms: double>"
+    "cache_creation_input_tokens: bigint, latency_ms: double, error: string>"
 )
 
 
@@ -85,6 +85,7 @@ class MockLLM:
             reads.alias("cached_input_tokens"),
             writes.alias("cache_creation_input_tokens"),
             F.lit(0.1).alias("latency_ms"),
+            F.lit(None).cast("string").alias("error"),
         )
         return df.withColumn(out, answer)
 
@@ -103,30 +104,40 @@ class MockLLM:
 
 
 class CallableLLM:
-    """A Python function prompt -> (text, input tokens, output tokens, cache reads, cache writes, ms)."""
+    """A Python function prompt -> (text, input tokens, output tokens, cache reads, cache writes, ms).
 
-    def __init__(self, make: Callable[[], Callable[[str], tuple]]) -> None:
-        self.make = make
+    With ``parts`` it is called with (prompt, prefix) instead, for models that cache a marked prefix. A call
+    that raises gives a null text and its message in ``error``; the other calls go on.
+    """
+
+    def __init__(self, make: Callable[[], Callable[..., tuple]], parts: bool = False) -> None:
+        self.make, self.parts = make, parts
 
     def ask(self, df: DataFrame, prompt: str, out: str, prefix: Prefix | None = None) -> DataFrame:
-        make = self.make
+        make, parts = self.make, self.parts
 
         @F.pandas_udf(RESPONSE)
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
             call = make()  # once per task: clients and models are loaded here
-            names = ["text", "input_tokens", "output_tokens", "cached_input_tokens", "cache_creation_input_tokens", "latency_ms"]
-            for prompts in batches:
-                yield pd.DataFrame([call(p) for p in prompts], columns=names)
+            names = ["text", "input_tokens", "output_tokens", "cached_input_tokens", "cache_creation_input_tokens", "latency_ms", "error"]
+
+            def one(p: str, shared: str) -> tuple:
+                try:
+                    return (*(call(p, shared) if parts else call(shared + p)), None)
+                except Exception as e:  # noqa: BLE001 - one failed call must not end the others
+                    return None, 0, 0, 0, 0, 0.0, f"{type(e).__name__}: {e}"
+
+            for prompts, shared in batches:
+                yield pd.DataFrame([one(p, x) for p, x in zip(prompts, shared)], columns=names)
 
         if prefix is None:
-            return df.withColumn(out, run(F.col(prompt)))
+            return df.withColumn(out, run(F.col(prompt), F.lit("")))
         longest = prefix.sizes.agg(F.max("chars")).first()[0] or 0
         if longest > MOST_PREFIX_CHARS:
             raise ValueError(f"a prefix of {longest} characters exceeds {MOST_PREFIX_CHARS}")
         texts = prefix.texts().select(F.col("key").alias("__key"), F.col("text").alias("__prefix"))
         df = df.join(texts, F.col(prefix.key) == F.col("__key"), "left")
-        whole = F.concat(F.coalesce("__prefix", F.lit("")), F.col(prompt))
-        return df.withColumn(out, run(whole)).drop("__key", "__prefix")
+        return df.withColumn(out, run(F.col(prompt), F.coalesce("__prefix", F.lit("")))).drop("__key", "__prefix")
 
 
 class MockEmbedder:
@@ -137,20 +148,35 @@ class MockEmbedder:
         return df.withColumn(out, mock_vector(F.coalesce(F.col(text), F.lit("")), self.dim))
 
 
+def budgeted(texts: list[str], budget: int) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most ``budget`` estimated tokens; a larger text stands alone."""
+    held: list[str] = []
+    used = 0
+    for t in texts:
+        n = max(1, len(t) // 4)
+        if held and used + n > budget:
+            yield held
+            held, used = [], 0
+        held.append(t)
+        used += n
+    if held:
+        yield held
+
+
 class CallableEmbedder:
-    """A Python function list of texts -> list of vectors, loaded once per task."""
+    """A Python function list of texts -> list of vectors, loaded once per task and called with lists within ``budget`` tokens."""
 
-    def __init__(self, make: Callable[[], Callable[[list[str]], list[list[float]]]]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[], Callable[[list[str]], list[list[float]]]], budget: int = 250_000) -> None:
+        self.make, self.budget = make, budget
 
     def embed(self, df: DataFrame, text: str, out: str) -> DataFrame:
-        make = self.make
+        make, budget = self.make, self.budget
 
         @F.pandas_udf("array<double>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             embed = make()
             for texts in batches:
-                yield pd.Series(embed(texts.fillna("").tolist()))
+                yield pd.Series([v for some in budgeted(texts.fillna("").tolist(), budget) for v in embed(some)], dtype=object)
 
         return df.withColumn(out, run(F.col(text)))
 

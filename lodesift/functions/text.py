@@ -59,13 +59,29 @@ def parse_filter(reply: Column) -> Column:
     return F.when(bare.startswith("{"), F.coalesce(found, empty)).otherwise(empty)
 
 
+def parse_typed_filter(reply: Column) -> Column:
+    """The reply as a map of field to JSON literal, so that ``"2025"`` and ``2025`` stay apart; empty if no object."""
+    found = F.from_json(strip_fence(reply), "MAP<STRING,VARIANT>", _STRICT)
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.transform_values(found, lambda _, v: F.coalesce(F.to_json(v), F.lit("null"))), empty)
+
+
+def literals(plain: Column) -> Column:
+    """A map of strings as a map of JSON literals."""
+    quoted = lambda v: F.coalesce(F.regexp_extract(F.to_json(F.struct(v.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("null"))
+    return F.transform_values(plain, lambda _, v: F.when(v.isNull(), F.lit("null")).otherwise(quoted(v)))
+
+
 def parse_next_query(reply: Column) -> Column:
     """The reply's ``next_query``, null if absent, empty or not JSON."""
     return F.nullif(F.from_json(strip_fence(reply), "next_query STRING", _STRICT)["next_query"], F.lit(""))
 
 
 def parse_action(reply: Column) -> Column:
-    """struct(thought, action, action_input); anything but the three known actions means ``finish``."""
+    """struct(thought, action, action_input); anything but the three known actions means ``finish``, which says why.
+
+    A reply that is no JSON object and one with another action keep their text as the thought.
+    """
     raw = F.from_json(strip_fence(reply), "thought STRING, action STRING, action_input STRING", _STRICT)
     known = raw["action"].isin("search_dense", "search_bm25", "finish")
     blank = F.lit("")
@@ -76,7 +92,20 @@ def parse_action(reply: Column) -> Column:
             raw["action"].alias("action"),
             F.coalesce(raw["action_input"], blank).alias("action_input"),
         ),
-    ).otherwise(F.struct(blank.alias("thought"), F.lit("finish").alias("action"), blank.alias("action_input")))
+    ).otherwise(
+        F.struct(F.coalesce(raw["thought"], strip_fence(reply), blank).alias("thought"), F.lit("finish").alias("action"), blank.alias("action_input"))
+    )
+
+
+def python_repr(text: Column) -> Column:
+    """A string as Python shows it: in single quotes (double ones if it holds only single ones), line breaks and such escaped."""
+    escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
+    single = F.contains(text, F.lit("'"))
+    double = F.contains(text, F.lit('"'))
+    plain = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(single & ~double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(plain)
 
 
 def fill(template: str, **values: Column) -> Column:

@@ -1,18 +1,22 @@
-"""Chunkers as column expressions: text -> array of chunks. Tokens are words between white space.
+"""Chunkers as column expressions: text -> array of chunks.
 
-All of them run inside the JVM on one row. Null and empty texts give an empty array.
+The greedy ones run in Arrow batches, one pass over each text. Tokens are words between white space unless
+another tokenizer is given: a function without arguments that returns (encode, decode), called once a task.
+Null and empty texts give an empty array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodesift.functions.text import paragraphs, sentences
-from lodesift.functions.vectors import dot, mock_vector
-
 BUDGET, OVERLAP = 512, 64
 LEAST_SEMANTIC, MOST_SEMANTIC, BREAK_PERCENTILE = 100, 1024, 0.20
 WINDOW_CHARS = 400
@@ -37,129 +41,129 @@ def split_oversized(paragraph: Column, budget: int = BUDGET, overlap: int = OVER
     return F.flatten(F.transform(F.array(words(paragraph)), cut))
 
 
-def _fold(pieces: Column, budget: int, overlap: int) -> Column:
-    """Greedy packing of struct(t, n) pieces; an overfull chunk is closed and its last piece carried if short."""
-    blank = F.array().cast("array<struct<t: string, n: int>>")
-    start = F.struct(F.array().cast("array<string>").alias("done"), blank.alias("open"), F.lit(0).alias("size"))
+Tokenizer = Callable[[], tuple[Callable[[str], list], Callable[[list], str]]]
 
-    def text(open_: Column) -> Column:
-        return F.array_join(F.transform(open_, lambda p: p["t"]), "\n\n")
 
-    def step(acc: Column, p: Column) -> Column:
-        full = (acc["size"] + p["n"] > budget) & (F.size(acc["open"]) > 0)
-        last = F.get(acc["open"], F.size(acc["open"]) - 1)
-        carried = F.when(last["n"] <= overlap, F.array(last)).otherwise(blank)
-        kept = F.when(full, carried).otherwise(acc["open"])
-        size = F.when(full, F.when(last["n"] <= overlap, last["n"]).otherwise(0)).otherwise(acc["size"])
-        done = F.when(full, F.concat(acc["done"], F.array(text(acc["open"])))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.concat(kept, F.array(p)).alias("open"), (size + p["n"]).alias("size"))
+def by_words() -> tuple[Callable[[str], list], Callable[[list], str]]:
+    return str.split, " ".join
 
-    def finish(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(text(acc["open"])))).otherwise(acc["done"])
 
-    return F.aggregate(pieces, start, step, finish)
+def pack_paragraphs(text: str, budget: int, overlap: int, encode: Callable[[str], list], decode: Callable[[list], str]) -> list[str]:
+    """Paragraphs of one text packed greedily up to ``budget`` tokens, see :func:`chunk_text`."""
+    done: list[str] = []
+    held: list[tuple[str, int]] = []
+    size = 0
+    for paragraph in re.split(r"\n\s*\n", text):
+        paragraph = paragraph.strip()
+        if not paragraph:
+            continue
+        tokens = encode(paragraph)
+        if len(tokens) <= budget:
+            parts = [(paragraph, len(tokens))]
+        else:
+            windows = (tokens[at : at + budget] for at in range(0, len(tokens), budget - overlap))
+            parts = [(decode(w), len(w)) for w in windows]
+        for part, n in parts:
+            if held and size + n > budget:
+                done.append("\n\n".join(t for t, _ in held))
+                held = held[-1:] if held[-1][1] <= overlap else []
+                size = sum(m for _, m in held)
+            held.append((part, n))
+            size += n
+    return [*done, "\n\n".join(t for t, _ in held)] if held else done
 
 
-def chunk_text(text: Column, budget: int = BUDGET, overlap: int = OVERLAP) -> Column:
-    """Paragraphs packed greedily up to ``budget`` words; a short last paragraph is carried as overlap.
+def chunk_text(text: Column, budget: int = BUDGET, overlap: int = OVERLAP, tokenizer: Tokenizer = by_words) -> Column:
+    """Paragraphs packed greedily up to ``budget`` tokens; a short last paragraph is carried as overlap.
 
     The carried paragraph is not counted against the paragraph that follows, so a chunk may reach
     ``budget + overlap``.
     """
-    parts = F.flatten(F.transform(paragraphs(text), lambda p: split_oversized(p, budget, overlap)))
-    sized = F.transform(parts, lambda p: F.struct(p.alias("t"), F.size(words(p)).alias("n")))
-    return _fold(sized, budget, overlap)
-
-
-def chunk_fixed(text: Column, budget: int) -> Column:
-    return chunk_text(text, budget)
-
-
-def percentile_of(values: Column, q: float) -> Column:
-    """Linear-interpolation percentile of a non-empty array."""
 
-    def at(v: Column) -> Column:
-        pos = F.lit(q) * (F.size(v) - 1)
-        low = F.floor(pos).cast("int")
-        a = F.get(v, low)
-        b = F.get(v, F.least(low + 1, F.size(v) - 1))
-        return a + (b - a) * (pos - low)
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = tokenizer()
+        for texts in batches:
+            yield pd.Series([pack_paragraphs(t, budget, overlap, encode, decode) if t else [] for t in texts], dtype=object)
 
-    return F.element_at(F.transform(F.array(F.array_sort(values)), at), 1)
+    return run(text)
 
 
-def chunk_semantic(text: Column, vector: Callable[[Column], Column] = mock_vector) -> Column:
-    """Sentences grouped at dips of the similarity of neighbours, below its 20th percentile over the text.
-
-    Groups over 1,024 words are packed again at that budget; groups under 100 words join the chunk
-    before them, if there is one. A text of at most one sentence stays whole.
-    """
-    floor = F.lit(1e-9)
-
-    def unit(v: Column) -> Column:
-        return F.transform(F.array(F.greatest(F.sqrt(dot(v, v)), floor)), lambda n: F.transform(v, lambda x: x / n))
+def chunk_fixed(text: Column, budget: int, tokenizer: Tokenizer = by_words) -> Column:
+    return chunk_text(text, budget, OVERLAP, tokenizer)
 
-    def groups(ss: Column) -> Column:
-        units = F.transform(ss, lambda s: F.flatten(unit(vector(s))))
 
-        def from_units(us: Column) -> Column:
-            sims = F.zip_with(F.slice(us, 1, F.size(us) - 1), F.slice(us, 2, F.size(us) - 1), dot)
+def hashed_vectors(dim: int = 16) -> Callable[[list[str]], np.ndarray]:
+    """The stand-in embedding of :func:`lodesift.functions.vectors.mock_vector`, for use inside a task."""
 
-            def from_sims(sv: Column) -> Column:
-                def from_limit(limit: Column) -> Column:
-                    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("i"))
+    def embed(texts: list[str]) -> np.ndarray:
+        digests = b"".join((sha256(t.encode("utf-8", "surrogatepass")).digest() * (dim // 32 + 1))[:dim] for t in texts)
+        return np.frombuffer(digests, np.uint8).reshape(len(texts), dim) / 127.5 - 1.0
 
-                    def step(acc: Column, s: Column) -> Column:
-                        joined = F.when(acc["open"] == "", s).otherwise(F.concat(acc["open"], F.lit(" "), s))
-                        ends = F.coalesce(F.get(sv, acc["i"]) < limit, F.lit(False))
-                        done = F.when(ends, F.concat(acc["done"], F.array(joined))).otherwise(acc["done"])
-                        return F.struct(done.alias("done"), F.when(ends, F.lit("")).otherwise(joined).alias("open"), (acc["i"] + 1).alias("i"))
+    return embed
 
-                    def finish(acc: Column) -> Column:
-                        return F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
 
-                    return F.aggregate(ss, start, step, finish)
+def group_sentences(text: str, embed: Callable[[list[str]], np.ndarray], encode: Callable[[str], list], decode: Callable[[list], str]) -> list[str]:
+    """The semantic chunks of one text, see :func:`chunk_semantic`."""
+    parts = [p for p in (x.strip() for x in re.split(r"(?<=[.!?])\s+", text)) if p]
+    if len(parts) <= 1:
+        return [text] if text else []
+    v = np.asarray(embed(parts), float)
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    alike = (v[:-1] * v[1:]).sum(axis=1)
+    ends = np.flatnonzero(alike < np.percentile(alike, 100 * BREAK_PERCENTILE)) + 1
+    bounds = [0, *ends.tolist(), len(parts)]
+    done: list[list[str]] = []
+    for a, b in zip(bounds, bounds[1:]):
+        group = " ".join(parts[a:b])
+        n = len(encode(group))
+        if n > MOST_SEMANTIC:
+            done += [[c] for c in pack_paragraphs(group, MOST_SEMANTIC, OVERLAP, encode, decode)]
+        elif n < LEAST_SEMANTIC and done:
+            done[-1].append(group)
+        else:
+            done.append([group])
+    return [" ".join(d) for d in done]
 
-                return F.flatten(F.transform(F.array(percentile_of(sv, BREAK_PERCENTILE)), from_limit))
 
-            return F.flatten(F.transform(F.array(sims), from_sims))
-
-        return F.flatten(F.transform(F.array(units), from_units))
+def chunk_semantic(text: Column, vectors: Callable[[], Callable[[list[str]], np.ndarray]] = hashed_vectors, tokenizer: Tokenizer = by_words) -> Column:
+    """Sentences grouped at dips of the similarity of neighbours, below its 20th percentile over the text.
 
-    def merge(gs: Column) -> Column:
-        def step(done: Column, g: Column) -> Column:
-            n = F.size(words(g))
-            joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(F.get(done, F.size(done) - 1), F.lit(" "), g)))
-            return (
-                F.when(n > MOST_SEMANTIC, F.concat(done, chunk_text(g, MOST_SEMANTIC)))
-                .when((n < LEAST_SEMANTIC) & (F.size(done) > 0), joined)
-                .otherwise(F.concat(done, F.array(g)))
-            )
+    Groups over 1,024 tokens are packed again at that budget; groups under 100 tokens join the chunk
+    before them, if there is one. A text of at most one sentence stays whole. ``vectors`` gives, once a task, a
+    function from texts to vectors.
+    """
 
-        return F.aggregate(gs, F.array().cast("array<string>"), step)
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed, (encode, decode) = vectors(), tokenizer()
+        for texts in batches:
+            yield pd.Series([group_sentences(t, embed, encode, decode) if t else [] for t in texts], dtype=object)
 
-    parts = F.array(sentences(text))
-    several = F.flatten(F.transform(F.filter(parts, lambda ss: F.size(ss) > 1), lambda ss: merge(groups(ss))))
-    whole = F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(F.array(text))
-    return F.when(F.size(F.element_at(parts, 1)) > 1, several).otherwise(whole)
+    return run(text)
 
 
-def chunk_late(text: Column, budget: int = BUDGET, window: int = WINDOW_CHARS) -> Column:
+def chunk_late(text: Column, budget: int = BUDGET, window: int = WINDOW_CHARS, tokenizer: Tokenizer = by_words) -> Column:
     """array<struct(text, embed_text)>: fixed chunks, with ``window`` characters around each for embedding.
 
     Each chunk is looked for after the place of the one before; a chunk that is not found is embedded alone.
     """
-    empty = F.array().cast("array<struct<text: string, embed_text: string>>")
-    start = F.struct(empty.alias("done"), F.lit(1).alias("at"))
 
-    def step(acc: Column, chunk: Column) -> Column:
-        pos = F.position(chunk, text, acc["at"])
-        low = F.greatest(F.lit(1), pos - window)
-        wide = F.substring(text, low, pos + F.length(chunk) + window - low)
-        item = F.struct(chunk.alias("text"), F.when(pos > 0, wide).otherwise(chunk).alias("embed_text"))
-        return F.struct(F.concat(acc["done"], F.array(item)).alias("done"), F.when(pos > 0, pos + 1).otherwise(acc["at"]).alias("at"))
+    def widened(t: str, encode: Callable[[str], list], decode: Callable[[list], str]) -> list[tuple[str, str]]:
+        out, begin = [], 0
+        for chunk in pack_paragraphs(t, budget, OVERLAP, encode, decode):
+            at = t.find(chunk, begin)
+            out.append((chunk, t[max(0, at - window) : at + len(chunk) + window] if at >= 0 else chunk))
+            begin = at + 1 if at >= 0 else begin
+        return out
+
+    @F.pandas_udf("array<struct<text: string, embed_text: string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = tokenizer()
+        for texts in batches:
+            yield pd.Series([[{"text": c, "embed_text": e} for c, e in widened(t, encode, decode)] if t else [] for t in texts], dtype=object)
 
-    return F.aggregate(chunk_text(text, budget), start, step, lambda acc: acc["done"])
+    return run(text)
 
 
 def chunk_document_aware(chunks: DataFrame) -> DataFrame:
@@ -186,3 +190,30 @@ def token_batches(sizes: Column, budget: int = 250_000) -> Column:
         return F.struct(F.concat(acc["b"], F.array(now)).alias("b"), now.alias("now"), total.alias("sum"))
 
     return F.aggregate(sizes, start, step, lambda acc: acc["b"])
+
+
+def budget_batches(df: DataFrame, by: str, order: str, size: str, budget: int = 250_000) -> DataFrame:
+    """Adds ``batch``: within each group of ``by``, in ``order``, greedy batches of up to ``budget`` in sum.
+
+    Rows stream through sorted partitions and only a running sum is held, so a group may have any size. A null
+    size counts as 0.
+    """
+    names = df.columns
+    src = df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{by}`").cast("string").alias("__by"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("bigint").alias("__n"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: object = run  # no group yet
+        now = total = 0
+        for batch in batches:
+            out = []
+            for g, n in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                if g != group:
+                    group, now, total = g, 0, 0
+                if total > 0 and total + n > budget:
+                    now, total = now + 1, 0
+                total += n
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.int32())], names=[*names, "batch"])
+
+    return src.repartition("__by").sortWithinPartitions("__by", order).mapInArrow(run, f"{kinds}, batch int")

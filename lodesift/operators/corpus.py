@@ -25,20 +25,24 @@ def last_delivery(rows: DataFrame, key: str = "chunk_id", order: str = "ord") ->
 
 
 def select_papers(candidates: DataFrame, categories: list[str], quota: int = PAPERS_PER_CATEGORY, least: int = LEAST_CHARS) -> DataFrame:
-    """The first ``quota`` papers of each category that have ``least`` characters and were not chosen before.
+    """Up to ``quota`` papers of each category, from its first 2 ``quota`` candidates.
 
-    ``candidates`` has category, paper_id, place (order within the category) and full_text. Categories are
-    served in the given order. A paper that is too short stays available to none.
+    ``candidates`` has category, paper_id, place (order within the category) and full_text; of a repeated
+    paper the row of least place counts. Categories are served in the given order; a candidate that was
+    chosen before or has fewer than ``least`` characters is passed over. A paper that fails in one
+    category may still be chosen in the next.
     """
-    usable = candidates.where(F.length(strip(F.col("full_text"))) >= least)
     taken: list[DataFrame] = []
     for c in categories:
-        mine = usable.where(F.col("category") == c).dropDuplicates(["paper_id"])
+        mine = candidates.where(F.col("category") == c).groupBy("category", "paper_id")
+        mine = mine.agg(F.min("place").alias("place"), F.min_by("full_text", "place").alias("full_text"))
+        mine = mine.orderBy("place", "paper_id").limit(2 * quota)
         for earlier in taken:
             mine = mine.join(earlier.select("paper_id"), "paper_id", "left_anti")
+        mine = mine.where(F.length(strip(F.col("full_text"))) >= least)
+        # the window sees 2 quota rows only
         order = Window.orderBy("place", "paper_id")
-        # the window sees quota rows only
-        first = mine.orderBy("place", "paper_id").limit(quota).withColumn("nth", F.row_number().over(order))
+        first = mine.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= quota)
         taken.append(cut(first.select("category", "paper_id", "place", "full_text", "nth")))
     return reduce(DataFrame.unionByName, taken)
 

@@ -1,8 +1,12 @@
-"""Exact nearest neighbours of query vectors, in blocks; and search by embedded text."""
+"""Exact nearest neighbours of query vectors, in blocks; and search by embedded text.
+
+Rows never move: each task keeps one list of the best ``k`` a query over all its batches.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,14 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.providers import Embedder, MockEmbedder
-from lodesift.operators.lexical import best, query_blocks
+from lodesift.operators.lexical import Best, best, query_blocks
 
 
 class VectorIndex:
     """Rows (chunk_id, ord, vec) ranked by L2 distance. All vectors have one length, checked once."""
 
     def __init__(self, rows: DataFrame) -> None:
-        self.rows = rows.select("chunk_id", "ord", F.col("vec").cast("array<double>").alias("vec"))
+        vec = F.col("vec").cast("array<double>").alias("vec")
+        self.rows = rows.select("chunk_id", "ord", vec)
+        self.described = rows.select("chunk_id", "ord", vec, *(F.col(f"`{c}`") for c in rows.columns if c not in ("chunk_id", "ord", "vec")))
         sizes = self.rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
         if sizes[0] is not None and sizes[0] != sizes[1]:
             raise ValueError(f"vectors of {sizes[0]} and {sizes[1]} components in one index")
@@ -40,40 +46,100 @@ class VectorIndex:
             return source.sparkSession.createDataFrame([], "qid string, chunk_id string, ord bigint, distance double, rank bigint")
         return best(reduce(DataFrame.unionByName, parts), k, "distance", False)
 
+    def search_where(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """Like :meth:`search`, each query (qid, vec, wanted) among the rows that match its own filter ``wanted``.
+
+        ``wanted`` maps fields to JSON literals. A row matches if every field equals its literal, typed
+        (``"2025"`` is no 2025); a field that rows lack counts as null. All filters of a block of queries share
+        one pass over the rows.
+        """
+        parts = []
+        asked = queries.select("qid", F.struct(F.col("vec").cast("array<double>").alias("vec"), "wanted").alias("a"))
+        for block in query_blocks(asked, "a"):
+            filters = [tuple(sorted((a["wanted"] or {}).items())) for _, a in block]
+            kinds = sorted(set(filters))
+            place = {f: i for i, f in enumerate(kinds)}
+            fields = sorted({name for f in kinds for name, _ in f})
+            have = [f for f in fields if f in self.described.columns]
+            # a value as one JSON object, {} where it is null
+            shown = [F.to_json(F.struct(F.col(f"`{f}`").alias("v"))).alias(f"__{i}") for i, f in enumerate(have)]
+            tests = [[(have.index(name) if name in have else -1, json.loads(value)) for name, value in f] for f in kinds]
+            rows = self.described.select("chunk_id", "ord", "vec", *shown)
+            vectors = [(q, a["vec"]) for q, a in block]
+            scorer = _nearest(vectors, k, _matching(tests), np.array([place[f] for f in filters]))
+            parts.append(rows.mapInArrow(scorer, "qid string, chunk_id string, ord bigint, distance double"))
+        if not parts:
+            return self.rows.sparkSession.createDataFrame([], "qid string, chunk_id string, ord bigint, distance double, rank bigint")
+        return best(reduce(DataFrame.unionByName, parts), k, "distance", False)
+
+
+def _matching(tests: list[list[tuple[int, object]]]) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """For a batch whose columns from the fourth on hold values as JSON: which rows pass each of the tests."""
+
+    def same(a: object, b: object) -> bool:
+        # text equals text only; numbers and truth values are compared by value
+        return a == b and isinstance(a, str) == isinstance(b, str)
+
+    def where(batch: pa.RecordBatch) -> np.ndarray:
+        columns = []
+        for k in range(3, batch.num_columns):
+            coded = batch.column(k).dictionary_encode()
+            values = [json.loads(v).get("v") for v in coded.dictionary.to_pylist()]
+            columns.append((coded.indices.to_numpy(zero_copy_only=False), values))
+        out = np.ones((len(tests), batch.num_rows), bool)
+        for g, test in enumerate(tests):
+            for at, wanted in test:
+                if at < 0:
+                    out[g] &= wanted is None
+                else:
+                    index, values = columns[at]
+                    out[g] &= np.array([same(v, wanted) for v in values], bool)[index]
+        return out
+
+    return where
+
 
-def _nearest(block: list[tuple], k: int):
+def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.ndarray] | None = None, kinds: np.ndarray | None = None):
+    """Scores of a block of queries. With ``where`` and ``kinds`` a query of kind g sees the rows whose mark in column g is set."""
     qids = [q for q, _ in block]
     asked = np.array([v for _, v in block], float)
+    groups = [np.arange(len(block))] if kinds is None else [np.flatnonzero(kinds == g) for g in range(int(kinds.max()) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        heaps = Best(len(block), k, False)
         for batch in batches:
-            m = batch.num_rows
-            if not m:
+            if not batch.num_rows:
                 continue
-            x = np.asarray(batch.column(2).flatten(), float).reshape(m, -1)
+            every = np.asarray(batch.column(2).flatten(), float).reshape(batch.num_rows, -1)
             ords = batch.column(1).to_numpy(zero_copy_only=False)
-            square = (x * x).sum(axis=1)
-            out_q, out_at, out_d = [], [], []
-            for lo in range(0, len(asked), 256):
-                q = asked[lo : lo + 256]
-                rough = square + (q * q).sum(axis=1)[:, None] - 2 * (q @ x.T)
-                for i in range(len(q)):
-                    if m > k:
-                        # the product form is rough; whoever may be among the k is measured exactly
-                        kth = np.partition(rough[i], k - 1)[k - 1]
-                        at = np.flatnonzero(rough[i] <= kth + 1e-8 * (1 + square.max() + abs(kth)))
-                    else:
-                        at = np.arange(m)
-                    d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-                    order = np.lexsort((ords[at], np.round(d, 9)))[:k]
-                    out_q += [qids[lo + i]] * len(order)
-                    out_at.append(at[order])
-                    out_d.append(d[order])
-            at = np.concatenate(out_at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_q), batch.column(0).take(pa.array(at)), pa.array(ords[at]), pa.array(np.concatenate(out_d))],
-                names=["qid", "chunk_id", "ord", "distance"],
-            )
+            fits = where(batch) if where else None
+            for g, members in enumerate(groups):
+                rows = np.arange(len(every)) if fits is None else np.flatnonzero(fits[g])
+                x = every[rows]
+                square = (x * x).sum(axis=1)
+                for lo in range(0, len(members) if len(x) else 0, 256):
+                    mine = members[lo : lo + 256]
+                    q = asked[mine]
+                    rough = square + (q * q).sum(axis=1)[:, None] - 2 * (q @ x.T)
+                    for i, one in enumerate(mine.tolist()):
+                        if len(x) > k:
+                            # the product form is rough; whoever may be among the k is measured exactly
+                            kth = np.partition(rough[i], k - 1)[k - 1]
+                            at = np.flatnonzero(rough[i] <= kth + 1e-8 * (1 + square.max() + abs(kth)))
+                        else:
+                            at = np.arange(len(x))
+                        d = np.sqrt(((x[at] - asked[one]) ** 2).sum(axis=1))
+                        heaps.offer(one, d, ords[rows[at]], rows[at] + len(names))
+            names += batch.column(0).to_pylist()
+            kept = heaps.places()
+            names = [names[i] for i in kept.tolist()]
+            heaps.renumber(kept)
+        q, distance, ords, at = heaps.rows()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([qids[i] for i in q.tolist()], pa.string()), pa.array([names[i] for i in at.tolist()], pa.string()), pa.array(ords), pa.array(distance)],
+            names=["qid", "chunk_id", "ord", "distance"],
+        )
 
     return run
 

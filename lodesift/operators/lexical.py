@@ -1,8 +1,10 @@
 """BM25 ranking of every query against every document.
 
-Documents never move: each Arrow batch scores all queries of a block and keeps its own best ``k`` of each,
-so what is shuffled is at most k rows per query and batch. Queries are taken in blocks of bounded size,
-and of the document frequencies only those of the block's own terms go along.
+Documents and their texts never move. Each task reads its documents once, scores the terms it shares with
+the queries through an inverted list, and keeps one list of the best ``k`` a query over all its batches, so
+what is shuffled is at most k rows per query and task, however many documents a task reads. Queries that
+share no term with any document of a task cost nothing there: its first ``k`` documents (all scored 0) are
+sent once for all queries, and only queries with fewer than ``k`` hits are filled up with them.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ class Bm25Index:
     def __init__(self) -> None:
         self.docs: DataFrame | None = None
 
-    def build(self, docs: DataFrame, extra: list[str] | None = None) -> Bm25Index:
+    def build(self, docs: DataFrame) -> Bm25Index:
         """``docs`` has chunk_id, ord (unique) and text; null texts count as empty."""
         self.docs = docs.select("chunk_id", "ord", F.coalesce("text", F.lit("")).alias("text"))
         words = self.docs.select(tokens(F.col("text")).alias("w"))
@@ -58,6 +60,8 @@ class Bm25Index:
         raw = F.log(F.lit(float(self.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         self.terms = cut(counts.withColumn("raw", raw))
         mean = self.terms.agg(F.avg("raw")).first()[0] or 0.0
+        # terms that most documents have may score below those that share none; then every score is ranked
+        self.below_zero = mean < 0
         self.idf = self.terms.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
         return self
 
@@ -71,65 +75,125 @@ class Bm25Index:
             raise RuntimeError("search() before build()")
         spark = self.docs.sparkSession
         docs = self.docs if docs is None else docs
+        schema = "qid string, chunk_id string, ord bigint, score double"
         parts = []
         for rows in query_blocks(queries, "question"):
             asked = [(q, _WORDS.findall((t or "").lower())) for q, t in rows]
             vocabulary = sorted({w for _, ws in asked for w in ws})
             known = spark.createDataFrame([(w,) for w in vocabulary], "term string")
             idf = {r["term"]: r["idf"] for r in self.idf.join(F.broadcast(known), "term").collect()} if vocabulary else {}
-            parts.append(docs.mapInArrow(self._scorer(asked, idf, k), "qid string, chunk_id string, ord bigint, score double"))
+            found = docs.mapInArrow(self._scorer(asked, idf, k), schema)
+            # rows without a qid are the first documents of a task, which fill up short lists
+            hits = best(found.where(F.col("qid").isNotNull()), k, "score", True)
+            parts.append((found, hits, [q for q, _ in asked]))
         if not parts:
-            return spark.createDataFrame([], "qid string, chunk_id string, ord bigint, score double, rank bigint")
-        return best(reduce(DataFrame.unionByName, parts), k, "score", True)
+            return spark.createDataFrame([], f"{schema}, rank bigint")
+        return reduce(DataFrame.unionByName, [self._filled(*p, k) for p in parts])
+
+    @staticmethod
+    def _filled(found: DataFrame, hits: DataFrame, qids: list[str], k: int) -> DataFrame:
+        """The hits, and for queries with fewer than ``k`` the first other documents by ord, with score 0."""
+        spark = found.sparkSession
+        first = found.where(F.col("qid").isNull()).select("chunk_id", "ord").orderBy("ord").limit(2 * k)
+        counted = hits.groupBy("qid").agg(F.count("*").alias("c"), F.collect_set("ord").alias("seen"))
+        asked = spark.createDataFrame([(q,) for q in qids], "qid string").distinct()
+        short = asked.join(counted, "qid", "left").where(F.coalesce("c", F.lit(0)) < k)
+        # 2 k documents for each short query: those it has already are among its fewer than k hits
+        fill = short.crossJoin(F.broadcast(first)).where(~F.coalesce(F.array_contains("seen", F.col("ord")), F.lit(False)))
+        nth = Window.partitionBy("qid").orderBy("ord")
+        fill = fill.withColumn("rank", (F.coalesce("c", F.lit(0)) + F.row_number().over(nth)).cast("bigint")).where(F.col("rank") <= k)
+        return hits.unionByName(fill.select("qid", "chunk_id", "ord", F.lit(0.0).alias("score"), "rank"))
 
     def _scorer(self, asked: list[tuple[str, list[str]]], idf: dict[str, float], k: int):
-        avgdl = self.avgdl or 1.0
+        avgdl, below_zero = self.avgdl or 1.0, self.below_zero
+        # for every term the queries that name it, once for each time they do
+        wanted: dict[str, list[int]] = defaultdict(list)
+        for i, (_, words) in enumerate(asked):
+            for w in words:
+                if w in idf:
+                    wanted[w].append(i)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names: list[str] = []
+            heaps = Best(len(asked), k, True)
+            first: list[tuple[int, str]] = []
             for batch in batches:
-                names = batch.column(0).to_pylist()
+                ids = batch.column(0).to_pylist()
                 ords = batch.column(1).to_numpy(zero_copy_only=False)
                 hits: dict[str, dict[int, int]] = defaultdict(dict)
-                lengths = np.zeros(len(names))
+                lengths = np.zeros(len(ids))
                 for i, text in enumerate(batch.column(2).to_pylist()):
                     words = _WORDS.findall(text.lower())
                     lengths[i] = len(words)
                     for w in words:
-                        if w in idf:
+                        if w in wanted:
                             hits[w][i] = hits[w].get(i, 0) + 1
+                first = sorted(first + [(int(o), c) for o, c in zip(ords.tolist(), ids)])[: 2 * k]
                 norm = K1 * (1 - B + B * lengths / avgdl)
                 posting = {}
                 for w, docs in hits.items():
                     at = np.fromiter(docs.keys(), np.int64, len(docs))
                     tf = np.fromiter(docs.values(), float, len(docs))
                     posting[w] = at, idf[w] * (tf * (K1 + 1) / (tf + norm[at]))
-                qids, rows, scores = [], [], []
-                m = len(names)
-                for qid, words in asked:
-                    score = np.zeros(m)
-                    for w in words:
-                        if w in posting:
-                            at, value = posting[w]
-                            score[at] += value
-                    rounded = np.round(score, 9)
-                    if m > k:
-                        kth = np.partition(rounded, m - k)[m - k]
-                        at = np.flatnonzero(rounded > kth)
-                        ties = np.flatnonzero(rounded == kth)
-                        need = k - len(at)
-                        if len(ties) > need:
-                            ties = ties[np.argpartition(ords[ties], need - 1)[:need]]
-                        at = np.r_[at, ties]
-                    else:
-                        at = np.arange(m)
-                    qids += [qid] * len(at)
-                    rows.append(at)
-                    scores.append(score[at])
-                if qids:
-                    at = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(qids), batch.column(0).take(pa.array(at)), pa.array(ords[at]), pa.array(np.concatenate(scores))],
-                        names=["qid", "chunk_id", "ord", "score"],
-                    )
+                score = np.zeros(len(ids))
+                for q in range(len(asked)) if below_zero else sorted({q for w in posting for q in wanted[w]}):
+                    lists = [posting[w] for w in asked[q][1] if w in posting]
+                    # terms add up in query order; only documents on some list are touched
+                    for at, value in lists:
+                        score[at] += value
+                    at = np.arange(len(ids)) if below_zero else np.unique(np.concatenate([a for a, _ in lists]))
+                    mine = score[at]
+                    score[at] = 0
+                    fine = below_zero | (np.round(mine, 9) != 0)
+                    heaps.offer(q, mine[fine], ords[at[fine]], at[fine] + len(names))
+                names += ids
+                kept = heaps.places()
+                names = [names[i] for i in kept.tolist()]
+                heaps.renumber(kept)
+            q, key, ords, at = heaps.rows()
+            out = [asked[i][0] for i in q.tolist()] + [None] * len(first)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(out, pa.string()),
+                    pa.array([names[i] for i in at.tolist()] + [c for _, c in first], pa.string()),
+                    pa.array(np.r_[ords, np.array([o for o, _ in first], np.int64)]),
+                    pa.array(np.r_[key, np.zeros(len(first))]),
+                ],
+                names=["qid", "chunk_id", "ord", "score"],
+            )
 
         return run
+
+
+class Best:
+    """The best ``k`` rows of each of ``n`` queries by a key rounded to nine decimals, ties by ord."""
+
+    def __init__(self, n: int, k: int, descending: bool) -> None:
+        self.k, self.sign = k, -1.0 if descending else 1.0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * n
+
+    def offer(self, q: int, key: np.ndarray, ords: np.ndarray, at: np.ndarray) -> None:
+        if self.held[q] is not None:
+            key, ords, at = (np.concatenate(pair) for pair in zip(self.held[q], (key, ords, at)))
+        if len(key) > 4 * self.k:
+            rough = self.sign * np.round(key, 9)
+            some = np.flatnonzero(rough <= np.partition(rough, self.k - 1)[self.k - 1])
+            key, ords, at = key[some], ords[some], at[some]
+        order = np.lexsort((ords, self.sign * np.round(key, 9)))[: self.k]
+        self.held[q] = key[order], ords[order], at[order]
+
+    def places(self) -> np.ndarray:
+        """The places still in use, ascending."""
+        used = [h[2] for h in self.held if h is not None]
+        return np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64)
+
+    def renumber(self, kept: np.ndarray) -> None:
+        self.held = [h if h is None else (h[0], h[1], np.searchsorted(kept, h[2])) for h in self.held]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, key, ord, place) of everything held."""
+        some = [(q, h) for q, h in enumerate(self.held) if h is not None]
+        if not some:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q = np.repeat([q for q, _ in some], [len(h[0]) for _, h in some])
+        return q, *(np.concatenate([h[c] for _, h in some]) for c in range(3))

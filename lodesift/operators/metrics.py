@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodesift.runtime import cut
+
 
 def hit_at_k(ids: Column, relevant: Column, k: int) -> Column:
     """1.0 if any of the first ``k`` ids is relevant, else 0.0."""
@@ -89,35 +91,76 @@ def price_calls(calls: DataFrame, model: str = "model") -> DataFrame:
     )
 
 
+#: Scores of one group that a task holds at a time.
+BOOTSTRAP_BLOCK = 1_000_000
+
+
+def positions(scores: DataFrame, order: str, *by: str) -> DataFrame:
+    """Adds ``__pos``, the place from 0 of every row within its group by ``order``, and ``__n``, the size of the group.
+
+    Rows are sorted by range over all tasks and numbered by task and place, so no group has to fit in one task.
+    """
+    sorted_ = scores.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+    numbered = cut(sorted_.withColumn("__at", F.monotonically_increasing_id()))
+    task = F.shiftrightunsigned("__at", 33)
+    per_task = numbered.groupBy(*by, task.alias("__task")).agg(F.min("__at").alias("__first"), F.count("*").alias("__c"))
+    before = Window.partitionBy(*by).orderBy("__task")
+    per_task = per_task.select(
+        *by, "__task", "__first", (F.sum("__c").over(before) - F.col("__c")).alias("__before"), F.sum("__c").over(Window.partitionBy(*by)).alias("__n")
+    )
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by]
+    joined = numbered.withColumn("__task", task).alias("s").join(per_task.alias("t"), [F.col("s.__task") == F.col("t.__task"), *same])
+    place = (F.col("s.__at") - F.col("t.__first") + F.col("t.__before")).alias("__pos")
+    return joined.select("s.*", place, "t.__n").drop("__at", "__task")
+
+
 def bootstrap_ci(scores: DataFrame, score: str, order: str, *by: str, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(by..., mean, lower, upper): percentile bootstrap of the mean, seeded.
 
     Resample r of n scores takes the positions that row r of ``default_rng(seed).integers(0, n, (resamples, n))``
-    names, positions being the order of ``order`` among non-null scores. Only that table's sums over equal
-    positions are needed: each group is one array of its scores, so a group must fit in one task (an
-    evaluation set does). A group without scores gives zeros.
+    names, positions being the order of ``order`` among non-null scores. A group is cut into blocks of
+    ``BOOTSTRAP_BLOCK`` positions; each block draws the table anew, in stretches, and adds up what falls to it,
+    so only ``resamples`` sums a block are gathered. A group without scores gives zeros.
     """
-    item = F.when(F.col(score).isNotNull(), F.struct(F.col(order).alias("o"), F.col(score).cast("double").alias("s")))
-    grouped = scores.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]).alias("__v"))
+    groups = list(by) or ["__all"]
+    rows = scores.select(*by, F.lit(0).alias("__all"), F.col(order).alias("__o"), F.col(score).cast("double").alias("__s"))
+    every = rows.select(*groups).distinct() if by else scores.sparkSession.range(1).select(F.lit(0).alias("__all"))
+    placed = positions(rows.where(F.col("__s").isNotNull()).select(*groups, "__o", "__s"), "__o", *groups)
+    block = F.floor(F.col("__pos") / BOOTSTRAP_BLOCK).alias("__block")
+    packed = placed.groupBy(*groups, "__n", block).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__s"))), lambda x: x["__s"]).alias("__v")  # BOOTSTRAP_BLOCK at most
+    )
+    most = BOOTSTRAP_BLOCK
 
-    @F.pandas_udf("struct<mean: double, lower: double, upper: double>")
-    def interval(v):
+    @F.pandas_udf("array<double>")
+    def sums(v, n, block):
         import pandas as pd
 
-        rows = []
-        for x in v:
+        out = []
+        for x, size, b in zip(v, n.tolist(), block.tolist()):
             x = np.asarray(x, float)
-            n = len(x)
-            if not n:
-                rows.append((0.0, 0.0, 0.0))
-                continue
+            low = b * most
             rng = np.random.default_rng(seed)
-            step = max(1, 4_000_000 // n)
-            # integers() fills row by row, so drawing in stretches gives the same table
-            means = np.concatenate([x[rng.integers(0, n, (min(step, resamples - r), n))].mean(axis=1) for r in range(0, resamples, step)])
-            tail = (1 - level) / 2 * 100
-            low, high = np.percentile(means, [tail, 100 - tail])
-            rows.append((float(x.mean()), float(low), float(high)))
-        return pd.DataFrame(rows, columns=["mean", "lower", "upper"])
-
-    return grouped.select(*by, interval("__v").alias("__ci")).select(*by, "__ci.mean", "__ci.lower", "__ci.upper")
+            step = max(1, 4_000_000 // size)
+            total = np.zeros(resamples)
+            for r in range(0, resamples, step):
+                # integers() fills row by row, so drawing in stretches gives the same table
+                drawn = rng.integers(0, size, (min(step, resamples - r), size))
+                if size > most:
+                    mine = (drawn >= low) & (drawn < low + len(x))
+                    total[r : r + len(drawn)] = np.where(mine, x[np.where(mine, drawn - low, 0)], 0.0).sum(axis=1)
+                else:
+                    total[r : r + len(drawn)] = x[drawn].sum(axis=1)
+            out.append(total)
+        return pd.Series(out)
+
+    drawn = packed.select(*groups, "__n", F.aggregate("__v", F.lit(0.0), lambda s, x: s + x).alias("__sum"), F.posexplode(sums("__v", "__n", "__block")).alias("__r", "__t"))
+    means = drawn.groupBy(*groups, "__n", "__r").agg((F.sum("__t") / F.col("__n")).alias("__m"), (F.sum("__sum") / F.col("__n")).alias("__mean"))
+    tail = (1 - level) / 2
+    bounds = means.groupBy(*groups).agg(F.max("__mean").alias("mean"), F.percentile("__m", F.array(F.lit(tail), F.lit(1 - tail))).alias("__p"))
+    bounds = bounds.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)), "mean", "__p")
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+    zero = F.lit(0.0)
+    return every.join(bounds, same, "left").select(
+        *by, F.coalesce("mean", zero).alias("mean"), F.coalesce(F.get("__p", F.lit(0)), zero).alias("lower"), F.coalesce(F.get("__p", F.lit(1)), zero).alias("upper")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.providers import LLM, Embedder, MockEmbedder, MockLLM, MockReranker, Prefix, Reranker
-from lodesift.functions.text import fill, parse_action, parse_filter, parse_next_query, parse_subqueries, strip
+from lodesift.functions.text import fill, parse_action, parse_filter, parse_next_query, parse_subqueries, parse_typed_filter, python_repr, strip
 from lodesift.operators import ranking
 from lodesift.operators.dense import VectorIndex, dense_search
 from lodesift.operators.lexical import Bm25Index
@@ -63,28 +63,28 @@ class Collection:
         return self.llm.ask(df.withColumn("__p", fill(self.prompts[prompt], **values)), "__p", "r").drop("__p")
 
 
-def _zero_counts() -> list[Column]:
-    return [F.lit(0.0).alias(c) if c == "latency_ms" else F.lit(0).cast("bigint").alias(c) for c in _COUNTS]
-
-
 def _costs(df: DataFrame, response: str = "r") -> DataFrame:
-    return df.select("qid", *(F.col(f"{response}.{c}").alias(c) for c in _COUNTS))
+    return df.select("qid", *(F.col(f"{response}.{c}").alias(c) for c in _COUNTS), F.col(f"{response}.error").alias("error"))
 
 
 def answer(
     col: Collection, questions: DataFrame, ranked: DataFrame | None, spent: DataFrame | None = None, filters: DataFrame | None = None, traces: DataFrame | None = None
 ) -> DataFrame:
-    """Context, final call and the answer row of every question; ``spent`` are the costs of earlier calls."""
+    """Context, final call and the answer row of every question; ``spent`` are the costs of earlier calls.
+
+    A question one of whose calls failed has the error and neither an answer nor ids.
+    """
     if ranked is None:
         rows = questions.select("qid", "question", F.lit("").alias("context"), F.array().cast("array<string>").alias("ids"))
     else:
         rows = ranking.contexts(ranked, col.chunks, questions)
     rows = col.ask(rows, "generate", context=F.col("context"), question=F.col("question"))
-    costs = rows.select("qid", *(F.col(f"r.{c}").alias(c) for c in _COUNTS))
+    costs = _costs(rows)
     if spent is not None:
         costs = costs.unionByName(spent)
-    total = costs.groupBy("qid").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+    total = costs.groupBy("qid").agg(*(F.sum(c).alias(c) for c in _COUNTS), F.max("error").alias("error"))
     out = rows.select("qid", "question", F.col("r.text").alias("answer"), F.col("ids").alias("retrieved_chunk_ids")).join(total, "qid")
+    out = out.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("answer", "retrieved_chunk_ids")})
     empty_filter = F.lit(None).cast("map<string,string>")
     out = out.join(filters, "qid", "left") if filters is not None else out.withColumn("extracted_filter", empty_filter)
     if traces is not None:
@@ -139,6 +139,7 @@ def _context_answers(asked: DataFrame, first: list[str]) -> DataFrame:
         F.col("r.text").alias("answer"),
         ids.alias("retrieved_chunk_ids"),
         *(F.col(f"r.{c}").alias(c) for c in _COUNTS),
+        F.col("r.error").alias("error"),
         F.lit(None).cast("map<string,string>").alias("extracted_filter"),
         F.array().cast(f"array<{TRACE_STEP}>").alias("tool_call_trace"),
     )
@@ -224,26 +225,14 @@ def contextual(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
 def self_query(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
     """Dense search among the chunks that match the filter the model reads from the question.
 
-    Questions are grouped by their filter (a few distinct ones), and the filter stands below the ranking.
+    Filters are typed, stand below the ranking, and share one pass over the chunks. The answer has the filter as
+    a map of text (``extracted_filter``) and as a map of JSON literals (``extracted_typed``).
     """
     asked = cut(col.ask(questions.select("qid", "question"), "self_query", question=F.col("question")))
-    wanted = asked.select("qid", "question", parse_filter(F.col("r.text")).alias("extracted_filter"))
-    wanted = cut(wanted.withColumn("kind", F.to_json(F.array_sort(F.map_entries("extracted_filter")))))
-    kinds = wanted.groupBy("kind").agg(F.first("extracted_filter").alias("f")).limit(1001).collect()
-    if len(kinds) > 1000:
-        raise ValueError("more than 1000 different filters in one batch")
-    ranked = None
-    numbers = {c for c, t in col.chunks.dtypes if t in ("int", "bigint")}
-    for kind in kinds:
-        test = {f: int(v) if f in numbers and v is not None and v.lstrip("-").isdigit() else v for f, v in kind["f"].items()}
-        rows = None
-        if test:
-            fitting = col.chunks.where(ranking.matches(col.chunks, test)).select("chunk_id")
-            rows = col.vectors.rows.join(fitting, "chunk_id", "left_semi")
-        mine = wanted.where(F.col("kind") == kind["kind"]).select("qid", "question")
-        part = dense_search(col.vectors, mine, k, col.embedder, rows)
-        ranked = part if ranked is None else ranked.unionByName(part)
-    return answer(col, questions, ranked, _costs(asked), wanted.select("qid", "extracted_filter"))
+    wanted = asked.select("qid", "question", parse_filter(F.col("r.text")).alias("extracted_filter"), parse_typed_filter(F.col("r.text")).alias("extracted_typed"))
+    embedded = col.embedder.embed(wanted.select("qid", "question", F.col("extracted_typed").alias("wanted")), "question", "vec")
+    ranked = col.vectors.search_where(embedded, k)
+    return answer(col, questions, ranked, _costs(asked), wanted.select("qid", "extracted_filter", "extracted_typed"))
 
 
 def multi_hop(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
@@ -274,7 +263,7 @@ def agentic(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
         lines = F.transform(
             "trace",
             lambda s: F.concat(
-                F.lit("Thought: "), s["thought"], F.lit("\nAction: "), s["action"], F.lit("('"), s["action_input"], F.lit("')"),
+                F.lit("Thought: "), s["thought"], F.lit("\nAction: "), s["action"], F.lit("("), python_repr(s["action_input"]), F.lit(")"),
                 F.coalesce(F.concat(F.lit("\nObservation: "), s["observation"]), F.lit("")),
             ),
         )
@@ -290,7 +279,7 @@ def agentic(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
         part = found.withColumn("src", F.lit(step))
         lists = part if lists is None else lists.unionByName(part)
         ids = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("f"))
-        seen = F.concat(F.lit("Retrieved: ["), F.array_join(F.transform(F.coalesce("f", F.array().cast("array<struct<rank: bigint, chunk_id: string>>")), lambda x: F.concat(F.lit("'"), x["chunk_id"], F.lit("'"))), ", "), F.lit("]"))
+        seen = F.concat(F.lit("Retrieved: ["), F.array_join(F.transform(F.coalesce("f", F.array().cast("array<struct<rank: bigint, chunk_id: string>>")), lambda x: python_repr(x["chunk_id"])), ", "), F.lit("]"))
         ended = F.col("a.action") == "finish"
         done = asked.join(ids, "qid", "left").select(
             "qid",

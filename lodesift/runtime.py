@@ -29,7 +29,9 @@ def session(app: str = "lodesift", cores: str = "*", **conf: str) -> SparkSessio
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,16 +54,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without and gets a fresh one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='lodesift-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def clean() -> None:
+    """Delete the tables that :func:`cut` has written so far. Results that still need them must be stored first."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -70,14 +76,15 @@ def _clean() -> None:
             return
 
 
-atexit.register(_clean)
+atexit.register(clean)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Later stages start from files every executor can reach, so a lost executor costs one task and
-    not the whole lineage, and a plan used twice is computed once. The files go at interpreter exit.
+    not the whole lineage, and a plan used twice is computed once. The files go with :func:`clean`, at
+    interpreter exit at the latest.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodesift-{uuid.uuid4().hex}"

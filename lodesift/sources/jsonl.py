@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesift.functions.text import parse_filter, parse_typed_filter
 from lodesift.operators.corpus import last_delivery
 from lodesift.schema import CHUNK, FULL_TEXT, QA
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QA).json(path)
+    """Questions; ``requires_typed`` has the required filter as JSON literals, so that text and numbers stay apart."""
+    raw = spark.read.schema(QA.replace("requires_filter MAP<STRING,STRING>", "requires_filter STRING")).json(path)
+    wanted = F.col("requires_filter")
+    return raw.withColumn("requires_typed", F.when(wanted.isNotNull(), parse_typed_filter(wanted))).withColumn(
+        "requires_filter", F.when(wanted.isNotNull(), parse_filter(wanted))
+    )
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from urllib.parse import urlencode
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PAPER = "array<struct<paper_id: string, title: string, authors: array<string>, year: int, pdf_url: string>>"
 
@@ -41,7 +42,7 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
                 return []
             rows = []
             for e in root.findall("a:entry", ns):
-                link = next((x.get("href") for x in e.findall("a:link", ns) if x.get("title") == "pdf" or x.get("type") == "application/pdf"), None)
+                link = next((x.get("href") for x in e.findall("a:link", ns) if x.get("title") == "pdf"), None)
                 where, when = e.findtext("a:id", "", ns), e.findtext("a:published", "", ns)
                 if link and where:
                     name = re.sub(r"v\d+$", "", where.rstrip("/").rsplit("/abs/")[-1])
@@ -64,7 +65,10 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def pdf_texts(files: DataFrame) -> DataFrame:
-    """(path, text) of a ``binaryFile`` table; pages are joined by blank lines. Needs pypdf on the executors."""
+    """(path, text) of a ``binaryFile`` table; pages are joined by blank lines. Needs pypdf on the executors.
+
+    A file that cannot be read has a null text.
+    """
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -72,7 +76,51 @@ def pdf_texts(files: DataFrame) -> DataFrame:
 
         from pypdf import PdfReader
 
+        def one(content: bytes) -> str | None:
+            try:
+                return "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages)
+            except Exception:  # noqa: BLE001 - damaged files differ in what they raise
+                return None
+
         for contents in batches:
-            yield contents.map(lambda b: "\n\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(b)).pages))
+            yield contents.map(one)
 
     return files.select("path", text(F.col("content")).alias("text"))
+
+
+class FeedSource(DataSource):
+    """A paged Atom search as a batch source: ``spark.dataSource.register(FeedSource)``, then ``format("papers")``.
+
+    Options: base (address), category, date_from, date_to, most (papers), page (papers a request). Every page
+    is one task; the rows have page and xml, for :func:`parse_feeds`. ``file:`` addresses are read as they are.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "papers"
+
+    def schema(self) -> str:
+        return "page int, xml string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FeedReader(self.options)
+
+
+class _FeedReader(DataSourceReader):
+    def __init__(self, options) -> None:
+        self.options = dict(options)
+
+    def partitions(self) -> list[InputPartition]:
+        page, most = int(self.options.get("page", 50)), int(self.options.get("most", 50))
+        return [InputPartition(n) for n in range(-(-most // page))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        import urllib.request
+
+        o = self.options
+        page, most = int(o.get("page", 50)), int(o.get("most", 50))
+        at = partition.value * page
+        base = o["base"]
+        url = base if base.startswith("file:") else search_url(base, o["category"], o["date_from"], o["date_to"], at, min(page, most - at))
+        with urllib.request.urlopen(url, timeout=60) as reply:
+            yield partition.value, reply.read().decode("utf-8", "replace")
