@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.providers import LLM, MockLLM
 from lodesift.functions.text import fill, parse_judgement
 from lodesift.operators import metrics
+from lodesift.operators.ranking import contexts
 from lodesift.runtime import cut
+from lodesift.schema import TRACE_STEP
+from lodesift.sources.jsonl import write_traces
 
 JUDGE_MODEL = "gpt-5.4-mini-2026-03-17"
 TEMPLATES = {
@@ -21,6 +26,9 @@ TEMPLATES = {
 }
 JUDGES = tuple(TEMPLATES)
 
+#: What answers questions: (collection, questions, k) -> answers, as in :mod:`lodesift.plans.patterns`.
+Recipe = Callable[..., DataFrame]
+
 
 def cache_key(kind: str, template: str, fields: list[str], model: str = JUDGE_MODEL) -> Column:
     """A digest of everything a grade depends on, the wording of the prompt included."""
@@ -39,23 +47,25 @@ def read_cache(spark, path: str | None) -> DataFrame:
     return kept.where(F.col("key").isNotNull() & F.col("score").isNotNull()).dropDuplicates(["key"])
 
 
-def judge(rows: DataFrame, kind: str, llm: LLM, cache: str | None = None, template: str | None = None) -> DataFrame:
+def judge(rows: DataFrame, kind: str, llm: LLM, cache: str | None = None, template: str | None = None, asking: Column | None = None) -> DataFrame:
     """Adds ``{kind}`` (score), ``{kind}_usd`` and ``{kind}_cached`` to rows with question, answer and context.
 
-    A cached grade costs nothing. A reply that is no valid grade leaves the score null. New grades are
-    appended to the parquet table ``cache``; equal prompts are asked once.
+    A cached grade costs nothing. A reply that is no valid grade leaves score and cost null. New grades are
+    appended to the parquet table ``cache``; equal prompts are asked once. Rows for which ``asking`` is not true
+    are not graded at all.
     """
     template = template or TEMPLATES[kind]
     fields = [f for f in ("question", "answer", "context") if "{" + f + "}" in template]
-    keyed = rows.withColumn("__key", cache_key(kind, template, fields))
+    keyed = rows.withColumn("__key", F.when(F.lit(True) if asking is None else asking, cache_key(kind, template, fields)))
     known = cut(read_cache(rows.sparkSession, cache))
-    missing = keyed.join(known.select(F.col("key").alias("__key")), "__key", "left_anti").dropDuplicates(["__key"])
+    missing = keyed.where(F.col("__key").isNotNull()).join(known.select(F.col("key").alias("__key")), "__key", "left_anti").dropDuplicates(["__key"])
     asked = missing.select("__key", fill(template, **{f: F.coalesce(F.col(f), F.lit("")) for f in fields}).alias("prompt"))
     replied = llm.ask(asked, "prompt", "r").withColumn("model", F.lit(JUDGE_MODEL))
     calls = replied.select("__key", "model", parse_judgement(F.col("r.text")).alias("g"), "r.input_tokens", "r.output_tokens", "r.cached_input_tokens")
     # cache-creation tokens are not priced here
     graded = metrics.price_calls(calls.withColumn("cache_creation_input_tokens", F.lit(0)))
-    graded = cut(graded.select("__key", F.col("g.score").alias("score"), F.col("g.reasoning").alias("reasoning"), "usd"))
+    score = F.col("g.score")
+    graded = cut(graded.select("__key", score.alias("score"), F.col("g.reasoning").alias("reasoning"), F.when(score.isNotNull(), F.col("usd")).alias("usd")))
     if cache is not None:
         graded.where("score is not null").select(F.col("__key").alias("key"), "score", "reasoning").write.mode("append").parquet(cache)
     every = graded.select("__key", "score", "usd", F.lit(False).alias("hit")).unionByName(
@@ -69,16 +79,21 @@ def score_answers(answers: DataFrame, questions: DataFrame, model: str) -> DataF
     """One row a question: hit3, hit10, mrr, filter_accuracy, usd and the two error columns.
 
     ``answers`` has the answer schema (and may have pattern_id); a question without an answer row, or with
-    a null id list, is a retrieval error and has null metrics.
+    a null id list, is a retrieval error and has null metrics. A question with an accounting error keeps its
+    retrieval scores and has neither cost nor filter score. Filters are compared with their types where
+    both sides have them (``requires_typed``, ``extracted_typed``).
     """
     by = ["pattern_id"] if "pattern_id" in answers.columns else []
-    base = questions.select("qid", "relevant_chunk_ids", "requires_filter")
+    typed = "requires_typed" in questions.columns and "extracted_typed" in answers.columns
+    wanted, given = ("requires_typed", "extracted_typed") if typed else ("requires_filter", "extracted_filter")
+    base = questions.select("qid", "relevant_chunk_ids", F.col(wanted).alias("__wanted"))
     if by:
         base = answers.select("pattern_id", "qid").distinct().join(base, "qid")
     df = base.join(answers.drop("question"), [*by, "qid"], "left").withColumn("model", F.lit(model))
     df = metrics.price_calls(df)
     ids, relevant = F.col("retrieved_chunk_ids"), F.coalesce("relevant_chunk_ids", F.array().cast("array<string>"))
     ok = ids.isNotNull()
+    booked = ok & F.col("accounting_error").isNull()
     return df.select(
         *by,
         "qid",
@@ -87,48 +102,96 @@ def score_answers(answers: DataFrame, questions: DataFrame, model: str) -> DataF
         F.when(ok, metrics.hit_at_k(ids, relevant, 10)).alias("hit10"),
         F.when(ok, metrics.mrr(ids, relevant)).alias("mrr"),
         F.when(ok, F.col("latency_ms")).alias("latency_ms"),
-        F.when(ok, metrics.filter_accuracy(F.col("requires_filter"), F.col("extracted_filter"))).alias("filter_accuracy"),
+        F.when(booked, metrics.filter_accuracy(F.col("__wanted"), F.col(given))).alias("filter_accuracy"),
         F.when(ok, F.col("usd")).alias("usd"),
         F.when(ok, F.col("accounting_error")).alias("accounting_error"),
     )
 
 
 def summarise(scores: DataFrame, *by: str) -> DataFrame:
-    """One row a group: means with bootstrap bounds, p50/p95, dollars a question and error counts.
+    """One row a group: means with bootstrap bounds, p50/p95, dollars and error counts.
 
-    Dollars are divided by all questions, those with errors included; metrics by the scored ones.
+    Dollars a question are divided by all questions, those with errors included; metrics by the scored ones.
+    ``eval_usd`` is the sum. The filter score is null where no question has one; grades are zero where
+    all of them failed and absent where none were asked for.
     """
     scores = cut(scores.withColumn("__all", F.lit(1)) if not by else scores)
     keys = list(by) or ["__all"]
     judged = [j for j in JUDGES if j in scores.columns]
+    spent = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ["usd", *(f"{j}_usd" for j in judged)]), F.lit(0.0))
+    stage = F.col("judge_error_stage") if "judge_error_stage" in scores.columns else F.lit(None)
     out = scores.groupBy(*keys).agg(
         F.count("*").alias("n_questions"),
         F.count_if("retrieval_error").alias("n_errors"),
         F.count_if(F.col("accounting_error").isNotNull()).alias("n_accounting_errors"),
-        (F.sum(sum((F.coalesce(F.col(c), F.lit(0.0)) for c in ["usd", *(f"{j}_usd" for j in judged)]), F.lit(0.0))) / F.count("*")).alias("usd_per_query"),
+        F.count_if(stage.isNotNull()).alias("n_judge_errors"),
+        (F.sum(spent) / F.count("*")).alias("usd_per_query"),
+        F.sum(spent).alias("eval_usd"),
+        F.count("filter_accuracy").alias("__filters"),
     )
     out = out.join(metrics.latency_percentiles(scores, "latency_ms", *keys), keys)
     for m in ["hit3", "hit10", "mrr", "filter_accuracy", *judged]:
         ci = metrics.bootstrap_ci(scores, m, "qid", *keys)
         out = out.join(ci.withColumnsRenamed({"mean": m, "lower": f"{m}_lower", "upper": f"{m}_upper"}), keys)
-    return out.drop("__all")
+    some = F.col("__filters") > 0
+    out = out.withColumns({c: F.when(some, F.col(c)) for c in ("filter_accuracy", "filter_accuracy_lower", "filter_accuracy_upper")})
+    return out.drop("__all", "__filters")
 
 
 def judge_answers(scored: DataFrame, llm: LLM | None = None, cache: str | None = None) -> DataFrame:
     """The three grades one after the other; ``judge_error_stage`` names the first that failed.
 
-    Grades before a failure stay, later ones are null.
+    Grades before a failure stay; the failed one costs nothing, and later judges are not asked. Retrieval
+    errors are not graded.
     """
     llm = llm or MockLLM(default='{"score": 1, "reasoning": "mock"}')
-    df, failed = scored, F.lit(None).cast("string")
-    for kind in JUDGES:
-        df = judge(df, kind, llm, cache)
+    fine = ~F.col("retrieval_error") if "retrieval_error" in scored.columns else F.lit(True)
+    df = scored.withColumn("judge_error_stage", F.lit(None).cast("string"))
     for kind in JUDGES:
-        failed = F.coalesce(failed, F.when(F.col(kind).isNull(), F.lit(kind)))
-    df = df.withColumn("judge_error_stage", failed)
-    place = {k: i for i, k in enumerate(JUDGES)}
-    stage = F.coalesce(F.element_at(F.create_map(*(x for k, i in place.items() for x in (F.lit(k), F.lit(i)))), F.coalesce("judge_error_stage", F.lit(""))), F.lit(99))
-    return df.withColumns({k: F.when(stage >= i, F.col(k)) for k, i in place.items()})
+        asking = fine & F.col("judge_error_stage").isNull()
+        df = judge(df, kind, llm, cache, asking=asking)
+        failed = asking & F.col(kind).isNull()
+        df = cut(df.withColumn("judge_error_stage", F.when(failed, F.lit(kind)).otherwise(F.col("judge_error_stage"))))
+    return df
+
+
+def run_pattern(
+    recipe: Recipe,
+    col,
+    questions: DataFrame,
+    model: str,
+    name: str = "pattern",
+    k: int = 10,
+    judges: LLM | None = None,
+    cache: str | None = None,
+    traces: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Run ``recipe(col, questions, k)`` over all questions and score it: (one row a question, one summary row).
+
+    A question whose calls fail is a retrieval error, and so are all of them if the recipe itself raises.
+    ``judges`` grades the answers (none without it); ``traces`` is where the agent's steps are written.
+    """
+    try:
+        answers = cut(recipe(col, questions, k))
+    except Exception as e:  # noqa: BLE001 - told in the error column
+        reason = F.lit(f"{type(e).__name__}: {e}"[:500])
+        nothing = {"answer": "string", "retrieved_chunk_ids": "array<string>", "latency_ms": "double", "extracted_filter": "map<string,string>"}
+        counts = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_creation_input_tokens")
+        answers = cut(
+            questions.select(
+                "qid", "question", *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()), *(F.lit(0).cast("bigint").alias(c) for c in counts),
+                F.array().cast(f"array<{TRACE_STEP}>").alias("tool_call_trace"), reason.alias("error"),
+            )
+        )
+    scores = score_answers(answers, questions, model).join(answers.select("qid", F.col("error").alias("error")), "qid", "left")
+    if judges is not None:
+        ranked = answers.select("qid", F.posexplode("retrieved_chunk_ids").alias("rank", "chunk_id"))
+        context = contexts(ranked, col.chunks, questions).select("qid", "question", "context")
+        scores = judge_answers(scores.join(context, "qid").join(answers.select("qid", "answer"), "qid"), judges, cache)
+    if traces is not None:
+        write_traces(answers, traces)
+    scores = cut(scores)
+    return scores, summarise(scores).withColumn("pattern_id", F.lit(name))
 
 
 def leaderboard(summary: DataFrame) -> DataFrame:
@@ -136,10 +199,56 @@ def leaderboard(summary: DataFrame) -> DataFrame:
     return summary.orderBy(F.desc("hit10"), "ord")
 
 
+_NAMES = {"hit3": "hit@3", "hit10": "hit@10", "mrr": "MRR", "faithfulness": "faithfulness", "relevance": "relevance", "citation": "citation", "filter_accuracy": "filter"}
+
+
+def _interval(r: dict, m: str) -> str:
+    return "n/a" if r.get(m) is None else f"{r[m]:.3f} [{r[m + '_lower']:.3f}, {r[m + '_upper']:.3f}]"
+
+
+def table_rows(summary: DataFrame) -> tuple[list[str], list[list[str]]]:
+    """Header and cells of the leaderboard; grades and sums only where the summary has them."""
+    rows = [r.asDict() for r in leaderboard(summary).limit(1000).collect()]
+    have = [m for m in _NAMES if m in summary.columns]
+    total = "eval_usd" in summary.columns
+    head = ["pattern", *(_NAMES[m] for m in have), "p50 ms", "p95 ms", "usd/query", *(["eval usd"] if total else [])]
+    cells = [
+        [r["pattern_id"], *(_interval(r, m) for m in have), f"{r['p50']:.1f}", f"{r['p95']:.1f}", f"${r['usd_per_query']:.5f}", *([f"${r['eval_usd']:.4f}"] if total else [])]
+        for r in rows
+    ]
+    return head, cells
+
+
 def markdown(summary: DataFrame) -> str:
     """The leaderboard (a few rows) as a markdown table."""
-    lines = ["| pattern | hit@3 | hit@10 | MRR | p50 ms | p95 ms | usd/query |", "|---|---|---|---|---|---|---|"]
-    for r in leaderboard(summary).limit(1000).collect():
-        ci = (f"{r[m]:.3f} [{r[m + '_lower']:.3f}, {r[m + '_upper']:.3f}]" for m in ("hit3", "hit10", "mrr"))
-        lines.append("| " + " | ".join([r["pattern_id"], *ci, f"{r['p50']:.1f}", f"{r['p95']:.1f}", f"${r['usd_per_query']:.5f}"]) + " |")
+    head, cells = table_rows(summary)
+    lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)]
+    return "\n".join(lines + ["| " + " | ".join(c) + " |" for c in cells]) + "\n"
+
+
+def picture(summary: DataFrame, path: str) -> None:
+    """The leaderboard as an image. Needs matplotlib."""
+    import matplotlib
+
+    matplotlib.use("Agg")
+    from matplotlib import pyplot
+
+    head, cells = table_rows(summary)
+    figure, axes = pyplot.subplots(figsize=(2 * len(head), 0.5 * (len(cells) + 2)))
+    axes.axis("off")
+    axes.table(cellText=cells, colLabels=head, loc="center").auto_set_font_size(False)
+    figure.savefig(path, bbox_inches="tight", dpi=150)
+    pyplot.close(figure)
+
+
+def report(summary: DataFrame) -> str:
+    """The summary of one or more patterns as text, with a warning for every kind of error that occurred."""
+    lines = []
+    for r in (x.asDict() for x in summary.limit(1000).collect()):
+        lines.append(f"{r['pattern_id']}: {r['n_questions']} questions")
+        lines += [f"  {_NAMES[m]:<13} {_interval(r, m)}" for m in _NAMES if m in r]
+        lines.append(f"  latency       p50 {r['p50']:.1f} ms, p95 {r['p95']:.1f} ms")
+        lines.append(f"  cost          ${r['usd_per_query']:.5f} a question, ${r['eval_usd']:.4f} in all")
+        told = (("n_errors", "failed in retrieval or answering"), ("n_accounting_errors", "have no cost"), ("n_judge_errors", "are not fully graded"))
+        lines += [f"  warning: {r[c]} questions {what}" for c, what in told if r.get(c)]
     return "\n".join(lines) + "\n"

@@ -122,9 +122,9 @@ def bootstrap_ci(scores: DataFrame, score: str, order: str, *by: str, resamples:
     ``BOOTSTRAP_BLOCK`` positions; each block draws the table anew, in stretches, and adds up what falls to it,
     so only ``resamples`` sums a block are gathered. A group without scores gives zeros.
     """
-    groups = list(by) or ["__all"]
-    rows = scores.select(*by, F.lit(0).alias("__all"), F.col(order).alias("__o"), F.col(score).cast("double").alias("__s"))
-    every = rows.select(*groups).distinct() if by else scores.sparkSession.range(1).select(F.lit(0).alias("__all"))
+    groups = list(by) or ["__one"]
+    rows = scores.select(*by, F.lit(0).alias("__one"), F.col(order).alias("__o"), F.col(score).cast("double").alias("__s"))
+    every = rows.select(*groups).distinct() if by else scores.sparkSession.range(1).select(F.lit(0).alias("__one"))
     placed = positions(rows.where(F.col("__s").isNotNull()).select(*groups, "__o", "__s"), "__o", *groups)
     block = F.floor(F.col("__pos") / BOOTSTRAP_BLOCK).alias("__block")
     packed = placed.groupBy(*groups, "__n", block).agg(

@@ -527,6 +527,30 @@ def bootstrap_ci(spark, d):
     return metrics.bootstrap_ci(r, "hit", "answer_id", "pattern_id")
 
 
+@query(
+    "bootstrap_means",
+    _with(BASE)
+    + """ SELECT pattern_id, round(avg(coalesce(list_has_any(retrieved_chunk_ids[:10], relevant_chunk_ids), false)::INT), 9) AS mean, true AS within, true AS narrow
+    FROM answers JOIN questions USING (qid) GROUP BY 1""",
+)
+def bootstrap_means(spark, d):
+    """Of the intervals what SQL can tell: the means, that they lie between the bounds, and that the bounds are as far apart as four standard errors allow."""
+    r = runs(spark, d).groupBy("pattern_id").agg(F.count("*").alias("n"))
+    ci = bootstrap_ci(spark, d).join(r, "pattern_id")
+    spread = 4 * 2 * F.sqrt(F.col("mean") * (1 - F.col("mean")) / F.col("n")) + 1e-9
+    return ci.select("pattern_id", F.round("mean", 9).alias("mean"), F.col("mean").between(F.col("lower"), F.col("upper")).alias("within"), (F.col("upper") - F.col("lower") <= spread).alias("narrow"))
+
+
+@query(
+    "bootstrap_positions",
+    """SELECT pattern_id, answer_id, row_number() OVER (PARTITION BY pattern_id ORDER BY answer_id) - 1 AS place, count(*) OVER (PARTITION BY pattern_id) AS n
+    FROM answers WHERE latency_ms IS NOT NULL""",
+)
+def bootstrap_positions(spark, d):
+    a = table(spark, d, "answers").where("latency_ms IS NOT NULL").select("pattern_id", "answer_id")
+    return metrics.positions(a, "answer_id", "pattern_id").select("pattern_id", "answer_id", F.col("__pos").alias("place"), F.col("__n").alias("n"))
+
+
 # ------------------------------------------------------------------ chunkers
 
 
@@ -573,8 +597,39 @@ def _chunks_of(spark, d, f):
     return _texts(spark, d).select("ord", F.posexplode(f(F.col("full_text"))).alias("piece", "text"))
 
 
+_WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
+
+
+def packing_sql(budget: int, source: str = "SELECT ord AS d, full_text AS text FROM corpus_fulltext") -> str:
+    """CTEs (recursive) ending in ``packed`` (d, piece, text): greedy packing of paragraphs with carried overlap."""
+    return rf"""
+src AS ({source}),
+para AS (SELECT d, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT d, list_filter(list_transform(
+  string_split(regexp_replace(text, '\n{_WS}*\n', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') AS ps FROM src WHERE text IS NOT NULL)),
+words AS (SELECT d, i, p, list_filter(regexp_split_to_array(p, '{_WS}+'), lambda x: x <> '') AS w FROM para),
+cuts AS (SELECT d, i, 0 AS s, p AS t, len(w) AS c FROM words WHERE len(w) <= {budget}
+  UNION ALL SELECT d, i, s, array_to_string(w[s + 1:s + {budget}], ' '), len(w[s + 1:s + {budget}]) FROM (SELECT d, i, w, unnest(range(0, len(w), {budget - 64})) AS s FROM words WHERE len(w) > {budget})),
+parts AS (SELECT d, t, c, row_number() OVER (PARTITION BY d ORDER BY i, s) AS n FROM cuts),
+fold AS (
+  SELECT d, n, c AS size, 0 AS piece, false AS carried FROM parts WHERE n = 1
+  UNION ALL
+  SELECT p.d, p.n, CASE WHEN f.size + p.c > {budget} THEN p.c + CASE WHEN l.c <= 64 THEN l.c ELSE 0 END ELSE f.size + p.c END,
+    f.piece + (f.size + p.c > {budget})::INT, f.size + p.c > {budget} AND l.c <= 64
+  FROM fold f JOIN parts p ON p.d = f.d AND p.n = f.n + 1 JOIN parts l ON l.d = f.d AND l.n = f.n
+),
+members AS (SELECT d, piece, n FROM fold UNION ALL SELECT d, piece, n - 1 FROM fold WHERE carried),
+packed AS (SELECT d, piece, string_agg(t, chr(10) || chr(10) ORDER BY n) AS text FROM members JOIN parts USING (d, n) GROUP BY 1, 2)
+"""
+
+
+def _recursive(*parts: str) -> str:
+    return _with(*parts).replace("WITH", "WITH RECURSIVE", 1)
+
+
 for _n in (256, 512, 1024):
-    query(f"chunk_fixed_{_n}")(partial(lambda spark, d, n: _chunks_of(spark, d, lambda t: chunking.chunk_fixed(t, n)), n=_n))
+    query(f"chunk_fixed_{_n}", _recursive(packing_sql(_n)) + " SELECT d AS ord, piece, text FROM packed")(
+        partial(lambda spark, d, n: _chunks_of(spark, d, lambda t: chunking.chunk_fixed(t, n)), n=_n)
+    )
 
 
 @query("chunk_semantic")
@@ -608,23 +663,78 @@ def chunk_late(spark, d):
     return rows.select("ord", "piece", "c.text", "c.embed_text")
 
 
-@query("token_budget_batches")
-def token_budget_batches(spark, d):
-    """Batches of each paper's chunks by estimated tokens, in order, up to 2,000."""
-    rows = chunks(spark, d).where("paper_id IS NOT NULL").groupBy("paper_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", tx.estimate_tokens(F.col("text")).alias("n")))), lambda x: x["n"]).alias("sizes")
-    )
-    return rows.select("paper_id", F.explode(F.arrays_zip(F.col("sizes"), chunking.token_batches(F.col("sizes"), 2000).alias("batch"))).alias("z")).select(
-        "paper_id", "z.sizes", "z.batch"
+@query("chunk_late_windows", _recursive(packing_sql(512)) + " SELECT d AS ord, piece, text, true AS holds, true AS bounded FROM packed")
+def chunk_late_windows(spark, d):
+    """The chunks of :func:`chunk_late`, and whether each window holds its chunk and reaches no further than it may."""
+    rows = chunk_late(spark, d)
+    return rows.select(
+        "ord", "piece", "text", F.contains("embed_text", F.col("text")).alias("holds"), (F.length("embed_text") <= F.length("text") + 2 * chunking.WINDOW_CHARS).alias("bounded")
     )
 
 
-@query("corpus_quota_dedupe")
+@query(
+    "token_budget_batches",
+    _recursive(
+        BASE,
+        "s AS (SELECT paper_id, ord, greatest(1, length(text) // 4) AS n, row_number() OVER (PARTITION BY paper_id ORDER BY ord) AS r FROM chunks WHERE paper_id IS NOT NULL)",
+        """f AS (SELECT paper_id, r, n AS total, 0 AS batch FROM s WHERE r = 1 UNION ALL
+        SELECT s.paper_id, s.r, CASE WHEN f.total + s.n > 2000 THEN s.n ELSE f.total + s.n END, f.batch + (f.total + s.n > 2000)::INT FROM f JOIN s ON s.paper_id = f.paper_id AND s.r = f.r + 1)""",
+    )
+    + " SELECT paper_id, ord, n::INT AS n, batch FROM f JOIN s USING (paper_id, r)",
+)
+def token_budget_batches(spark, d):
+    """Batches of each paper's chunks by estimated tokens, in order, up to 2,000."""
+    rows = chunks(spark, d).where("paper_id IS NOT NULL").select("paper_id", "ord", tx.estimate_tokens(F.col("text")).alias("n"))
+    return chunking.budget_batches(rows, "paper_id", "ord", "n", 2000)
+
+
+_CATEGORIES = ("cs.AI", "cs.CL", "cs.IR", "cs.LG")
+_QUOTA = 40
+_STRIPPED = rf"length(regexp_replace(full_text, '^{_WS}+|{_WS}+$', '', 'g'))"
+
+
+def _chosen_sql() -> str:
+    """CTEs ending in ``chosen`` (category, paper_id, full_text, nth): one step a category, each after the last."""
+    parts = [
+        r"""papers AS (SELECT regexp_replace(lower(trim(category)), '[^a-z]+', '.', 'g') AS kind, paper_id, min(ord) AS place FROM corpus WHERE paper_id IS NOT NULL AND category IS NOT NULL GROUP BY 1, 2)""",
+        "texts AS (SELECT paper_id, arg_max(full_text, ord) AS full_text FROM corpus_fulltext WHERE paper_id IS NOT NULL AND full_text IS NOT NULL GROUP BY 1)",
+    ]
+    for i, c in enumerate(_CATEGORIES):
+        seen = " ".join(f"AND paper_id NOT IN (SELECT paper_id FROM t{k})" for k in range(i))
+        parts.append(
+            f"c{i} AS (SELECT * FROM (SELECT '{c}' AS category, paper_id, place, full_text, row_number() OVER (ORDER BY place, paper_id) AS r "
+            f"FROM papers JOIN texts USING (paper_id) WHERE kind = '{c.lower()}') WHERE r <= {2 * _QUOTA})"
+        )
+        parts.append(
+            f"t{i} AS (SELECT * FROM (SELECT category, paper_id, full_text, row_number() OVER (ORDER BY place, paper_id) AS nth FROM c{i} WHERE {_STRIPPED} >= 500 {seen}) WHERE nth <= {_QUOTA})"
+        )
+    return ", ".join(parts) + ", chosen AS (" + " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(len(_CATEGORIES))) + ")"
+
+
+def _chosen(spark, d):
+    """Papers of four categories, spellings joined, each with its last full text."""
+    kind = F.regexp_replace(F.lower(F.trim("category")), "[^a-z]+", ".")
+    kinds = table(spark, d, "corpus").where("paper_id IS NOT NULL AND category IS NOT NULL").groupBy(kind.alias("kind"), "paper_id").agg(F.min("ord").alias("place"))
+    names = F.create_map(*(F.lit(x) for c in _CATEGORIES for x in (c.lower(), c)))
+    texts = table(spark, d, "corpus_fulltext").where("paper_id IS NOT NULL AND full_text IS NOT NULL").groupBy("paper_id").agg(F.max_by("full_text", "ord").alias("full_text"))
+    papers = kinds.withColumn("category", names[F.col("kind")]).where("category IS NOT NULL").join(texts, "paper_id")
+    return corpus.select_papers(papers, list(_CATEGORIES), _QUOTA)
+
+
+@query("corpus_quota_dedupe", "WITH " + _chosen_sql() + " SELECT category, paper_id, nth, md5(full_text) AS digest FROM chosen")
 def corpus_quota_dedupe(spark, d):
-    kinds = table(spark, d, "corpus").where("paper_id IS NOT NULL AND category LIKE 'cs.__'").groupBy("paper_id", "category").agg(F.min("ord").alias("place"))
-    papers = kinds.join(table(spark, d, "corpus_fulltext").dropDuplicates(["paper_id"]).select("paper_id", "full_text"), "paper_id")
-    chosen = corpus.select_papers(papers, ["cs.AI", "cs.CL", "cs.IR", "cs.LG"])
-    return corpus.chunk_papers(chosen)
+    return _chosen(spark, d).select("category", "paper_id", F.col("nth").cast("bigint").alias("nth"), F.md5("full_text").alias("digest"))
+
+
+@query(
+    "corpus_first_chunks",
+    "WITH RECURSIVE " + _chosen_sql() + ", " + packing_sql(512, "SELECT paper_id AS d, full_text AS text FROM chosen").strip()
+    + """ SELECT d || '#' || piece AS chunk_id, d AS paper_id, category, CASE WHEN piece::DOUBLE / m < 0.15 THEN 'abstract' WHEN piece::DOUBLE / m < 0.45 THEN 'introduction'
+    WHEN piece::DOUBLE / m < 0.75 THEN 'methods' ELSE 'results' END AS section, piece AS chunk_index, text
+    FROM (SELECT d, piece, text, least(3, count(*) OVER (PARTITION BY d)) AS m FROM packed) JOIN chosen ON paper_id = d WHERE piece < 3""",
+)
+def corpus_first_chunks(spark, d):
+    return corpus.chunk_papers(_chosen(spark, d)).drop("n_tokens")
 
 
 # ------------------------------------------------------------------ patterns
@@ -681,6 +791,8 @@ _HOPS = (
     "g AS (SELECT qid, chunk_id, min(src * 1000 + rank) AS first FROM u GROUP BY 1, 2)",
     "m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first) AS rank FROM g)",
 )
+_AGENT = bm25_sql("SELECT qid, 'retriever baseline' AS q FROM questions", k=5)
+_STEP = "Thought: look\nAction: search_bm25('retriever baseline')\nObservation: Retrieved: []"
 _PATTERN_SQL = {
     "01_naive_dense": _answer_sql(BASE, dense_sql(), source="den"),
     "02_bm25": _answer_sql(BASE, bm25_sql(), source="lex"),
@@ -696,6 +808,13 @@ _PATTERN_SQL = {
     + "SELECT qid, ids, 'This is a mock response.' AS answer, "
     + f"(({_PROMPT_CHARS} + length(context) + length(question)) // 4 + ({_fixed('multi_hop', 'question', 'context')} + length(context1) + length(question)) // 4)::BIGINT AS input_tokens, "
     + f"{6 + len(CANNED['one more search']) // 4}::BIGINT AS output_tokens FROM ctx JOIN ctx1 USING (qid) JOIN questions USING (qid)",
+    "10_agentic": _with(BASE, _AGENT)
+    + _CONTEXT.format("lex")
+    + ", seen AS (SELECT qid, string_agg(chr(39) || chunk_id || chr(39), ', ' ORDER BY rank) AS found FROM lex GROUP BY 1)"
+    + " SELECT qid, ids, 'This is a mock response.' AS answer, "
+    + f"(({_PROMPT_CHARS} + length(context) + length(question)) // 4 + ({_fixed('agentic', 'question', 'transcript')} + length(question) + 10) // 4"
+    + f" + ({_fixed('agentic', 'question', 'transcript')} + length(question) + {len(_STEP)} + length(found)) // 4)::BIGINT AS input_tokens, "
+    + f"{6 + len(CANNED['Observation']) // 4 + len(CANNED['Search for context']) // 4}::BIGINT AS output_tokens FROM ctx JOIN seen USING (qid) JOIN questions USING (qid)",
     "00_no_rag": _with(BASE) + f" SELECT qid, '' AS ids, {_MOCK.format(tokens=f'(({_PROMPT_CHARS} + length(question)) // 4)::BIGINT')} FROM questions",
 }
 def _pattern(spark, d, name: str):
@@ -707,13 +826,29 @@ for _name in patterns.PATTERNS:
         query(f"pattern_{_name}", _PATTERN_SQL.get(_name))(partial(_pattern, name=_name))
 
 
-@query("pattern_00b_long_context")
+_WHOLE = (
+    "one AS (SELECT sum(length(chunk_id) + length(text) + 3 + 2) - 2 AS n FROM chunks)",
+    "top AS (SELECT string_agg(chunk_id, ',' ORDER BY ord) AS ids FROM (SELECT chunk_id, ord FROM chunks ORDER BY ord LIMIT 10))",
+)
+_HEAD, _TAIL = (len(x) for x in patterns.PROMPTS["generate"].replace("{question}", "").split("{context}"))
+
+
+@query(
+    "pattern_00b_long_context",
+    _with(BASE, *_WHOLE) + f" SELECT qid, ids, 'This is a mock response.' AS answer, (greatest(1, ({_TAIL} + length(question)) // 4) + (n + {_HEAD}) // 4)::BIGINT AS input_tokens, 6::BIGINT AS output_tokens FROM questions, one, top",
+)
 def long_context(spark, d):
     """The whole corpus as the context, of which the stand-in model needs the size only."""
     return _answers(patterns.long_context_by_size(collection(spark, d), questions(spark, d), K))
 
 
-@query("pattern_10_agentic_trace")
+@query(
+    "pattern_10_agentic_trace",
+    _with(BASE, _AGENT)
+    + ", s AS (SELECT qid, string_agg(chr(39) || chunk_id || chr(39), ', ' ORDER BY rank) AS found FROM lex GROUP BY 1)"
+    + " SELECT qid, 0 AS step, 'look' AS thought, 'search_bm25' AS action, 'retriever baseline' AS action_input, 'Retrieved: [' || found || ']' AS observation FROM s"
+    + " UNION ALL SELECT qid, 1, 'enough', 'finish', '', NULL FROM s",
+)
 def agentic_trace(spark, d):
     run = patterns.agentic(collection(spark, d, MockLLM(canned=CANNED)), questions(spark, d), K)
     return run.where(F.size("tool_call_trace") > 0).select("qid", F.posexplode("tool_call_trace").alias("step", "t")).select("qid", "step", "t.*")
@@ -733,27 +868,65 @@ def contextual_cost_log(spark, d):
     return log.select("chunk_id", "paper", "r.input_tokens", "r.output_tokens", "r.cached_input_tokens", "r.cache_creation_input_tokens")
 
 
-@query("run_pattern")
+_LOGGED = """, a AS (SELECT *, coalesce(input_tokens, 0)::DOUBLE AS i, coalesce(output_tokens, 0)::DOUBLE AS o, coalesce(cached_input_tokens, 0)::DOUBLE AS c, coalesce(cache_creation_input_tokens, 0)::DOUBLE AS w
+  FROM answers JOIN questions USING (qid)),
+e AS (SELECT *, retrieved_chunk_ids IS NOT NULL AS ok, c + w > i OR w > 0 AS bad, ((i - c - w) * 0.4 + o * 1.6 + c * 0.1) / 1e6 AS cost FROM a),
+s AS (SELECT pattern_id, count(*) AS n_questions, count(*) FILTER (NOT ok) AS n_errors, count(*) FILTER (ok AND bad) AS n_accounting_errors, 0::BIGINT AS n_judge_errors,
+  coalesce(sum(cost) FILTER (ok AND NOT bad), 0) AS usd, avg(list_has_any(retrieved_chunk_ids[:3], relevant_chunk_ids)::INT) FILTER (ok) AS hit3, avg(list_has_any(retrieved_chunk_ids[:10], relevant_chunk_ids)::INT) FILTER (ok) AS hit10,
+  quantile_cont(latency_ms, 0.5) FILTER (ok) AS p50, quantile_cont(latency_ms, 0.95) FILTER (ok) AS p95 FROM e GROUP BY 1)
+SELECT pattern_id, n_questions, n_errors, n_accounting_errors, n_judge_errors, round(usd / n_questions, 9) AS usd_per_query, round(usd, 7) AS eval_usd, round(hit3, 9) AS hit3, round(hit10, 9) AS hit10, round(p50, 6) AS p50, round(p95, 6) AS p95, pattern_name, llm_calls
+FROM s LEFT JOIN patterns USING (pattern_id)"""
+
+
+@query("run_pattern", _with(BASE) + _LOGGED)
 def run_pattern(spark, d):
-    """The logged answers of every pattern: metrics, costs and errors, one row a pattern."""
+    """Every logged run of every pattern: metrics, costs and errors, one row a pattern."""
     a = table(spark, d, "answers")
     counts = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_creation_input_tokens")
-    a = a.select("pattern_id", "answer_id", "qid", "answer", "retrieved_chunk_ids", "latency_ms", *counts, "extracted_filter")
-    w = Window.partitionBy("pattern_id", "qid").orderBy("answer_id")
-    a = a.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "answer_id")
-    scores = evaluate.score_answers(a, questions(spark, d), GENERATION)
+    a = a.select("pattern_id", F.col("answer_id").cast("string").alias("run"), "qid", "answer", "retrieved_chunk_ids", "latency_ms", *counts, "extracted_filter")
+    # a run is its own question: questions are asked more than once
+    asked = a.select("run", "qid").join(questions(spark, d).select("qid", "relevant_chunk_ids", "requires_filter"), "qid")
+    asked = asked.drop("qid").withColumnRenamed("run", "qid")
+    a = a.drop("qid").withColumnRenamed("run", "qid").join(asked.select("qid"), "qid", "left_semi")
+    scores = evaluate.score_answers(a, asked, GENERATION)
     names = table(spark, d, "patterns").select("pattern_id", "pattern_name", F.col("llm_calls"))
-    return evaluate.summarise(scores, "pattern_id").join(F.broadcast(names), "pattern_id", "left")
+    out = evaluate.summarise(scores, "pattern_id").join(F.broadcast(names), "pattern_id", "left")
+    shown = {"usd_per_query": 9, "eval_usd": 7, "hit3": 9, "hit10": 9, "p50": 6, "p95": 6}
+    return out.select("pattern_id", "n_questions", "n_errors", "n_accounting_errors", "n_judge_errors", *(F.round(c, n).alias(c) for c, n in shown.items()), "pattern_name", "llm_calls")
+
 
+_JUDGED = MockLLM(default='{"score": 1, "reasoning": "mock"}')
 
-@query("judged_run")
+
+@query(
+    "judged_run",
+    _with(BASE, bm25_sql())
+    + """, r AS (SELECT avg(list_has_any(l.ids, relevant_chunk_ids)::INT) AS hit10, count(*) AS n FROM questions JOIN (SELECT qid, list(chunk_id) AS ids FROM lex GROUP BY 1) l USING (qid))
+    SELECT n AS n_questions, 0::BIGINT AS n_errors, 0::BIGINT AS n_accounting_errors, 0::BIGINT AS n_judge_errors, round(hit10, 9) AS hit10,
+      1.0::DOUBLE AS faithfulness, 1.0::DOUBLE AS relevance, 1.0::DOUBLE AS citation FROM r""",
+)
 def judged_run(spark, d):
-    """BM25 answers graded by the three stand-in judges, summarised in one row."""
+    """The BM25 pattern run by the harness and graded by the three stand-in judges, summarised in one row."""
+    _, summary = evaluate.run_pattern(patterns.bm25, collection(spark, d), questions(spark, d), GENERATION, "02_bm25", K, _JUDGED)
+    shown = ("hit10", "faithfulness", "relevance", "citation")
+    return summary.select("n_questions", "n_errors", "n_accounting_errors", "n_judge_errors", *(F.round(c, 9).alias(c) for c in shown))
+
+
+_TYPED = " UNION ALL ".join(
+    f"SELECT {i} AS asked, * FROM ({_with(BASE, dense_sql(where=where))} SELECT qid, chunk_id, rank::BIGINT AS rank FROM den)" for i, where in enumerate(("WHERE c.category = 'cs.IR'", "WHERE false"))
+)
+
+
+@query("self_query_typed", _TYPED)
+def self_query_typed(spark, d):
+    """The same questions with a filter of text that fits and with a year given as text, which fits no chunk."""
     col, q = collection(spark, d), questions(spark, d)
-    a = cut(patterns.bm25(col, q, K))
-    scores = evaluate.score_answers(a, q, GENERATION)
-    context = ranking.contexts(a.select("qid", F.posexplode("retrieved_chunk_ids").alias("rank", "chunk_id")), col.chunks, q)
-    return evaluate.summarise(evaluate.judge_answers(scores.join(context, "qid").join(a.select("qid", "answer"), "qid")))
+    out = None
+    for i, reply in enumerate(('{"category": "cs.IR"}', '{"year": "2023"}')):
+        wanted = q.select("qid", "question", tx.parse_typed_filter(F.lit(reply)).alias("wanted"))
+        found = col.vectors.search_where(col.embedder.embed(wanted, "question", "vec"), K).select(F.lit(i).alias("asked"), "qid", "chunk_id", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _study(col: patterns.Collection, q: DataFrame, papers: DataFrame) -> DataFrame:
