@@ -130,9 +130,13 @@ def summarise(scores: DataFrame, *by: str) -> DataFrame:
         F.count("filter_accuracy").alias("__filters"),
     )
     out = out.join(metrics.latency_percentiles(scores, "latency_ms", *keys), keys)
-    for m in ["hit3", "hit10", "mrr", "filter_accuracy", *judged]:
-        ci = metrics.bootstrap_ci(scores, m, "qid", *keys)
-        out = out.join(ci.withColumnsRenamed({"mean": m, "lower": f"{m}_lower", "upper": f"{m}_upper"}), keys)
+    # all metrics in long form: one bootstrap, not one each
+    wanted = ["hit3", "hit10", "mrr", "filter_accuracy", *judged]
+    long = scores.select(*keys, "qid", F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("s")) for m in wanted))).alias("x"))
+    ci = metrics.bootstrap_ci(long.select(*keys, "qid", F.col("x.m").alias("__m"), F.col("x.s").alias("__v")), "__v", "qid", *keys, "__m")
+    names = {m: (m, f"{m}_lower", f"{m}_upper") for m in wanted}
+    wide = ci.groupBy(*keys).agg(*(F.max(F.when(F.col("__m") == m, F.col(c))).alias(n) for m in wanted for c, n in zip(("mean", "lower", "upper"), names[m])))
+    out = out.join(wide, keys)
     some = F.col("__filters") > 0
     out = out.withColumns({c: F.when(some, F.col(c)) for c in ("filter_accuracy", "filter_accuracy_lower", "filter_accuracy_upper")})
     return out.drop("__all", "__filters")

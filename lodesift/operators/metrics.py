@@ -123,12 +123,12 @@ def bootstrap_ci(scores: DataFrame, score: str, order: str, *by: str, resamples:
     so only ``resamples`` sums a block are gathered. A group without scores gives zeros.
     """
     groups = list(by) or ["__one"]
-    rows = scores.select(*by, F.lit(0).alias("__one"), F.col(order).alias("__o"), F.col(score).cast("double").alias("__s"))
+    rows = scores.select(*by, F.lit(0).alias("__one"), F.col(order).alias("__order"), F.col(score).cast("double").alias("__score"))
     every = rows.select(*groups).distinct() if by else scores.sparkSession.range(1).select(F.lit(0).alias("__one"))
-    placed = positions(rows.where(F.col("__s").isNotNull()).select(*groups, "__o", "__s"), "__o", *groups)
+    placed = positions(rows.where(F.col("__score").isNotNull()).select(*groups, "__order", "__score"), "__order", *groups)
     block = F.floor(F.col("__pos") / BOOTSTRAP_BLOCK).alias("__block")
     packed = placed.groupBy(*groups, "__n", block).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__s"))), lambda x: x["__s"]).alias("__v")  # BOOTSTRAP_BLOCK at most
+        F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__score"))), lambda x: x["__score"]).alias("__values")  # BOOTSTRAP_BLOCK at most
     )
     most = BOOTSTRAP_BLOCK
 
@@ -154,10 +154,10 @@ def bootstrap_ci(scores: DataFrame, score: str, order: str, *by: str, resamples:
             out.append(total)
         return pd.Series(out)
 
-    drawn = packed.select(*groups, "__n", F.aggregate("__v", F.lit(0.0), lambda s, x: s + x).alias("__sum"), F.posexplode(sums("__v", "__n", "__block")).alias("__r", "__t"))
-    means = drawn.groupBy(*groups, "__n", "__r").agg((F.sum("__t") / F.col("__n")).alias("__m"), (F.sum("__sum") / F.col("__n")).alias("__mean"))
+    drawn = packed.select(*groups, "__n", F.aggregate("__values", F.lit(0.0), lambda s, x: s + x).alias("__sum"), F.posexplode(sums("__values", "__n", "__block")).alias("__r", "__t"))
+    means = drawn.groupBy(*groups, "__n", "__r").agg((F.sum("__t") / F.col("__n")).alias("__resampled"), (F.sum("__sum") / F.col("__n")).alias("__average"))
     tail = (1 - level) / 2
-    bounds = means.groupBy(*groups).agg(F.max("__mean").alias("mean"), F.percentile("__m", F.array(F.lit(tail), F.lit(1 - tail))).alias("__p"))
+    bounds = means.groupBy(*groups).agg(F.max("__average").alias("mean"), F.percentile("__resampled", F.array(F.lit(tail), F.lit(1 - tail))).alias("__p"))
     bounds = bounds.select(*(F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)), "mean", "__p")
     same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
     zero = F.lit(0.0)
