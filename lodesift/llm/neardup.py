@@ -160,7 +160,7 @@ def sign(df: DataFrame, id_col: str, text_col: str, group_col: str | None, words
     group = F.col(f"`{group_col}`").cast("string") if group_col else F.lit(None).cast("string")
     src = df.select(F.col(f"`{id_col}`").alias("key"), group.alias("grp"), F.col(f"`{text_col}`").alias("text"))
     kind = src.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, grp string, cls bigint, n int, ring bigint, boxes array<bigint>, " + ", ".join(
+    schema = f"key {kind}, grp string, cls bigint, n int, ring bigint, boxes array<int>, " + ", ".join(
         f"{c} bigint" for c in _SKETCH
     )
 
@@ -183,7 +183,7 @@ def sign(df: DataFrame, id_col: str, text_col: str, group_col: str | None, words
                     seen.clear()
                 old = pa.array(~new)
                 rows = pa.array(which + lo)
-                flat = pa.array(sig["boxes"].view(np.int64).ravel())
+                flat = pa.array((sig["boxes"] >> _U(32)).astype(np.uint32).view(np.int32).ravel())
                 boxes = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BOXES, dtype=np.int32)), flat)
                 gone = lambda a: pc.if_else(old, pa.scalar(None, a.type), a)
                 columns = [
@@ -225,8 +225,8 @@ def class_links(classes: DataFrame, share: Fraction) -> DataFrame:
 
     ``classes`` is a cut :func:`class_table`.
     """
-    posts = classes.select("cls", "ring", F.posexplode("boxes").alias("box", "start")).select(
-        "start",
+    posts = classes.select("cls", "ring", F.posexplode("boxes").alias("box", "hash")).select(
+        F.expr("shiftleft(cast(box as bigint), 32) | (cast(hash as bigint) & 4294967295)").alias("start"),
         "cls",
         # turn the ring so that it begins at the box of this start
         F.expr("shiftrightunsigned(ring, box * 2) | shiftleft(ring, 64 - box * 2)").alias("ring"),
