@@ -82,7 +82,8 @@ class Bm25Index:
             vocabulary = sorted({w for _, ws in asked for w in ws})
             known = spark.createDataFrame([(w,) for w in vocabulary], "term string")
             idf = {r["term"]: r["idf"] for r in self.idf.join(F.broadcast(known), "term").collect()} if vocabulary else {}
-            found = docs.mapInArrow(self._scorer(asked, idf, k), schema)
+            # written once: hits, fill and their counts read it, and documents are scored a single time
+            found = cut(docs.mapInArrow(self._scorer(asked, idf, k), schema))
             # rows without a qid are the first documents of a task, which fill up short lists
             hits = best(found.where(F.col("qid").isNotNull()), k, "score", True)
             parts.append((found, hits, [q for q, _ in asked]))
