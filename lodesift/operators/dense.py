@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.providers import Embedder, MockEmbedder
-from lodesift.operators.lexical import Best, best, query_blocks
+from lodesift.operators.lexical import PACKED, Best, merged, named, query_blocks
+from lodesift.runtime import cut
 
 
 class VectorIndex:
@@ -41,10 +42,10 @@ class VectorIndex:
         for block in query_blocks(queries.select("qid", F.col("vec").cast("array<double>").alias("vec")), "vec"):
             if any(len(v) != self.dim for _, v in block) and self.dim is not None:
                 raise ValueError(f"query vectors must have {self.dim} components")
-            parts.append(source.mapInArrow(_nearest(block, k), "qid string, chunk_id string, ord bigint, distance double"))
+            parts.append(_found(source, source, block, k, _nearest(block, k)))
         if not parts:
             return source.sparkSession.createDataFrame([], "qid string, chunk_id string, ord bigint, distance double, rank bigint")
-        return best(reduce(DataFrame.unionByName, parts), k, "distance", False)
+        return reduce(DataFrame.unionByName, parts)
 
     def search_where(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Like :meth:`search`, each query (qid, vec, wanted) among the rows that match its own filter ``wanted``.
@@ -67,10 +68,16 @@ class VectorIndex:
             rows = self.described.select("chunk_id", "ord", "vec", *shown)
             vectors = [(q, a["vec"]) for q, a in block]
             scorer = _nearest(vectors, k, _matching(tests), np.array([place[f] for f in filters]))
-            parts.append(rows.mapInArrow(scorer, "qid string, chunk_id string, ord bigint, distance double"))
+            parts.append(_found(rows, self.described, vectors, k, scorer))
         if not parts:
             return self.rows.sparkSession.createDataFrame([], "qid string, chunk_id string, ord bigint, distance double, rank bigint")
-        return best(reduce(DataFrame.unionByName, parts), k, "distance", False)
+        return reduce(DataFrame.unionByName, parts)
+
+
+def _found(rows: DataFrame, ids: DataFrame, block: list[tuple], k: int, scorer: Callable) -> DataFrame:
+    """(qid, chunk_id, ord, distance, rank) of a block of queries, written once, since callers read it more than once."""
+    found = merged(rows.mapInArrow(scorer, PACKED), len(block), k, False, "distance")
+    return cut(named(found, [(q, i) for i, (q, _) in enumerate(block)], ids, "distance"))
 
 
 def _matching(tests: list[list[tuple[int, object]]]) -> Callable[[pa.RecordBatch], np.ndarray]:
@@ -101,13 +108,11 @@ def _matching(tests: list[list[tuple[int, object]]]) -> Callable[[pa.RecordBatch
 
 def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.ndarray] | None = None, kinds: np.ndarray | None = None):
     """Scores of a block of queries. With ``where`` and ``kinds`` a query of kind g sees the rows whose mark in column g is set."""
-    qids = [q for q, _ in block]
     asked = np.array([v for _, v in block], float)
     groups = [np.arange(len(block))] if kinds is None else [np.flatnonzero(kinds == g) for g in range(int(kinds.max()) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = []
-        heaps = Best(len(block), k, False)
+        lists = Best(len(block), k, False)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -118,28 +123,26 @@ def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.nd
                 rows = np.arange(len(every)) if fits is None else np.flatnonzero(fits[g])
                 x = every[rows]
                 square = (x * x).sum(axis=1)
+                wide = np.column_stack([x, square]).T
                 for lo in range(0, len(members) if len(x) else 0, 256):
                     mine = members[lo : lo + 256]
                     q = asked[mine]
-                    rough = square + (q * q).sum(axis=1)[:, None] - 2 * (q @ x.T)
-                    for i, one in enumerate(mine.tolist()):
-                        if len(x) > k:
-                            # the product form is rough; whoever may be among the k is measured exactly
-                            kth = np.partition(rough[i], k - 1)[k - 1]
-                            at = np.flatnonzero(rough[i] <= kth + 1e-8 * (1 + square.max() + abs(kth)))
-                        else:
-                            at = np.arange(len(x))
-                        d = np.sqrt(((x[at] - asked[one]) ** 2).sum(axis=1))
-                        heaps.offer(one, d, ords[rows[at]], rows[at] + len(names))
-            names += batch.column(0).to_pylist()
-            kept = heaps.places()
-            names = [names[i] for i in kept.tolist()]
-            heaps.renumber(kept)
-        q, distance, ords, at = heaps.rows()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([qids[i] for i in q.tolist()], pa.string()), pa.array([names[i] for i in at.tolist()], pa.string()), pa.array(ords), pa.array(distance)],
-            names=["qid", "chunk_id", "ord", "distance"],
-        )
+                    own = (q * q).sum(axis=1)
+                    # squared distances less the query's own square
+                    rough = np.column_stack([-2 * q, np.ones(len(q))]) @ wide
+                    limit = (lists.worst(mine) + 1e-9) ** 2 - own
+                    open_ = np.flatnonzero(np.isinf(limit))
+                    if len(open_) and len(x) > k:
+                        limit[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1]
+                    # the product form is rough; whoever may be among the k is measured exactly
+                    limit += 1e-8 * (1 + square.max() + own + np.abs(limit))
+                    i, at = np.nonzero(rough <= limit[:, None])
+                    d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
+                    ends = np.searchsorted(i, np.arange(len(mine) + 1))
+                    for j in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+                        a, b = ends[j], ends[j + 1]
+                        lists.offer(mine[j], d[a:b], ords[rows[at[a:b]]])
+        yield from lists.packed()
 
     return run
 

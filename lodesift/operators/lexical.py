@@ -1,29 +1,36 @@
 """BM25 ranking of every query against every document.
 
-Documents and their texts never move. Each task reads its documents once, scores the terms it shares with
-the queries through an inverted list, and keeps one list of the best ``k`` a query over all its batches, so
-what is shuffled is at most k rows per query and task, however many documents a task reads. Queries that
-share no term with any document of a task cost nothing there: its first ``k`` documents (all scored 0) are
-sent once for all queries, and only queries with fewer than ``k`` hits are filled up with them.
+Documents and their texts never move. Each task reads its documents in blocks and keeps one list of the best
+``k`` a query over all of them, so what is shuffled is at most k (ord, score) pairs per query and task, packed
+into binary rows. Queries with the same terms are scored once. A query's terms are of two kinds: those of
+frequent terms are added up as dense columns, once for all queries that share the same frequent terms; those
+of rare terms touch only the documents on their inverted lists. A document on no rare list can only be
+among the best if it is among the best of the dense columns, so no other is looked at. Queries with
+fewer than ``k`` hits are filled up with the first documents (all scored 0).
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.functions.text import tokens
 from lodesift.runtime import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-QUERY_BLOCK = 10_000
+QUERY_BLOCK = 65_536
+#: Documents (and words) that a task holds at a time, terms it counts at a time, and queries of one packed row.
+BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 32_768, 4_000_000, 500_000, 256
+#: Most terms that are dense columns (8 bytes a document of the block each).
+MOST_DENSE = 256
+PACKED = "g int, q binary, ord binary, key binary"
 _WORDS = re.compile("[a-z0-9]+")
 
 
@@ -37,11 +44,103 @@ def query_blocks(queries: DataFrame, column: str, size: int = QUERY_BLOCK) -> It
             yield rows
 
 
-def best(ranked: DataFrame, k: int, key: str, descending: bool) -> DataFrame:
-    """The first ``k`` per qid by ``key`` rounded to nine decimals, ties by ord, with rank from 1."""
-    order = F.round(key, 9)
-    w = Window.partitionBy("qid").orderBy(order.desc() if descending else order.asc(), F.col("ord").asc())
-    return ranked.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+class Best:
+    """The best ``k`` rows of each of ``n`` queries by a key rounded to nine decimals, ties by ord."""
+
+    def __init__(self, n: int, k: int, descending: bool) -> None:
+        self.k, self.sign = k, -1e9 if descending else 1e9
+        self.order = np.full((n, k), np.inf)
+        self.key = np.zeros((n, k))
+        self.ords = np.zeros((n, k), np.int64)
+        self.size = np.zeros(n, np.int64)
+
+    def worst(self, q: int | np.ndarray) -> float | np.ndarray:
+        """The key that another row has to reach (within 1e-9), endless where a list has room."""
+        return self.order[q, self.k - 1] / self.sign
+
+    def offer(self, q: int, key: np.ndarray, ords: np.ndarray) -> None:
+        order = np.rint(self.sign * key)
+        fits = order <= self.order[q, self.k - 1]
+        if not fits.all():
+            order, key, ords = order[fits], key[fits], ords[fits]
+        if not len(order):
+            return
+        m = self.size[q]
+        if len(order) > 4 * self.k:
+            some = order <= np.partition(order, self.k - 1)[self.k - 1]
+            order, key, ords = order[some], key[some], ords[some]
+        if m:
+            order, key, ords = np.concatenate([self.order[q, :m], order]), np.concatenate([self.key[q, :m], key]), np.concatenate([self.ords[q, :m], ords])
+        at = np.lexsort((ords, order))[: self.k]
+        m = self.size[q] = len(at)
+        self.order[q, :m], self.key[q, :m], self.ords[q, :m] = order[at], key[at], ords[at]
+
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        """Everything held, one row (:data:`PACKED`) for each group of queries."""
+        full = np.arange(self.k) < self.size[:, None]
+        for lo in range(0, len(full), GROUP):
+            some = full[lo : lo + GROUP]
+            q = (np.nonzero(some)[0] + lo).astype(np.int32)
+            values = (q, self.ords[lo : lo + GROUP][some], self.key[lo : lo + GROUP][some])
+            yield pa.RecordBatch.from_arrays([pa.array([lo // GROUP], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=["g", "q", "ord", "key"])
+
+
+def merged(packed: DataFrame, n: int, k: int, descending: bool, value: str, fill: list[int] = ()) -> DataFrame:
+    """(q, ord, ``value``, rank) of the best ``k`` of each of ``n`` queries over all packed lists.
+
+    Queries with fewer than ``k`` rows get the documents ``fill`` that they lack, in order, with value 0.
+    """
+    sign = -1e9 if descending else 1e9
+    first = np.array(fill, np.int64)
+
+    def run(table: pa.Table) -> pa.Table:
+        q, ords, key = (np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("q", np.int32), ("ord", np.int64), ("key", np.float64)))
+        at = np.lexsort((ords, np.rint(sign * key), q))
+        q, ords, key = q[at], ords[at], key[at]
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        top = rank <= k
+        q, ords, key, rank = q[top], ords[top], key[top], rank[top]
+        lo = table.column("g")[0].as_py() * GROUP
+        ids = np.arange(lo, min(n, lo + GROUP))
+        begin, end = np.searchsorted(q, ids), np.searchsorted(q, ids, "right")
+        more = [(q, ords, key, rank)]
+        for i in np.flatnonzero(end - begin < k) if len(first) else ():
+            have = ords[begin[i] : end[i]]
+            new = first[~np.isin(first, have)][: k - len(have)]
+            more.append((np.full(len(new), ids[i], np.int32), new, np.zeros(len(new)), len(have) + 1 + np.arange(len(new))))
+        columns = (np.concatenate(c) for c in zip(*more))
+        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("q", "ord", value, "rank"), columns, (pa.int32(), pa.int64(), pa.float64(), pa.int64()))})
+
+    return packed.groupBy("g").applyInArrow(run, f"q int, ord bigint, {value} double, rank bigint")
+
+
+def named(found: DataFrame, places: list[tuple[str, int]], docs: DataFrame, value: str) -> DataFrame:
+    """(qid, chunk_id, ord, ``value``, rank): rows of :func:`merged` with the ids of queries and documents."""
+    spark = docs.sparkSession
+    asked = spark.createDataFrame(pa.table({"qid": pa.array([p[0] for p in places], pa.string()), "q": pa.array([p[1] for p in places], pa.int32())}))
+    return found.join(docs.select("ord", "chunk_id"), "ord").join(asked, "q").select("qid", "chunk_id", "ord", value, "rank")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n, words): in how many texts each term is; the row without a term has the number of texts and of words."""
+
+    def rows() -> pa.RecordBatch:
+        terms, counts = [None, *df], [n, *df.values()]
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array([total] + [0] * len(df), pa.int64())], names=["term", "n", "words"])
+
+    df: Counter[str] = Counter()
+    n = total = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = _WORDS.findall(text.lower())
+            n += 1
+            total += len(words)
+            df.update(set(words))
+        if len(df) > MOST_TERMS:
+            yield rows()
+            df.clear()
+            n = total = 0
+    yield rows()
 
 
 class Bm25Index:
@@ -53,12 +152,13 @@ class Bm25Index:
     def build(self, docs: DataFrame) -> Bm25Index:
         """``docs`` has chunk_id, ord (unique) and text; null texts count as empty."""
         self.docs = docs.select("chunk_id", "ord", F.coalesce("text", F.lit("")).alias("text"))
-        words = self.docs.select(tokens(F.col("text")).alias("w"))
-        head = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
-        self.n, self.avgdl = head["n"], float(head["avgdl"] or 0.0)
-        counts = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        counts = self.docs.select("text").mapInArrow(_counted, "term string, n bigint, words bigint")
+        counts = cut(counts.groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("words")))
+        head = counts.where("term IS NULL").first()
+        self.n = head["df"] if head else 0
+        self.avgdl = head["words"] / self.n if self.n else 0.0
         raw = F.log(F.lit(float(self.n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        self.terms = cut(counts.withColumn("raw", raw))
+        self.terms = counts.where("term IS NOT NULL").select("term", "df", raw.alias("raw"))
         mean = self.terms.agg(F.avg("raw")).first()[0] or 0.0
         # terms that most documents have may score below those that share none; then every score is ranked
         self.below_zero = mean < 0
@@ -75,126 +175,127 @@ class Bm25Index:
             raise RuntimeError("search() before build()")
         spark = self.docs.sparkSession
         docs = self.docs if docs is None else docs
-        schema = "qid string, chunk_id string, ord bigint, score double"
-        parts = []
+        parts, first = [], None
         for rows in query_blocks(queries, "question"):
-            asked = [(q, _WORDS.findall((t or "").lower())) for q, t in rows]
+            asked = [(q, sorted(_WORDS.findall((t or "").lower()))) for q, t in rows]
             vocabulary = sorted({w for _, ws in asked for w in ws})
             known = spark.createDataFrame([(w,) for w in vocabulary], "term string")
-            idf = {r["term"]: r["idf"] for r in self.idf.join(F.broadcast(known), "term").collect()} if vocabulary else {}
-            # written once: hits, fill and their counts read it, and documents are scored a single time
-            found = cut(docs.mapInArrow(self._scorer(asked, idf, k), schema))
-            # rows without a qid are the first documents of a task, which fill up short lists
-            hits = best(found.where(F.col("qid").isNotNull()), k, "score", True)
-            parts.append((found, hits, [q for q, _ in asked]))
+            terms = {r["term"]: (r["idf"], r["df"]) for r in self.idf.join(F.broadcast(known), "term").collect()} if vocabulary else {}
+            if first is None:
+                # a query with fewer than k hits lacks at least k of these
+                first = [r[0] for r in docs.select("ord").orderBy("ord").limit(2 * k).collect()]
+            kinds: dict[tuple[str, ...], int] = {}
+            places = [(q, kinds.setdefault(tuple(w for w in ws if w in terms), len(kinds))) for q, ws in asked]
+            found = merged(docs.mapInArrow(self._scorer(list(kinds), terms, k), PACKED), len(kinds), k, True, "score", first)
+            # written once, since callers read it more than once
+            parts.append(cut(named(found, places, docs, "score")))
         if not parts:
-            return spark.createDataFrame([], f"{schema}, rank bigint")
-        return reduce(DataFrame.unionByName, [self._filled(*p, k) for p in parts])
-
-    @staticmethod
-    def _filled(found: DataFrame, hits: DataFrame, qids: list[str], k: int) -> DataFrame:
-        """The hits, and for queries with fewer than ``k`` the first other documents by ord, with score 0."""
-        spark = found.sparkSession
-        first = found.where(F.col("qid").isNull()).select("chunk_id", "ord").orderBy("ord").limit(2 * k)
-        counted = hits.groupBy("qid").agg(F.count("*").alias("c"), F.collect_set("ord").alias("seen"))
-        asked = spark.createDataFrame([(q,) for q in qids], "qid string").distinct()
-        short = asked.join(counted, "qid", "left").where(F.coalesce("c", F.lit(0)) < k)
-        # 2 k documents for each short query: those it has already are among its fewer than k hits
-        fill = short.crossJoin(F.broadcast(first)).where(~F.coalesce(F.array_contains("seen", F.col("ord")), F.lit(False)))
-        nth = Window.partitionBy("qid").orderBy("ord")
-        fill = fill.withColumn("rank", (F.coalesce("c", F.lit(0)) + F.row_number().over(nth)).cast("bigint")).where(F.col("rank") <= k)
-        return hits.unionByName(fill.select("qid", "chunk_id", "ord", F.lit(0.0).alias("score"), "rank"))
-
-    def _scorer(self, asked: list[tuple[str, list[str]]], idf: dict[str, float], k: int):
-        avgdl, below_zero = self.avgdl or 1.0, self.below_zero
-        # for every term the queries that name it, once for each time they do
-        wanted: dict[str, list[int]] = defaultdict(list)
-        for i, (_, words) in enumerate(asked):
-            for w in words:
-                if w in idf:
-                    wanted[w].append(i)
+            return spark.createDataFrame([], "qid string, chunk_id string, ord bigint, score double, rank bigint")
+        return reduce(DataFrame.unionByName, parts)
+
+    def _scorer(self, asked: list[tuple[str, ...]], terms: dict[str, tuple[float, int]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        avgdl, below_zero, n = self.avgdl or 1.0, self.below_zero, self.n
+        number = {w: i for i, w in enumerate(terms)}
+        idf = np.array([v[0] for v in terms.values()])
+        df = np.array([v[1] for v in terms.values()])
+        wanted = [[(number[w], float(m)) for w, m in Counter(ws).items()] for ws in asked]
+        dense = df >= (0 if below_zero else _dense_from(wanted, df, n))
+        # queries by the frequent terms that they share
+        alike: dict[tuple, list[tuple[int, list[tuple[int, float]]]]] = defaultdict(list)
+        for q, ws in enumerate(wanted):
+            alike[tuple(w for w in ws if dense[w[0]])].append((q, [w for w in ws if not dense[w[0]]]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names: list[str] = []
-            heaps = Best(len(asked), k, True)
-            first: list[tuple[int, str]] = []
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                ords = batch.column(1).to_numpy(zero_copy_only=False)
-                hits: dict[str, dict[int, int]] = defaultdict(dict)
-                lengths = np.zeros(len(ids))
-                for i, text in enumerate(batch.column(2).to_pylist()):
-                    words = _WORDS.findall(text.lower())
-                    lengths[i] = len(words)
-                    for w in words:
-                        if w in wanted:
-                            hits[w][i] = hits[w].get(i, 0) + 1
-                first = sorted(first + [(int(o), c) for o, c in zip(ords.tolist(), ids)])[: 2 * k]
-                norm = K1 * (1 - B + B * lengths / avgdl)
-                posting = {}
-                for w, docs in hits.items():
-                    at = np.fromiter(docs.keys(), np.int64, len(docs))
-                    tf = np.fromiter(docs.values(), float, len(docs))
-                    posting[w] = at, idf[w] * (tf * (K1 + 1) / (tf + norm[at]))
-                score = np.zeros(len(ids))
-                for q in range(len(asked)) if below_zero else sorted({q for w in posting for q in wanted[w]}):
-                    lists = [posting[w] for w in asked[q][1] if w in posting]
-                    # terms add up in query order; only documents on some list are touched
-                    for at, value in lists:
-                        score[at] += value
-                    at = np.arange(len(ids)) if below_zero else np.unique(np.concatenate([a for a, _ in lists]))
-                    mine = score[at]
-                    score[at] = 0
-                    fine = below_zero | (np.round(mine, 9) != 0)
-                    heaps.offer(q, mine[fine], ords[at[fine]], at[fine] + len(names))
-                names += ids
-                kept = heaps.places()
-                names = [names[i] for i in kept.tolist()]
-                heaps.renumber(kept)
-            q, key, ords, at = heaps.rows()
-            out = [asked[i][0] for i in q.tolist()] + [None] * len(first)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(out, pa.string()),
-                    pa.array([names[i] for i in at.tolist()] + [c for _, c in first], pa.string()),
-                    pa.array(np.r_[ords, np.array([o for o, _ in first], np.int64)]),
-                    pa.array(np.r_[key, np.zeros(len(first))]),
-                ],
-                names=["qid", "chunk_id", "ord", "score"],
-            )
+            lists = Best(len(asked), k, True)
+            for ords, lengths, term, doc, tf in _postings(batches, number):
+                value = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl)))
+                ends = np.searchsorted(term, np.arange(len(number) + 1))
+                columns: dict[int, np.ndarray] = {}
+                sums = np.zeros(len(ords))
+                for shared, members in alike.items():
+                    base = np.zeros(len(ords))
+                    for t, m in shared:
+                        if t not in columns:
+                            columns[t] = np.zeros(len(ords))
+                            columns[t][doc[ends[t] : ends[t + 1]]] = value[ends[t] : ends[t + 1]]
+                        base += columns[t] if m == 1 else m * columns[t]
+                    top = _top(base, ords, k, below_zero) if shared or below_zero else np.zeros(0, np.int64)
+                    kth = base[top[-1]] - 1e-8 if len(top) == k else 5e-10
+                    for q, rare in members:
+                        spans = [(doc[ends[t] : ends[t + 1]], value[ends[t] : ends[t + 1]] * m) for t, m in rare if ends[t] < ends[t + 1]]
+                        at, mine = top, base[top]
+                        if spans:
+                            for d, v in spans:
+                                sums[d] += v
+                            mine = mine + sums[top]
+                            listed = spans[0][0] if len(spans) == 1 else np.concatenate([d for d, _ in spans])
+                            whole = base[listed] + sums[listed]
+                            sums[listed] = 0
+                            # lower ones come after the k best of the dense columns, or after those that the list holds
+                            some = np.flatnonzero(whole >= max(kth, lists.worst(q) - 1e-8))
+                            at, mine = np.concatenate([at, listed[some]]), np.concatenate([mine, whole[some]])
+                            # a document is there once for every term
+                            at, once = np.unique(at, return_index=True)
+                            mine = mine[once]
+                        lists.offer(q, mine, ords[at])
+            yield from lists.packed()
 
         return run
 
 
-class Best:
-    """The best ``k`` rows of each of ``n`` queries by a key rounded to nine decimals, ties by ord."""
+def _top(base: np.ndarray, ords: np.ndarray, k: int, every: bool) -> np.ndarray:
+    """The places of the best ``k`` documents by ``base``, ties by ord; without ``every`` those of score 0 don't count."""
+    least = -np.inf if every else 5e-10
+    few = base[: max(4 * k, len(base) // 16)]
+    if len(few) > k:
+        # the k-th best of some is no better than the k-th best of all
+        least = max(least, np.partition(few, len(few) - k)[len(few) - k] - 1e-8)
+    at = np.flatnonzero(base >= least)
+    return at[np.lexsort((ords[at], np.rint(base[at] * -1e9)))[:k]]
 
-    def __init__(self, n: int, k: int, descending: bool) -> None:
-        self.k, self.sign = k, -1.0 if descending else 1.0
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = [None] * n
-
-    def offer(self, q: int, key: np.ndarray, ords: np.ndarray, at: np.ndarray) -> None:
-        if self.held[q] is not None:
-            key, ords, at = (np.concatenate(pair) for pair in zip(self.held[q], (key, ords, at)))
-        if len(key) > 4 * self.k:
-            rough = self.sign * np.round(key, 9)
-            some = np.flatnonzero(rough <= np.partition(rough, self.k - 1)[self.k - 1])
-            key, ords, at = key[some], ords[some], at[some]
-        order = np.lexsort((ords, self.sign * np.round(key, 9)))[: self.k]
-        self.held[q] = key[order], ords[order], at[order]
-
-    def places(self) -> np.ndarray:
-        """The places still in use, ascending."""
-        used = [h[2] for h in self.held if h is not None]
-        return np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64)
-
-    def renumber(self, kept: np.ndarray) -> None:
-        self.held = [h if h is None else (h[0], h[1], np.searchsorted(kept, h[2])) for h in self.held]
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(query, key, ord, place) of everything held."""
-        some = [(q, h) for q, h in enumerate(self.held) if h is not None]
-        if not some:
-            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        q = np.repeat([q for q, _ in some], [len(h[0]) for _, h in some])
-        return q, *(np.concatenate([h[c] for _, h in some]) for c in range(3))
+
+def _dense_from(wanted: list[list[tuple[int, float]]], df: np.ndarray, n: int) -> float:
+    """The frequency from which terms are dense columns: where the estimated work is least."""
+    best = np.inf, np.inf
+    for shift in range(10):
+        least = n / 2**shift
+        if (df >= least).sum() > MOST_DENSE:
+            break
+        dense = df >= least
+        sets = {tuple(w for w in ws if dense[w[0]]) for ws in wanted}
+        listed = sum(int(df[w[0]]) for ws in wanted for w in ws if not dense[w[0]])
+        work = n * sum(2 + len(s) for s in sets) + 20 * listed
+        best = min(best, (work, least))
+    return best[1]
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
+def _postings(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ords, lengths, term, doc, tf) of each block of documents; the last three by term, then document."""
+    of = _Numbers(number).__getitem__
+    words, lengths, ords = array("i"), [], []
+
+    def block() -> tuple[np.ndarray, ...]:
+        ids, sizes = np.frombuffer(words, np.int32) if words else np.zeros(0, np.int32), np.array(lengths, np.int64)
+        known = np.flatnonzero(ids >= 0)
+        doc = np.repeat(np.arange(len(sizes)), sizes)[known]
+        key, tf = np.unique(ids[known].astype(np.int64) * len(sizes) + doc, return_counts=True)
+        return np.concatenate(ords), sizes.astype(float), key // len(sizes), key % len(sizes), tf.astype(float)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for text in batch.column(2).to_pylist():
+            found = _WORDS.findall(text.lower())
+            words.extend(map(of, found))
+            lengths.append(len(found))
+        ords.append(batch.column(1).to_numpy(zero_copy_only=False))
+        if len(lengths) >= BLOCK_DOCS or len(words) >= BLOCK_WORDS:
+            yield block()
+            words, lengths, ords = array("i"), [], []
+    if lengths:
+        yield block()

@@ -51,7 +51,8 @@ def first_seen(lists: DataFrame, k: int) -> DataFrame:
 def rerank(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, reranker: Reranker | None = None) -> DataFrame:
     """The candidates of each query by the reranker's score, ties by their old rank."""
     pool = ranked.select("qid", "chunk_id", "ord", F.col("rank").alias("old"))
-    pool = pool.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("qid", "question"), "qid")
+    # texts last: they move once, and none moves with the pool
+    pool = pool.join(queries.select("qid", "question"), "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
     scored = (reranker or MockReranker()).score(pool, "question", "text", "score")
     return _ranked(scored, k, F.col("score").desc(), F.col("old")).select("qid", "chunk_id", "ord", "score", "rank")
 

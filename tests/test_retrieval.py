@@ -2,11 +2,13 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodesift.operators import ranking
-from lodesift.operators.dense import VectorIndex
+from lodesift.operators import lexical, ranking
+from lodesift.operators.dense import VectorIndex, _nearest
 from lodesift.operators.lexical import Bm25Index
 
 
@@ -124,3 +126,47 @@ def test_rerank_orders_by_score(spark):
     pool = spark.createDataFrame([("q0", f"c{i}", i, i + 1) for i in range(3)], "qid string, chunk_id string, ord long, rank long")
     got = ranking.rerank(pool, q, chunks, 2).orderBy("rank").collect()
     assert len(got) == 2 and got[0].score >= got[1].score
+
+
+def unpacked(batches, k):
+    """The lists of packed rows: query -> ords, in the order of their keys."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    lists = {}
+    for r in rows:
+        for q, o in zip(np.frombuffer(r["q"], np.int32).tolist(), np.frombuffer(r["ord"], np.int64).tolist()):
+            lists.setdefault(q, []).append(o)
+    return len(rows), lists
+
+
+@pytest.mark.parametrize("most_dense", [0, 5, 256])
+def test_bm25_task_sends_one_packed_row_for_its_queries(monkeypatch, most_dense):
+    """Over several blocks, whatever terms are dense; before, k rows were sent for every query."""
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(lexical, "MOST_DENSE", most_dense)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["common"] * 12 + ["often"] * 6
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(100)] + [""]
+    queries = [" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(120)]
+    toks = [t.split() for t in texts]
+    df = {w: sum(w in t for t in toks) for w in {w for t in toks for w in t}}
+    raw = {w: math.log(len(toks) - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    index = Bm25Index()
+    index.n, index.avgdl, index.below_zero = len(toks), sum(map(len, toks)) / len(toks), False
+    terms = {w: (v if v >= 0 else 0.25 * mean, df[w]) for w, v in raw.items()}
+    batches = [pa.RecordBatch.from_pydict({"chunk_id": [f"c{i}" for i in at], "ord": list(at), "text": [texts[i] for i in at]}) for at in (range(lo, min(lo + 10, 101)) for lo in range(0, 101, 10))]
+    sent, lists = unpacked(index._scorer([tuple(sorted(q.split())) for q in queries], terms, 7)(iter(batches)), 7)
+    assert sent == 1
+    for i, q in enumerate(queries):
+        assert lists.get(i, []) == [w[1] for w in okapi(texts, q) if w[0] < 0][:7]
+
+
+def test_dense_task_sends_one_packed_row_for_its_queries():
+    rng = np.random.default_rng(4)
+    x, asked = np.round(rng.normal(size=(300, 3)), 1), np.round(rng.normal(size=(200, 3)), 1)
+    batches = [pa.RecordBatch.from_arrays([pa.array([str(i) for i in at]), pa.array(at), pa.array(x[at].tolist())], names=["chunk_id", "ord", "vec"]) for at in np.split(np.arange(300), 6)]
+    sent, lists = unpacked(_nearest([(str(i), v) for i, v in enumerate(asked.tolist())], 9)(iter(batches)), 9)
+    assert sent == 1
+    for i, v in enumerate(asked):
+        d = np.round(np.sqrt(((x - v) ** 2).sum(axis=1)), 9)
+        assert lists[i] == np.lexsort((np.arange(300), d))[:9].tolist()
