@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodesift.runtime import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-QUERY_BLOCK = 65_536
+QUERY_BLOCK = 131_072
 #: Documents (and words) that a task holds at a time, terms it counts at a time, and queries of one packed row.
 BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 32_768, 4_000_000, 500_000, 256
 #: Most terms that are dense columns (8 bytes a document of the block each).
@@ -194,7 +194,7 @@ class Bm25Index:
         return reduce(DataFrame.unionByName, parts)
 
     def _scorer(self, asked: list[tuple[str, ...]], terms: dict[str, tuple[float, int]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        avgdl, below_zero, n = self.avgdl or 1.0, self.below_zero, self.n
+        avgdl, below_zero, n, size = self.avgdl or 1.0, self.below_zero, self.n, len(asked)
         number = {w: i for i, w in enumerate(terms)}
         idf = np.array([v[0] for v in terms.values()])
         df = np.array([v[1] for v in terms.values()])
@@ -206,7 +206,7 @@ class Bm25Index:
             alike[tuple(w for w in ws if dense[w[0]])].append((q, [w for w in ws if not dense[w[0]]]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lists = Best(len(asked), k, True)
+            lists = Best(size, k, True)
             for ords, lengths, term, doc, tf in _postings(batches, number):
                 value = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl)))
                 ends = np.searchsorted(term, np.arange(len(number) + 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -183,13 +184,17 @@ def hyde(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
 _PART = "\u0001"
 
 
+def searched(search: Callable[[DataFrame, int], DataFrame], subs: DataFrame, k: int) -> DataFrame:
+    """Stacked lists (qid, chunk_id, ord, rank, src) of several queries a question (qid, sub, question) in one search; src is sub."""
+    found = search(subs.select(F.concat_ws(_PART, "qid", "sub").alias("qid"), "question"), k)
+    parts = F.split("qid", _PART)
+    return found.select(F.get(parts, F.lit(0)).alias("qid"), "chunk_id", "ord", "rank", F.get(parts, F.lit(1)).cast("int").alias("src"))
+
+
 def multi_query(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
     asked = cut(col.ask(questions.select("qid", "question"), "multi_query", question=F.col("question")))
     subs = asked.select("qid", F.posexplode(parse_subqueries(F.col("r.text"), F.col("question"))).alias("sub", "question"))
-    found = col.dense(subs.select(F.concat_ws(_PART, "qid", "sub").alias("qid"), "question"), SUBQUERY_K)
-    parts = F.split("qid", _PART)
-    lists = found.select(F.get(parts, F.lit(0)).alias("qid"), "chunk_id", "ord", "rank", F.get(parts, F.lit(1)).cast("int").alias("src"))
-    return answer(col, questions, ranking.best_rank(lists, k), _costs(asked))
+    return answer(col, questions, ranking.best_rank(searched(col.dense, subs, SUBQUERY_K), k), _costs(asked))
 
 
 def contextual_chunks(col: Collection) -> DataFrame:

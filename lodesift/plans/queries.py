@@ -322,9 +322,8 @@ _HALVES = (
 def _halves(spark, d):
     col, q = collection(spark, d), questions(spark, d)
     words = F.split("question", " ")
-    one = q.select("qid", F.array_join(F.slice(words, 1, 4), " ").alias("question"))
-    two = q.select("qid", F.array_join(F.slice(words, 5, 10_000), " ").alias("question"))
-    return ranking.stack(col.lexical(one, K), col.lexical(two, K))
+    halves = F.array(F.array_join(F.slice(words, 1, 4), " "), F.array_join(F.slice(words, 5, 10_000), " "))
+    return patterns.searched(col.lexical, q.select("qid", F.posexplode(halves).alias("sub", "question")), K)
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodesift.operators import lexical, ranking
 from lodesift.operators.dense import VectorIndex, _nearest
 from lodesift.operators.lexical import Bm25Index
+from lodesift.plans import queries
 
 
 def docs(spark, texts):
@@ -170,3 +171,12 @@ def test_dense_task_sends_one_packed_row_for_its_queries():
     for i, v in enumerate(asked):
         d = np.round(np.sqrt(((x - v) ** 2).sum(axis=1)), 9)
         assert lists[i] == np.lexsort((np.arange(300), d))[:9].tolist()
+
+
+@pytest.mark.parametrize("name", ["best_rank_merge", "first_seen_merge", "rrf_fuse_3", "embedding_study"])
+def test_query_searches_lexically_once(spark, monkeypatch, name):
+    """Before, two or three searches read every text again."""
+    calls, search = [], Bm25Index.search
+    monkeypatch.setattr(Bm25Index, "search", lambda self, *a, **k: calls.append(name) or search(self, *a, **k))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert calls == [name]
