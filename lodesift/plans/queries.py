@@ -307,7 +307,8 @@ def rrf_fuse_2(spark, d):
 @query("rrf_fuse_3", _with(*_POOLS, rerank_sql("lex", "rer", 20), rrf_sql(["den", "lex", "rer"], "rrf")) + _TOP + "rrf")
 def rrf_fuse_3(spark, d):
     col, q = collection(spark, d), questions(spark, d)
-    lists = ranking.stack(col.dense(q, 20), col.lexical(q, 20), patterns.rerank_ranked(col, q, 20))
+    lexical = col.lexical(q, 20)
+    lists = ranking.stack(col.dense(q, 20), lexical, ranking.rerank(lexical, q, col.chunks, 20, col.reranker))
     return _scored(ranking.rrf(lists, K), "score")
 
 
