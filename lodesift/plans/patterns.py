@@ -154,8 +154,9 @@ def bm25(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
     return answer(col, questions, col.lexical(questions, k))
 
 
-def hybrid_ranked(col: Collection, questions: DataFrame, k: int) -> DataFrame:
-    return ranking.rrf(ranking.stack(col.dense(questions, POOL), col.lexical(questions, POOL)), k)
+def hybrid_ranked(col: Collection, questions: DataFrame, k: int, lexical: DataFrame | None = None) -> DataFrame:
+    """Both pools fused; ``lexical`` is the lexical pool where it is known already."""
+    return ranking.rrf(ranking.stack(col.dense(questions, POOL), col.lexical(questions, POOL) if lexical is None else lexical), k)
 
 
 def hybrid(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
@@ -170,9 +171,9 @@ def rerank(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
     return answer(col, questions, rerank_ranked(col, questions, k))
 
 
-def hybrid_rerank(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
+def hybrid_rerank(col: Collection, questions: DataFrame, k: int = 10, lexical: DataFrame | None = None) -> DataFrame:
     """The retriever of the studies: both rankers' pools, fused, reranked; no model call."""
-    return ranking.rerank(hybrid_ranked(col, questions, POOL), questions, col.chunks, k, col.reranker)
+    return ranking.rerank(hybrid_ranked(col, questions, POOL, lexical), questions, col.chunks, k, col.reranker)
 
 
 def hyde(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:

@@ -929,9 +929,9 @@ def self_query_typed(spark, d):
     return out
 
 
-def _study(col: patterns.Collection, q: DataFrame, papers: DataFrame) -> DataFrame:
+def _study(col: patterns.Collection, q: DataFrame, papers: DataFrame, lexical: DataFrame | None = None) -> DataFrame:
     """paper_hit@10 of the hybrid retriever with its interval; ``papers`` are the original chunks."""
-    found = patterns.hybrid_rerank(col, q, K).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
+    found = patterns.hybrid_rerank(col, q, K, lexical).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
     r = q.where(F.size("relevant_chunk_ids") > 0).join(found, "qid").select(F.col("qid").alias("key"), "ids", F.col("relevant_chunk_ids").alias("relevant"))
     both = papers.select("chunk_id", "paper_id").unionByName(col.chunks.select("chunk_id", "paper_id")).distinct()
     return metrics.bootstrap_ci(metrics.paper_hit_at_k(r, both, K), "hit", "key")
@@ -961,8 +961,9 @@ def embedding_study(spark, d):
     from lodesift.functions.providers import MockEmbedder
 
     base, q, out = cut(chunks(spark, d)), questions(spark, d), None
+    lexical = patterns.Collection(base).lexical(q, patterns.POOL)  # the same for every embedding
     for dim in (8, 16, 32):
-        one = _study(patterns.Collection(base, embedder=MockEmbedder(dim)), q, base).withColumn("dim", F.lit(dim))
+        one = _study(patterns.Collection(base, embedder=MockEmbedder(dim)), q, base, lexical).withColumn("dim", F.lit(dim))
         out = one if out is None else out.unionByName(one)
     return out
 
