@@ -79,7 +79,8 @@ def answer(
         rows = questions.select("qid", "question", F.lit("").alias("context"), F.array().cast("array<string>").alias("ids"))
     else:
         rows = ranking.contexts(ranked, col.chunks, questions)
-    rows = col.ask(rows, "generate", context=F.col("context"), question=F.col("question"))
+    # read twice: written, so that contexts are built and models called once
+    rows = cut(col.ask(rows, "generate", context=F.col("context"), question=F.col("question")).select("qid", "question", "ids", "r"))
     costs = _costs(rows)
     if spent is not None:
         costs = costs.unionByName(spent)
