@@ -1,6 +1,7 @@
 """Exact nearest neighbours of query vectors, in blocks; and search by embedded text.
 
-Rows never move: each task keeps one list of the best ``k`` a query over all its batches.
+Rows never move: each task keeps one list of the best ``k`` a query over all its batches. Products of single
+precision tell who may be among the best (within their error); only those are measured, in double precision.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.providers import Embedder, MockEmbedder
-from lodesift.operators.lexical import PACKED, Best, merged, named, query_blocks
+from lodesift.operators.lexical import PACKED, Best, few_tasks, marked, merged, named, query_blocks
 from lodesift.runtime import cut
 
+#: Rows and components that a task holds at a time, and queries and rows of one product.
+BLOCK_ROWS, BLOCK_CELLS, TILE_QUERIES, TILE_ROWS = 131_072, 16_000_000, 256, 2048
+
 
 class VectorIndex:
     """Rows (chunk_id, ord, vec) ranked by L2 distance. All vectors have one length, checked once."""
@@ -76,7 +80,7 @@ class VectorIndex:
 
 def _found(rows: DataFrame, ids: DataFrame, block: list[tuple], k: int, scorer: Callable) -> DataFrame:
     """(qid, chunk_id, ord, distance, rank) of a block of queries, written once, since callers read it more than once."""
-    found = merged(rows.mapInArrow(scorer, PACKED), len(block), k, False, "distance")
+    found = merged(few_tasks(rows).mapInArrow(scorer, PACKED), len(block), k, False, "distance")
     return cut(named(found, [(q, i) for i, (q, _) in enumerate(block)], ids, "distance"))
 
 
@@ -111,42 +115,73 @@ def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.nd
     asked = np.array([v for _, v in block], float)
     groups = [np.arange(len(block))] if kinds is None else [np.flatnonzero(kinds == g) for g in range(int(kinds.max()) + 1)]
 
+    squares = (asked * asked).sum(axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Best(len(block), k, False)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            every = np.asarray(batch.column(2).flatten(), float).reshape(batch.num_rows, -1)
-            ords = batch.column(1).to_numpy(zero_copy_only=False)
-            fits = where(batch) if where else None
+        for ords, every, fits in _rows(batches, where):
             for g, members in enumerate(groups):
                 rows = np.arange(len(every)) if fits is None else np.flatnonzero(fits[g])
                 x = every[rows]
+                if not len(x):
+                    continue
                 square = (x * x).sum(axis=1)
-                wide = np.column_stack([x, square]).T
-                for lo in range(0, len(members) if len(x) else 0, 256):
-                    mine = members[lo : lo + 256]
-                    q = asked[mine]
-                    own = (q * q).sum(axis=1)
+                largest = max(square.max(), squares[members].max()) if len(members) else 0.0
+                kind, unit = (np.float32, 1.2e-7) if largest < 1e30 else (np.float64, 2.3e-16)
+                wide = np.column_stack([x, square]).T.astype(kind)
+                for lo in range(0, len(members), TILE_QUERIES):
+                    mine = members[lo : lo + TILE_QUERIES]
+                    q, own = asked[mine], squares[mine]
                     # squared distances less the query's own square
-                    rough = np.column_stack([-2 * q, np.ones(len(q))]) @ wide
-                    limit = (lists.worst(mine) + 1e-9) ** 2 - own
-                    open_ = np.flatnonzero(np.isinf(limit))
-                    if len(open_) and len(x) > k:
-                        limit[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1]
+                    left = np.column_stack([-2 * q, np.ones(len(q))]).astype(kind)
                     # the product form is rough; whoever may be among the k is measured exactly
-                    limit += 1e-8 * (1 + square.max() + own + np.abs(limit))
-                    i, at = np.nonzero(rough <= limit[:, None])
-                    d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
-                    ends = np.searchsorted(i, np.arange(len(mine) + 1))
-                    for j in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
-                        a, b = ends[j], ends[j + 1]
-                        lists.offer(mine[j], d[a:b], ords[rows[at[a:b]]])
+                    error = 1e-8 + (len(x[0]) + 4) * unit * 2 * (square.max() + own)
+                    limit, waiting, due = _limits(lists, mine, own, error), [], 1
+                    for tile, a in enumerate(range(0, len(x), TILE_ROWS), 1):
+                        rough = left @ wide[:, a : a + TILE_ROWS]
+                        if tile == 1:
+                            open_ = np.flatnonzero(np.isinf(limit))
+                            if len(open_) and rough.shape[1] > k:
+                                limit[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1] + 2 * error[open_]
+                        i, at = np.divmod(marked((rough <= limit.astype(kind)[:, None]).ravel()), rough.shape[1])
+                        waiting.append((i, at + a))
+                        if tile == due or a + TILE_ROWS >= len(x):
+                            i, at = (np.concatenate(c) for c in zip(*waiting))
+                            d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
+                            lists.offer(mine[i], d, ords[rows[at]])
+                            limit, waiting, due = np.minimum(limit, _limits(lists, mine, own, error)), [], 4 * due
         yield from lists.packed()
 
     return run
 
 
+def _limits(lists: Best, mine: np.ndarray, own: np.ndarray, error: np.ndarray) -> np.ndarray:
+    """The rough squared distances, less the query's own square, beyond which no row is among the best."""
+    return (lists.worst(mine) + 1e-9) ** 2 - own + error
+
+
+def _rows(batches: Iterator[pa.RecordBatch], where: Callable[[pa.RecordBatch], np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(ords, vectors, marks of the filters) of blocks of batches."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]] = []
+    rows = cells = 0
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        ords, vectors, fits = zip(*held)
+        return np.concatenate(ords), np.concatenate(vectors), np.concatenate(fits, axis=1) if where else None
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        every = np.asarray(batch.column(2).flatten(), float).reshape(batch.num_rows, -1)
+        held.append((batch.column(1).to_numpy(zero_copy_only=False), every, where(batch) if where else None))
+        rows, cells = rows + len(every), cells + every.size
+        if rows >= BLOCK_ROWS or cells >= BLOCK_CELLS:
+            yield block()
+            held, rows, cells = [], 0, 0
+    if held:
+        yield block()
+
+
 def dense_search(index: VectorIndex, queries: DataFrame, k: int = 5, embedder: Embedder | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Nearest rows to the embedded text of each query (qid, question)."""
     embedded = (embedder or MockEmbedder()).embed(queries.select("qid", "question"), "question", "vec")

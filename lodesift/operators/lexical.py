@@ -2,23 +2,25 @@
 
 Documents and their texts never move. Each task reads its documents in blocks and keeps one list of the best
 ``k`` a query over all of them, so what is shuffled is at most k (ord, score) pairs per query and task, packed
-into binary rows. Queries with the same terms are scored once. A query's terms are of two kinds: those of
-frequent terms are added up as dense columns, once for all queries that share the same frequent terms; those
-of rare terms touch only the documents on their inverted lists. A document on no rare list can only be
-among the best if it is among the best of the dense columns, so no other is looked at. Queries with
-fewer than ``k`` hits are filled up with the first documents (all scored 0).
+into binary rows. Queries with the same terms are scored once. A query's terms are of two kinds: frequent terms
+are added up as dense columns of single precision, most frequent first, and queries in the order of their terms
+share the sums of the terms that they begin with; rare terms touch only the documents on their inverted lists.
+A document on no rare list can only be among the best if its dense sum is, so no other is looked at. Single
+precision only tells who may be among the best (within its error); those are scored in double precision.
+Queries with fewer than ``k`` hits are filled up with the first documents (all scored 0).
 """
 
 from __future__ import annotations
 
 import re
-from array import array
-from collections import Counter, defaultdict
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +29,13 @@ from lodesift.runtime import cut
 K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 131_072
 #: Documents (and words) that a task holds at a time, terms it counts at a time, and queries of one packed row.
-BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 32_768, 4_000_000, 500_000, 256
-#: Most terms that are dense columns (8 bytes a document of the block each).
-MOST_DENSE = 256
+BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 65_536, 8_000_000, 500_000, 256
+#: Most terms that are dense columns, and their cells in a block (12 bytes each); candidates that wait to be merged.
+MOST_DENSE, MOST_CELLS, MOST_WAITING = 512, 24_000_000, 2_000_000
 PACKED = "g int, q binary, ord binary, key binary"
 _WORDS = re.compile("[a-z0-9]+")
+#: Each byte lowered where it is part of a word, else 0.
+_LOWERED = np.array([c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else c + 32 if 65 <= c <= 90 else 0 for c in range(256)], np.uint8)
 
 
 def query_blocks(queries: DataFrame, column: str, size: int = QUERY_BLOCK) -> Iterator[list[tuple]]:
@@ -58,22 +62,26 @@ class Best:
         """The key that another row has to reach (within 1e-9), endless where a list has room."""
         return self.order[q, self.k - 1] / self.sign
 
-    def offer(self, q: int, key: np.ndarray, ords: np.ndarray) -> None:
+    def offer(self, q: np.ndarray, key: np.ndarray, ords: np.ndarray) -> None:
+        """Rows ``ords`` with their keys for the queries ``q``; none twice, none that is held already."""
         order = np.rint(self.sign * key)
         fits = order <= self.order[q, self.k - 1]
-        if not fits.all():
-            order, key, ords = order[fits], key[fits], ords[fits]
-        if not len(order):
+        if not fits.any():
             return
-        m = self.size[q]
-        if len(order) > 4 * self.k:
-            some = order <= np.partition(order, self.k - 1)[self.k - 1]
-            order, key, ords = order[some], key[some], ords[some]
-        if m:
-            order, key, ords = np.concatenate([self.order[q, :m], order]), np.concatenate([self.key[q, :m], key]), np.concatenate([self.ords[q, :m], ords])
-        at = np.lexsort((ords, order))[: self.k]
-        m = self.size[q] = len(at)
-        self.order[q, :m], self.key[q, :m], self.ords[q, :m] = order[at], key[at], ords[at]
+        q, order, key, ords = q[fits], order[fits], key[fits], ords[fits]
+        asked = np.unique(q)
+        i, j = np.nonzero(np.arange(self.k) < self.size[asked, None])
+        i = asked[i]
+        q, order, key, ords = (np.concatenate(c) for c in ((i, q), (self.order[i, j], order), (self.key[i, j], key), (self.ords[i, j], ords)))
+        at = np.lexsort((ords, order, q))
+        q = q[at]
+        first = np.searchsorted(q, asked)
+        count = np.diff(np.append(first, len(q)))
+        rank = np.arange(len(q)) - np.repeat(first, count)
+        top = rank < self.k
+        q, rank, at = q[top], rank[top], at[top]
+        self.order[q, rank], self.key[q, rank], self.ords[q, rank] = order[at], key[at], ords[at]
+        self.size[asked] = np.minimum(count, self.k)
 
     def packed(self) -> Iterator[pa.RecordBatch]:
         """Everything held, one row (:data:`PACKED`) for each group of queries."""
@@ -121,6 +129,44 @@ def named(found: DataFrame, places: list[tuple[str, int]], docs: DataFrame, valu
     return found.join(docs.select("ord", "chunk_id"), "ord").join(asked, "q").select("qid", "chunk_id", "ord", value, "rank")
 
 
+def marked(mask: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of a mask of few marks, which looks at eight at a time."""
+    even = len(mask) & ~7
+    some = (mask[:even].view(np.uint64) != 0).nonzero()[0]
+    at = (some[:, None] * 8 + np.arange(8)).ravel()
+    at = at[mask[at]]
+    return at if even == len(mask) else np.concatenate([at, even + mask[even:].nonzero()[0]])
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in a task for each core: every task keeps a list of its own for every query."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lowered words (runs of ASCII letters and digits) of all texts behind each other, and how many each text has."""
+    # besides A to Z only these become ASCII letters when lowered
+    for odd, plain in (("\u0130", "i\u0307"), ("\u212a", "k")):
+        if pc.any(pc.match_substring(texts, odd)).as_py():
+            texts = pc.replace_substring(texts, pattern=odd, replacement=plain)
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1] if ends else np.zeros(len(texts) + 1, np.int64)
+    low = _LOWERED[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside = ends[(ends > 0) & (ends < len(low))]
+    word = np.zeros(len(low) + 2, bool)
+    word[1:-1] = low != 0
+    starts, stops = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+    # no word goes on in the next text
+    starts[inside], stops[inside - 1] = word[1:-1][inside], word[1:-1][inside - 1]
+    starts, stops = np.flatnonzero(starts), np.flatnonzero(stops)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(stops - starts + 1, out=offsets[1:])
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low[low != 0])])
+    return words, np.diff(np.searchsorted(starts, ends))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, n, words): in how many texts each term is; the row without a term has the number of texts and of words."""
 
@@ -131,11 +177,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df: Counter[str] = Counter()
     n = total = 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            words = _WORDS.findall(text.lower())
-            n += 1
-            total += len(words)
-            df.update(set(words))
+        words, sizes = words_of(batch.column(0))
+        coded = words.dictionary_encode()
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        pairs = np.sort(coded.indices.to_numpy().astype(np.int64) * max(1, len(sizes)) + doc)
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        counts = np.bincount(pairs // max(1, len(sizes)), minlength=len(coded.dictionary))
+        n += len(sizes)
+        total += len(words)
+        df.update(dict(zip(coded.dictionary.to_pylist(), counts.tolist())))
         if len(df) > MOST_TERMS:
             yield rows()
             df.clear()
@@ -186,7 +236,7 @@ class Bm25Index:
                 first = [r[0] for r in docs.select("ord").orderBy("ord").limit(2 * k).collect()]
             kinds: dict[tuple[str, ...], int] = {}
             places = [(q, kinds.setdefault(tuple(w for w in ws if w in terms), len(kinds))) for q, ws in asked]
-            found = merged(docs.mapInArrow(self._scorer(list(kinds), terms, k), PACKED), len(kinds), k, True, "score", first)
+            found = merged(few_tasks(docs).mapInArrow(self._scorer(list(kinds), terms, k), PACKED), len(kinds), k, True, "score", first)
             # written once, since callers read it more than once
             parts.append(cut(named(found, places, docs, "score")))
         if not parts:
@@ -194,108 +244,182 @@ class Bm25Index:
         return reduce(DataFrame.unionByName, parts)
 
     def _scorer(self, asked: list[tuple[str, ...]], terms: dict[str, tuple[float, int]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        avgdl, below_zero, n, size = self.avgdl or 1.0, self.below_zero, self.n, len(asked)
+        avgdl, below_zero, size = self.avgdl or 1.0, self.below_zero, len(asked)
+        counted = [Counter(ws) for ws in asked]
+        # a term with its number of times in a query is an item; items by falling frequency
+        items = sorted({x for c in counted for x in c.items()}, key=lambda x: (-terms[x[0]][1], x))
+        place = {x: i for i, x in enumerate(items)}
         number = {w: i for i, w in enumerate(terms)}
         idf = np.array([v[0] for v in terms.values()])
-        df = np.array([v[1] for v in terms.values()])
-        wanted = [[(number[w], float(m)) for w, m in Counter(ws).items()] for ws in asked]
-        dense = df >= (0 if below_zero else _dense_from(wanted, df, n))
-        # queries by the frequent terms that they share
-        alike: dict[tuple, list[tuple[int, list[tuple[int, float]]]]] = defaultdict(list)
-        for q, ws in enumerate(wanted):
-            alike[tuple(w for w in ws if dense[w[0]])].append((q, [w for w in ws if not dense[w[0]]]))
+        term_of, times = np.array([number[w] for w, _ in items], np.int64), np.array([m for _, m in items], float)
+        df = np.array([terms[w][1] for w, _ in items], np.int64)
+        wanted = sorted((tuple(sorted(place[x] for x in c.items())), q) for q, c in enumerate(counted))
+        dense = len(items) if below_zero else _dense_items([ws for ws, _ in wanted], df, self.n)
+        # what single precision may be off by: a rounding error a term, of the greatest sum
+        reach = np.abs(idf[term_of]) * times * (K1 + 1)
+        # sets of dense items in order: how many they share with the set before, and (query, rare items, error) of their queries
+        sets: list[tuple[int, tuple[int, ...], list[tuple[int, tuple[int, ...], float]]]] = []
+        longest = 0
+        for ws, q in wanted:
+            cut_at = bisect_left(ws, dense)
+            frequent, rare = ws[:cut_at], ws[cut_at:]
+            if not sets or sets[-1][1] != frequent:
+                before = sets[-1][1] if sets else ()
+                same = next((i for i, (a, b) in enumerate(zip(before, frequent)) if a != b), min(len(before), len(frequent)))
+                sets.append((same, frequent, []))
+                longest = max(longest, cut_at)
+            sets[-1][2].append((q, rare, float(reach[list(ws)].sum()) * 1.2e-7 * (len(ws) + 2)))
+        block_docs = max(1, min(BLOCK_DOCS, MOST_CELLS // max(1, dense)))
+        # the dense items of each query behind each other, with their number and where they begin
+        of_query: list[tuple[int, ...]] = [()] * size
+        for _, frequent, members in sets:
+            for q, _, _ in members:
+                of_query[q] = frequent
+        many = np.array([len(x) for x in of_query], np.int64)
+        frequent_of = np.array([i for x in of_query for i in x], np.int32), many, np.cumsum(many) - many
+        floor = -np.inf if below_zero else 4e-10
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = Best(size, k, True)
-            for ords, lengths, term, doc, tf in _postings(batches, number):
+            for ords, lengths, term, doc, tf in _postings(batches, list(number), block_docs):
+                n = len(ords)
                 value = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl)))
-                ends = np.searchsorted(term, np.arange(len(number) + 1))
-                columns: dict[int, np.ndarray] = {}
-                sums = np.zeros(len(ords))
-                for shared, members in alike.items():
-                    base = np.zeros(len(ords))
-                    for t, m in shared:
-                        if t not in columns:
-                            columns[t] = np.zeros(len(ords))
-                            columns[t][doc[ends[t] : ends[t + 1]]] = value[ends[t] : ends[t + 1]]
-                        base += columns[t] if m == 1 else m * columns[t]
-                    top = _top(base, ords, k, below_zero) if shared or below_zero else np.zeros(0, np.int64)
-                    kth = base[top[-1]] - 1e-8 if len(top) == k else 5e-10
-                    for q, rare in members:
-                        spans = [(doc[ends[t] : ends[t + 1]], value[ends[t] : ends[t + 1]] * m) for t, m in rare if ends[t] < ends[t + 1]]
-                        at, mine = top, base[top]
-                        if spans:
-                            for d, v in spans:
+                ends = np.searchsorted(term, np.arange(len(number) + 1)).tolist()
+                exact = np.zeros((dense, n))
+                for i in range(dense):
+                    lo, hi = ends[term_of[i]], ends[term_of[i] + 1]
+                    exact[i, doc[lo:hi]] = value[lo:hi] * times[i]
+                rough = exact.astype(np.float32)
+                spans = {}
+                for i in range(dense, len(items)):
+                    lo, hi = ends[term_of[i]], ends[term_of[i] + 1]
+                    if lo < hi:
+                        spans[i] = doc[lo:hi], value[lo:hi] * times[i]
+                sums = np.zeros(n)
+                stack = np.zeros((longest + 1, n), np.float32)
+                bounds = lists.worst(np.arange(size)).tolist()
+                waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+                held = 0
+                for same, frequent, members in sets:
+                    for j in range(same, len(frequent)):
+                        np.add(stack[j], rough[frequent[j]], out=stack[j + 1])
+                    base = stack[len(frequent)]
+                    highest = base.max()
+                    tops: dict[float, np.ndarray] = {}
+                    for q, rare, error in members:
+                        least = max(floor, bounds[q] - 1e-8 - error)
+                        found = [spans[i] for i in rare if i in spans]
+                        some = None
+                        if found:
+                            for d, v in found:
                                 sums[d] += v
-                            mine = mine + sums[top]
-                            listed = spans[0][0] if len(spans) == 1 else np.concatenate([d for d, _ in spans])
+                            listed = found[0][0] if len(found) == 1 else np.concatenate([d for d, _ in found])
                             whole = base[listed] + sums[listed]
+                            # a document is there once for every term at most
+                            most = k * len(found)
+                            if len(whole) > most:
+                                least = max(least, np.partition(whole, len(whole) - most)[len(whole) - most] - 1e-8 - 2 * error)
+                            some = listed[whole >= least]
+                        if highest >= least:
+                            if len(members) > 1 or least <= floor:
+                                key = error
+                                if key not in tops:
+                                    tops[key] = _top(base, k, floor, 1e-8 + 2 * error)
+                                top = tops[key]
+                                top = top[base[top] >= least]
+                            else:
+                                top = _top(base, k, least, 1e-8 + 2 * error)
+                            some = top if some is None else np.concatenate([some, top])
+                        if some is not None and len(some):
+                            waiting.append((q, some, sums[some]))
+                            held += len(some)
+                        if found:
                             sums[listed] = 0
-                            # lower ones come after the k best of the dense columns, or after those that the list holds
-                            some = np.flatnonzero(whole >= max(kth, lists.worst(q) - 1e-8))
-                            at, mine = np.concatenate([at, listed[some]]), np.concatenate([mine, whole[some]])
-                            # a document is there once for every term
-                            at, once = np.unique(at, return_index=True)
-                            mine = mine[once]
-                        lists.offer(q, mine, ords[at])
+                    if held > MOST_WAITING:
+                        _offered(lists, waiting, exact, frequent_of, ords, floor)
+                        waiting, held = [], 0
+                if waiting:
+                    _offered(lists, waiting, exact, frequent_of, ords, floor)
             yield from lists.packed()
 
         return run
 
 
-def _top(base: np.ndarray, ords: np.ndarray, k: int, every: bool) -> np.ndarray:
-    """The places of the best ``k`` documents by ``base``, ties by ord; without ``every`` those of score 0 don't count."""
-    least = -np.inf if every else 5e-10
+def _offered(lists: Best, waiting: list[tuple[int, np.ndarray, np.ndarray]], exact: np.ndarray, frequent_of: tuple[np.ndarray, ...], ords: np.ndarray, floor: float) -> None:
+    """Offers (query, documents, what rare items add to them), scored in double precision; a document may be there twice."""
+    q = np.repeat([w[0] for w in waiting], [len(w[1]) for w in waiting])
+    doc, score = np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
+    _, once = np.unique(q * len(ords) + doc, return_index=True)
+    q, doc, score = q[once], doc[once], score[once]
+    items, many, begin = frequent_of
+    dense, at = np.zeros(len(q)), np.arange(len(q))
+    for j in range(int(many[q].max())):
+        at = at[many[q[at]] > j]
+        dense[at] += exact[items[begin[q[at]] + j], doc[at]]
+    score = dense + score
+    some = score >= (floor if floor == -np.inf else 5e-10)
+    lists.offer(q[some], score[some], ords[doc[some]])
+
+
+def _top(base: np.ndarray, k: int, least: float, error: float) -> np.ndarray:
+    """The places of all documents that may be among the best ``k`` by ``base`` and reach ``least``."""
     few = base[: max(4 * k, len(base) // 16)]
     if len(few) > k:
         # the k-th best of some is no better than the k-th best of all
-        least = max(least, np.partition(few, len(few) - k)[len(few) - k] - 1e-8)
-    at = np.flatnonzero(base >= least)
-    return at[np.lexsort((ords[at], np.rint(base[at] * -1e9)))[:k]]
-
-
-def _dense_from(wanted: list[list[tuple[int, float]]], df: np.ndarray, n: int) -> float:
-    """The frequency from which terms are dense columns: where the estimated work is least."""
-    best = np.inf, np.inf
-    for shift in range(10):
-        least = n / 2**shift
-        if (df >= least).sum() > MOST_DENSE:
-            break
-        dense = df >= least
-        sets = {tuple(w for w in ws if dense[w[0]]) for ws in wanted}
-        listed = sum(int(df[w[0]]) for ws in wanted for w in ws if not dense[w[0]])
-        work = n * sum(2 + len(s) for s in sets) + 20 * listed
-        best = min(best, (work, least))
-    return best[1]
+        least = max(least, np.partition(few, len(few) - k)[len(few) - k] - error)
+    at = marked(base >= least)
+    if len(at) > k:
+        mine = base[at]
+        at = at[mine >= np.partition(mine, len(mine) - k)[len(mine) - k] - error]
+    return at
 
 
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        return -1
+def _dense_items(wanted: list[tuple[int, ...]], df: np.ndarray, n: int) -> int:
+    """How many of the most frequent items are dense columns: where the estimated work is least.
 
-
-def _postings(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    ``wanted`` has the items of each query, sorted; ``df`` their frequencies, falling.
+    """
+    width = max((len(ws) for ws in wanted), default=0)
+    if not width:
+        return 0
+    each = np.full((len(wanted), width), len(df), np.int64)
+    for i, ws in enumerate(wanted):
+        each[i, : len(ws)] = ws
+    # whether a query's items so far differ from those of the query before
+    new = np.ones(each.shape, bool)
+    new[1:] = np.logical_or.accumulate(each[1:] != each[:-1], axis=1)
+    sums, often = np.bincount(each[new], minlength=len(df) + 1)[:-1], np.bincount(each.ravel(), minlength=len(df) + 1)[:-1]
+    sums, listed = np.concatenate([[0], np.cumsum(sums)]), np.concatenate([np.cumsum((often * df)[::-1])[::-1], [0]])
+    some = np.arange(min(len(df), MOST_DENSE) + 1)
+    # a number added to a column against a document on a list, which is touched several times
+    return int(some[np.argmin(0.5 * n * sums[some] + 12.0 * listed[some])])
+
+
+def _postings(batches: Iterator[pa.RecordBatch], terms: list[str], most: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(ords, lengths, term, doc, tf) of each block of documents; the last three by term, then document."""
-    of = _Numbers(number).__getitem__
-    words, lengths, ords = array("i"), [], []
+    known, words, lengths, ords = pa.array(terms, pa.large_string()), [], [], []
+    rows = seen = 0
 
     def block() -> tuple[np.ndarray, ...]:
-        ids, sizes = np.frombuffer(words, np.int32) if words else np.zeros(0, np.int32), np.array(lengths, np.int64)
-        known = np.flatnonzero(ids >= 0)
-        doc = np.repeat(np.arange(len(sizes)), sizes)[known]
-        key, tf = np.unique(ids[known].astype(np.int64) * len(sizes) + doc, return_counts=True)
+        ids, sizes = np.concatenate(words), np.concatenate(lengths)
+        here = np.flatnonzero(ids >= 0)
+        doc = np.repeat(np.arange(len(sizes)), sizes)[here]
+        key, tf = np.unique(ids[here].astype(np.int64) * len(sizes) + doc, return_counts=True)
         return np.concatenate(ords), sizes.astype(float), key // len(sizes), key % len(sizes), tf.astype(float)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        for text in batch.column(2).to_pylist():
-            found = _WORDS.findall(text.lower())
-            words.extend(map(of, found))
-            lengths.append(len(found))
-        ords.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if len(lengths) >= BLOCK_DOCS or len(words) >= BLOCK_WORDS:
-            yield block()
-            words, lengths, ords = array("i"), [], []
-    if lengths:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, most):
+            batch = whole.slice(lo, most)
+            if rows and rows + batch.num_rows > most:
+                yield block()
+                words, lengths, ords, rows, seen = [], [], [], 0, 0
+            found, sizes = words_of(batch.column(2))
+            words.append(pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False))
+            lengths.append(sizes)
+            ords.append(batch.column(1).to_numpy(zero_copy_only=False))
+            rows, seen = rows + batch.num_rows, seen + len(found)
+            if seen >= BLOCK_WORDS:
+                yield block()
+                words, lengths, ords, rows, seen = [], [], [], 0, 0
+    if rows:
         yield block()

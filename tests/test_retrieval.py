@@ -180,3 +180,33 @@ def test_query_searches_lexically_once(spark, monkeypatch, name):
     monkeypatch.setattr(Bm25Index, "search", lambda self, *a, **k: calls.append(name) or search(self, *a, **k))
     queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert calls == [name]
+
+
+def test_one_list_of_every_query_a_core(spark, monkeypatch):
+    tasks, merged = [], lexical.merged
+
+    def seen(packed, *args):
+        tasks.append(packed.rdd.getNumPartitions())
+        return merged(packed, *args)
+
+    monkeypatch.setattr(lexical, "merged", seen)
+    rows = docs(spark, [f"w{i % 7} x{i % 5}" for i in range(200)]).repartition(40)
+    got = Bm25Index().build(rows).search(ask(spark, "w1 x2", "w3"), 4)
+    assert got.count() == 8 and tasks == [spark.sparkContext.defaultParallelism]
+
+
+def test_words_of_are_those_of_the_expression():
+    texts = ["", "One two", "three", "x\u0130y \u212a9 \u017fz", "caf\u00e9s naïve", "end1", "2begin  a-b_c", "\u4e2d\u6587 ABC", ""]
+    words, sizes = lexical.words_of(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in re.findall("[a-z0-9]+", t.lower())]
+    assert sizes.tolist() == [len(re.findall("[a-z0-9]+", t.lower())) for t in texts]
+    some, n = lexical.words_of(pa.array(texts).slice(2, 3))
+    assert some.to_pylist() == words.to_pylist()[2 : 2 + n.sum()]
+
+
+def test_many_documents_of_nearly_the_same_score(spark):
+    # lengths differ by one word in many: scores differ by less than single precision tells
+    texts = ["alpha beta " + "pad " * (20_000 + i % 7) for i in range(60)] + ["filler"] * 100
+    for t in ("alpha beta", "alpha alpha beta", "beta"):
+        rows = Bm25Index().build(docs(spark, texts)).search(ask(spark, t), 8).orderBy("rank").collect()
+        assert [r.ord for r in rows] == [w[1] for w in okapi(texts, t)[:8]]
