@@ -128,7 +128,7 @@ def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.nd
                 square = (x * x).sum(axis=1)
                 largest = max(square.max(), squares[members].max()) if len(members) else 0.0
                 kind, unit = (np.float32, 1.2e-7) if largest < 1e30 else (np.float64, 2.3e-16)
-                wide = np.column_stack([x, square]).T.astype(kind)
+                tiles = [np.ascontiguousarray(np.column_stack([x[a : a + TILE_ROWS], square[a : a + TILE_ROWS]]).T, kind) for a in range(0, len(x), TILE_ROWS)]
                 for lo in range(0, len(members), TILE_QUERIES):
                     mine = members[lo : lo + TILE_QUERIES]
                     q, own = asked[mine], squares[mine]
@@ -137,15 +137,15 @@ def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.nd
                     # the product form is rough; whoever may be among the k is measured exactly
                     error = 1e-8 + (len(x[0]) + 4) * unit * 2 * (square.max() + own)
                     limit, waiting, due = _limits(lists, mine, own, error), [], 1
-                    for tile, a in enumerate(range(0, len(x), TILE_ROWS), 1):
-                        rough = left @ wide[:, a : a + TILE_ROWS]
+                    for tile, wide in enumerate(tiles, 1):
+                        rough = left @ wide
                         if tile == 1:
                             open_ = np.flatnonzero(np.isinf(limit))
                             if len(open_) and rough.shape[1] > k:
                                 limit[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1] + 2 * error[open_]
                         i, at = np.divmod(marked((rough <= limit.astype(kind)[:, None]).ravel()), rough.shape[1])
-                        waiting.append((i, at + a))
-                        if tile == due or a + TILE_ROWS >= len(x):
+                        waiting.append((i, at + (tile - 1) * TILE_ROWS))
+                        if tile == due or tile == len(tiles):
                             i, at = (np.concatenate(c) for c in zip(*waiting))
                             d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
                             lists.offer(mine[i], d, ords[rows[at]])

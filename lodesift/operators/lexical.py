@@ -29,9 +29,9 @@ from lodesift.runtime import cut
 K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 131_072
 #: Documents (and words) that a task holds at a time, terms it counts at a time, and queries of one packed row.
-BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 65_536, 8_000_000, 500_000, 256
-#: Most terms that are dense columns, and their cells in a block (12 bytes each); candidates that wait to be merged.
-MOST_DENSE, MOST_CELLS, MOST_WAITING = 512, 24_000_000, 2_000_000
+BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 131_072, 16_000_000, 500_000, 256
+#: Most terms that are dense columns, and their cells in a block (6 bytes each); candidates that wait to be merged.
+MOST_DENSE, MOST_CELLS, MOST_WAITING = 512, 48_000_000, 2_000_000
 PACKED = "g int, q binary, ord binary, key binary"
 _WORDS = re.compile("[a-z0-9]+")
 #: Each byte lowered where it is part of a word, else 0.
@@ -282,14 +282,19 @@ class Bm25Index:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = Best(size, k, True)
             for ords, lengths, term, doc, tf in _postings(batches, list(number), block_docs):
-                n = len(ords)
-                value = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / avgdl)))
+                n, norm = len(ords), K1 * (1 - B + B * lengths / avgdl)
+                value = idf[term] * (tf * (K1 + 1) / (tf + norm[doc]))
                 ends = np.searchsorted(term, np.arange(len(number) + 1)).tolist()
-                exact = np.zeros((dense, n))
+                rough, counts = np.zeros((dense, n), np.float32), np.zeros((dense, n), np.uint16 if tf.max(initial=0) < 65_536 else float)
                 for i in range(dense):
                     lo, hi = ends[term_of[i]], ends[term_of[i] + 1]
-                    exact[i, doc[lo:hi]] = value[lo:hi] * times[i]
-                rough = exact.astype(np.float32)
+                    rough[i, doc[lo:hi]] = value[lo:hi] * times[i]
+                    counts[i, doc[lo:hi]] = tf[lo:hi]
+
+                def exact(item: np.ndarray, doc: np.ndarray) -> np.ndarray:
+                    f = counts[item, doc].astype(float)
+                    return idf[term_of[item]] * (f * (K1 + 1) / (f + norm[doc])) * times[item]
+
                 spans = {}
                 for i in range(dense, len(items)):
                     lo, hi = ends[term_of[i]], ends[term_of[i] + 1]
@@ -340,12 +345,14 @@ class Bm25Index:
                         waiting, held = [], 0
                 if waiting:
                     _offered(lists, waiting, exact, frequent_of, ords, floor)
+                # not held while the next block is read
+                del rough, counts, exact, stack, spans, value, waiting
             yield from lists.packed()
 
         return run
 
 
-def _offered(lists: Best, waiting: list[tuple[int, np.ndarray, np.ndarray]], exact: np.ndarray, frequent_of: tuple[np.ndarray, ...], ords: np.ndarray, floor: float) -> None:
+def _offered(lists: Best, waiting: list[tuple[int, np.ndarray, np.ndarray]], exact: Callable[[np.ndarray, np.ndarray], np.ndarray], frequent_of: tuple[np.ndarray, ...], ords: np.ndarray, floor: float) -> None:
     """Offers (query, documents, what rare items add to them), scored in double precision; a document may be there twice."""
     q = np.repeat([w[0] for w in waiting], [len(w[1]) for w in waiting])
     doc, score = np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
@@ -355,7 +362,7 @@ def _offered(lists: Best, waiting: list[tuple[int, np.ndarray, np.ndarray]], exa
     dense, at = np.zeros(len(q)), np.arange(len(q))
     for j in range(int(many[q].max())):
         at = at[many[q[at]] > j]
-        dense[at] += exact[items[begin[q[at]] + j], doc[at]]
+        dense[at] += exact(items[begin[q[at]] + j], doc[at])
     score = dense + score
     some = score >= (floor if floor == -np.inf else 5e-10)
     lists.offer(q[some], score[some], ords[doc[some]])
@@ -392,7 +399,7 @@ def _dense_items(wanted: list[tuple[int, ...]], df: np.ndarray, n: int) -> int:
     sums, listed = np.concatenate([[0], np.cumsum(sums)]), np.concatenate([np.cumsum((often * df)[::-1])[::-1], [0]])
     some = np.arange(min(len(df), MOST_DENSE) + 1)
     # a number added to a column against a document on a list, which is touched several times
-    return int(some[np.argmin(0.5 * n * sums[some] + 12.0 * listed[some])])
+    return int(some[np.argmin(0.5 * n * sums[some] + 40.0 * listed[some])])
 
 
 def _postings(batches: Iterator[pa.RecordBatch], terms: list[str], most: int) -> Iterator[tuple[np.ndarray, ...]]:

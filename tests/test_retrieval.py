@@ -210,3 +210,18 @@ def test_many_documents_of_nearly_the_same_score(spark):
     for t in ("alpha beta", "alpha alpha beta", "beta"):
         rows = Bm25Index().build(docs(spark, texts)).search(ask(spark, t), 8).orderBy("rank").collect()
         assert [r.ord for r in rows] == [w[1] for w in okapi(texts, t)[:8]]
+
+
+def test_nearest_measures_small_batches_together(monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.uniform(-1, 1, (300, 6)), np.full((100, 6), 0.25) + rng.uniform(0, 1e-7, (100, 6))])
+    asked = [("a", [0.25] * 6), ("b", vectors[7].tolist()), ("c", [3e20] * 6)]
+    offers, offer = [], lexical.Best.offer
+    monkeypatch.setattr(lexical.Best, "offer", lambda self, q, *rest: (offers.append(len(q)), offer(self, q, *rest)))
+    batches = [pa.record_batch({"chunk_id": [str(i) for i in range(a, a + 10)], "ord": list(range(a, a + 10)), "vec": vectors[a : a + 10].tolist()}) for a in range(0, 400, 10)]
+    (got,) = _nearest(asked, 9)(iter(batches))
+    ords = np.frombuffer(got.column("ord")[0].as_py(), np.int64).reshape(3, 9)
+    for (_, v), mine in zip(asked, ords):
+        d = np.rint(np.sqrt(((vectors - np.array(v)) ** 2).sum(axis=1)) * 1e9)
+        assert mine.tolist() == np.lexsort((np.arange(400), d))[:9].tolist()
+    assert len(offers) == 1
