@@ -100,7 +100,8 @@ def positions(scores: DataFrame, order: str, *by: str) -> DataFrame:
 
     Rows are sorted by range over all tasks and numbered by task and place, so no group has to fit in one task.
     """
-    sorted_ = scores.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+    # sorting by range reads its input twice
+    sorted_ = cut(scores).repartitionByRange(*by, order).sortWithinPartitions(*by, order)
     numbered = cut(sorted_.withColumn("__at", F.monotonically_increasing_id()))
     task = F.shiftrightunsigned("__at", 33)
     per_task = numbered.groupBy(*by, task.alias("__task")).agg(F.min("__at").alias("__first"), F.count("*").alias("__c"))

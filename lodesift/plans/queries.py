@@ -932,7 +932,8 @@ def self_query_typed(spark, d):
 def _study(col: patterns.Collection, q: DataFrame, papers: DataFrame, lexical: DataFrame | None = None) -> DataFrame:
     """paper_hit@10 of the hybrid retriever with its interval; ``papers`` are the original chunks."""
     found = patterns.hybrid_rerank(col, q, K, lexical).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
-    r = q.where(F.size("relevant_chunk_ids") > 0).join(found, "qid").select(F.col("qid").alias("key"), "ids", F.col("relevant_chunk_ids").alias("relevant"))
+    # read three times by the metric: written, so that candidates are fused and reranked once
+    r = cut(q.where(F.size("relevant_chunk_ids") > 0).join(found, "qid").select(F.col("qid").alias("key"), "ids", F.col("relevant_chunk_ids").alias("relevant")))
     both = papers.select("chunk_id", "paper_id").unionByName(col.chunks.select("chunk_id", "paper_id")).distinct()
     return metrics.bootstrap_ci(metrics.paper_hit_at_k(r, both, K), "hit", "key")
 
@@ -940,7 +941,7 @@ def _study(col: patterns.Collection, q: DataFrame, papers: DataFrame, lexical: D
 @query("chunking_study")
 def chunking_study(spark, d):
     """Six chunkers, the same retriever and metric; a variant is a row."""
-    base, q, out = cut(chunks(spark, d)), questions(spark, d), None
+    base, q, out = cut(chunks(spark, d)), cut(questions(spark, d)), None
     texts = _texts(spark, d).where("paper_id IS NOT NULL").groupBy("paper_id").agg(F.max_by("full_text", "ord").alias("full_text"), F.min("ord").alias("o"))
     makers = {f"fixed_{n}": partial(chunking.chunk_fixed, budget=n) for n in (256, 512, 1024)}
     makers |= {"semantic": chunking.chunk_semantic, "late_512": lambda t: F.transform(chunking.chunk_late(t), lambda c: c["embed_text"])}

@@ -96,3 +96,26 @@ def test_long_context_by_size_sends_the_text_where_it_is_needed(spark, asked):
     col = make(spark, CallableLLM(lambda: lambda p: (p, 1, 2, 0, 0, 0.5)))
     sent = {r.qid: r.answer for r in patterns.long_context_by_size(col, asked).collect()}
     assert sent == {r.qid: r.answer for r in patterns.long_context(col, asked).collect()}
+
+
+def test_study_reranks_every_candidate_once(spark, tmp_path):
+    from lodesift.functions.providers import CallableReranker
+    from lodesift.plans import queries
+
+    log = str(tmp_path / "scored")
+
+    def make():
+        def score(questions, texts):
+            with open(log, "a") as f:
+                f.write("x" * len(questions))
+            return [float(len(t)) for t in texts]
+
+        return score
+
+    rows = [(f"p{i}#0", i, f"p{i}", f"term{i % 9} word{i}") for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ord long, paper_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"term{i}", [f"p{i}#0"]) for i in range(5)], "qid string, question string, relevant_chunk_ids array<string>")
+    col = patterns.Collection(chunks, reranker=CallableReranker(make))
+    pool = patterns.hybrid_ranked(col, asked, patterns.POOL).count()
+    assert queries._study(col, asked, chunks).count() == 1
+    assert len(open(log).read()) == pool
