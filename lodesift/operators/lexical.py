@@ -30,6 +30,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK = 131_072
 #: Documents (and words) that a task holds at a time, terms it counts at a time, and queries of one packed row.
 BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 131_072, 16_000_000, 500_000, 256
+#: Documents of which one maximum is kept while the best of a block are looked for, in blocks that have as many thousands.
+STRIPES = 64
 #: Most terms that are dense columns, and their cells in a block (6 bytes each); candidates that wait to be merged.
 MOST_DENSE, MOST_CELLS, MOST_WAITING = 512, 48_000_000, 2_000_000
 PACKED = "g int, q binary, ord binary, key binary"
@@ -229,7 +231,7 @@ class Bm25Index:
         for rows in query_blocks(queries, "question"):
             asked = [(q, sorted(_WORDS.findall((t or "").lower()))) for q, t in rows]
             vocabulary = sorted({w for _, ws in asked for w in ws})
-            known = spark.createDataFrame([(w,) for w in vocabulary], "term string")
+            known = spark.createDataFrame(pa.table({"term": pa.array(vocabulary, pa.string())}))
             terms = {r["term"]: (r["idf"], r["df"]) for r in self.idf.join(F.broadcast(known), "term").collect()} if vocabulary else {}
             if first is None:
                 # a query with fewer than k hits lacks at least k of these
@@ -285,7 +287,12 @@ class Bm25Index:
                 n, norm = len(ords), K1 * (1 - B + B * lengths / avgdl)
                 value = idf[term] * (tf * (K1 + 1) / (tf + norm[doc]))
                 ends = np.searchsorted(term, np.arange(len(number) + 1)).tolist()
-                rough, counts = np.zeros((dense, n), np.float32), np.zeros((dense, n), np.uint16 if tf.max(initial=0) < 65_536 else float)
+                # columns are laid out as stripes of one width, the rest of the last is no document
+                stripes = max(1, min(STRIPES, n // 1024))
+                width = -(-n // stripes)
+                rough = np.zeros((dense, stripes * width), np.float32)
+                most_tf = tf.max(initial=0)
+                counts = np.zeros((dense, n), np.uint8 if most_tf < 256 else np.uint16 if most_tf < 65_536 else float)
                 for i in range(dense):
                     lo, hi = ends[term_of[i]], ends[term_of[i] + 1]
                     rough[i, doc[lo:hi]] = value[lo:hi] * times[i]
@@ -301,7 +308,8 @@ class Bm25Index:
                     if lo < hi:
                         spans[i] = doc[lo:hi], value[lo:hi] * times[i]
                 sums = np.zeros(n)
-                stack = np.zeros((longest + 1, n), np.float32)
+                stack = np.zeros((longest + 1, stripes * width), np.float32)
+                stack[0, n:] = -np.inf
                 bounds = lists.worst(np.arange(size)).tolist()
                 waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
                 held = 0
@@ -309,7 +317,8 @@ class Bm25Index:
                     for j in range(same, len(frequent)):
                         np.add(stack[j], rough[frequent[j]], out=stack[j + 1])
                     base = stack[len(frequent)]
-                    highest = base.max()
+                    highs = base.reshape(stripes, width).max(axis=0)
+                    highest = highs.max()
                     tops: dict[float, np.ndarray] = {}
                     for q, rare, error in members:
                         least = max(floor, bounds[q] - 1e-8 - error)
@@ -329,11 +338,11 @@ class Bm25Index:
                             if len(members) > 1 or least <= floor:
                                 key = error
                                 if key not in tops:
-                                    tops[key] = _top(base, k, floor, 1e-8 + 2 * error)
+                                    tops[key] = _top(base, highs, k, floor, 1e-8 + 2 * error)
                                 top = tops[key]
                                 top = top[base[top] >= least]
                             else:
-                                top = _top(base, k, least, 1e-8 + 2 * error)
+                                top = _top(base, highs, k, least, 1e-8 + 2 * error)
                             some = top if some is None else np.concatenate([some, top])
                         if some is not None and len(some):
                             waiting.append((q, some, sums[some]))
@@ -368,15 +377,19 @@ def _offered(lists: Best, waiting: list[tuple[int, np.ndarray, np.ndarray]], exa
     lists.offer(q[some], score[some], ords[doc[some]])
 
 
-def _top(base: np.ndarray, k: int, least: float, error: float) -> np.ndarray:
-    """The places of all documents that may be among the best ``k`` by ``base`` and reach ``least``."""
-    few = base[: max(4 * k, len(base) // 16)]
-    if len(few) > k:
-        # the k-th best of some is no better than the k-th best of all
-        least = max(least, np.partition(few, len(few) - k)[len(few) - k] - error)
-    at = marked(base >= least)
+def _top(base: np.ndarray, highs: np.ndarray, k: int, least: float, error: float) -> np.ndarray:
+    """The places of all documents that may be among the best ``k`` by ``base`` and reach ``least``.
+
+    ``highs`` are the maxima of ``base`` over documents a whole number of ``len(highs)`` apart.
+    """
+    if len(highs) > k:
+        # as many documents as maxima reach the k-th greatest maximum
+        least = max(least, np.partition(highs, len(highs) - k)[len(highs) - k] - error)
+    some = (highs >= least).nonzero()[0]
+    values = base.reshape(-1, len(highs))[:, some]
+    i, j = (values >= least).nonzero()
+    at, mine = i * len(highs) + some[j], values[i, j]
     if len(at) > k:
-        mine = base[at]
         at = at[mine >= np.partition(mine, len(mine) - k)[len(mine) - k] - error]
     return at
 

@@ -225,3 +225,27 @@ def test_nearest_measures_small_batches_together(monkeypatch):
         d = np.rint(np.sqrt(((vectors - np.array(v)) ** 2).sum(axis=1)) * 1e9)
         assert mine.tolist() == np.lexsort((np.arange(400), d))[:9].tolist()
     assert len(offers) == 1
+
+
+def test_tops_of_stripes_are_those_of_all_documents():
+    rng = np.random.default_rng(5)
+    for stripes, width, kinds in ((1, 50, 9), (8, 500, 3), (64, 100, 1000), (4, 8, 2)):
+        base = rng.integers(0, kinds, stripes * width).astype(np.float32) / kinds
+        base[-3:] = -np.inf  # no documents
+        highs = base.reshape(stripes, width).max(axis=0)
+        for k in (1, 10, 60):
+            for least in (4e-10, 0.9):
+                got = lexical._top(base, highs, k, least, 1e-6)
+                worst = np.sort(base)[-k] if k <= len(base) else -np.inf
+                assert sorted(got) == np.flatnonzero(base >= np.float32(max(least, worst - 1e-6))).tolist()
+
+
+def test_bm25_asks_for_terms_without_python_rows(spark, monkeypatch):
+    index = Bm25Index().build(docs(spark, ["alpha beta", "beta gamma"]))
+    made = []
+    plain = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: made.append(type(data)) or plain(self, data, *a, **k))
+    queries_ = ask(spark, "beta")
+    made.clear()
+    index.search(queries_, 2)
+    assert made == [pa.Table, pa.Table]
