@@ -9,19 +9,33 @@ from pyspark.sql import functions as F
 
 from lodesift.functions.text import section_of, strip
 from lodesift.operators.chunking import chunk_text
-from lodesift.runtime import cut
+from lodesift.runtime import BROADCAST_ROWS, cut
 
+LARGE_BYTES = 32_000_000
 LEAST_CHARS, CHUNKS_PER_PAPER, PAPERS_PER_CATEGORY = 500, 3, 6
 
 
-def last_delivery(rows: DataFrame, key: str = "chunk_id", order: str = "ord") -> DataFrame:
+def last_delivery(rows: DataFrame, key: str = "chunk_id", order: str = "ord", least: int = LARGE_BYTES) -> DataFrame:
     """One row per key: the content of its last delivery at the place of its first.
 
-    Only (order) moves through the window twice; of a hot key the rows are reduced before the shuffle.
+    Only (order) moves through the window twice; of a hot key the rows are reduced before the shuffle. Of tables of
+    ``least`` bytes or more, in files enough for all cores, only the rows of repeated keys move: keys are counted by themselves first.
     """
     rest = [c for c in rows.columns if c not in (key, order)]
-    kept = rows.groupBy(key).agg(F.min(order).alias(order), F.max_by(F.struct(*rest), order).alias("__r"))
-    return kept.select(key, order, *(F.col(f"__r.`{c}`").alias(c) for c in rest))
+
+    def last(some: DataFrame) -> DataFrame:
+        kept = some.groupBy(key).agg(F.min(order).alias(order), F.max_by(F.struct(*rest), order).alias("__r"))
+        return kept.select(key, order, *(F.col(f"__r.`{c}`").alias(c) for c in rest))
+
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < least or len(rows.inputFiles()) < rows.sparkSession.sparkContext.defaultParallelism:
+        return last(rows)
+    again = cut(rows.groupBy(F.col(key).alias("__again")).count().where("count > 1").select("__again"))
+    if again.count() > BROADCAST_ROWS:
+        return last(rows)
+    same = F.col(key).eqNullSafe(F.col("__again"))
+    once = rows.join(F.broadcast(again), same, "left_anti").select(key, order, *rest)
+    return once.unionByName(last(rows.join(F.broadcast(again), same, "left_semi")))
 
 
 def select_papers(candidates: DataFrame, categories: list[str], quota: int = PAPERS_PER_CATEGORY, least: int = LEAST_CHARS) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of single-column key rows that may be broadcast (16 bytes a row: about 16 MB).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a row group in the tables that :func:`cut` writes.
+ROW_GROUP = 8_388_608
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -88,7 +90,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodesift-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # small row groups: whoever reads the table can share it out evenly
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -92,3 +92,16 @@ def test_last_delivery_and_selection(spark):
     assert got == [("A", "p1"), ("A", "p3"), ("B", "p4")]
     chunk = corpus.chunk_papers(corpus.select_papers(cand, ["A"], 1)).collect()
     assert [(c.chunk_id, c.section) for c in chunk] == [("p1#0", "abstract")]
+
+
+def test_only_repeated_chunks_move_in_a_large_table(spark, tmp_path):
+    rows = [(i, f"c{i}", f"text {i}") for i in range(400)] + [(500, "c7", "new"), (501, None, "x"), (502, None, "y"), (503, "c7", "newer")]
+    path = str(tmp_path / "rows.parquet")
+    spark.createDataFrame(rows, "ord long, chunk_id string, text string").repartition(8).write.parquet(path)
+    df = spark.read.parquet(path)
+    few = corpus.last_delivery(df, least=0)
+    want = sorted(tuple(r) for r in corpus.last_delivery(df).select("ord", "chunk_id", "text").collect())
+    assert sorted(tuple(r) for r in few.select("ord", "chunk_id", "text").collect()) == want
+    assert (7, "c7", "newer") in want and (501, None, "y") in want and len(want) == 401
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "LeftAnti" in plan and "LeftSemi" in plan
