@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +66,8 @@ def price_calls(calls: DataFrame, model: str = "model") -> DataFrame:
     tier that is used but has no price.
     """
     spark = calls.sparkSession
-    rows = [(m, *p) for m, p in PRICES.items()]
-    prices = spark.createDataFrame(rows, f"{model} string, p_in double, p_cached double, p_out double, p_create double")
+    known = {f"p_{c}": pa.array(p, pa.float64()) for c, p in zip(("in", "cached", "out", "create"), zip(*PRICES.values()))}
+    prices = spark.createDataFrame(pa.table({model: pa.array(list(PRICES), pa.string()), **known}))
     df = calls.join(F.broadcast(prices), model, "left")  # a handful of models
     tokens = {
         c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -137,25 +138,30 @@ def bootstrap_ci(scores: DataFrame, score: str, order: str, *by: str, resamples:
     def sums(v, n, block):
         import pandas as pd
 
-        out = []
-        for x, size, b in zip(v, n.tolist(), block.tolist()):
-            x = np.asarray(x, float)
+        out = [np.zeros(resamples) for _ in range(len(v))]
+        # groups of one size draw the same table
+        places: dict[tuple[int, int], list[int]] = {}
+        for i, at in enumerate(zip(n.tolist(), block.tolist())):
+            places.setdefault(at, []).append(i)
+        for (size, b), members in places.items():
+            values = [np.asarray(v[i], float) for i in members]
             low = b * most
             rng = np.random.default_rng(seed)
             step = max(1, 4_000_000 // size)
-            total = np.zeros(resamples)
             for r in range(0, resamples, step):
                 # integers() fills row by row, so drawing in stretches gives the same table
                 drawn = rng.integers(0, size, (min(step, resamples - r), size))
                 if size > most:
-                    mine = (drawn >= low) & (drawn < low + len(x))
-                    total[r : r + len(drawn)] = np.where(mine, x[np.where(mine, drawn - low, 0)], 0.0).sum(axis=1)
-                else:
-                    total[r : r + len(drawn)] = x[drawn].sum(axis=1)
-            out.append(total)
+                    mine = (drawn >= low) & (drawn < low + len(values[0]))
+                    drawn = np.where(mine, drawn - low, 0)
+                for i, x in zip(members, values):
+                    total = np.where(mine, x[drawn], 0.0) if size > most else x[drawn]
+                    out[i][r : r + len(drawn)] = total.sum(axis=1)
         return pd.Series(out)
 
-    drawn = packed.select(*groups, "__n", F.aggregate("__values", F.lit(0.0), lambda s, x: s + x).alias("__sum"), F.posexplode(sums("__values", "__n", "__block")).alias("__r", "__t"))
+    # in a select of its own: beside the generator the values would be added up once for every resample
+    drawn = packed.select(*groups, "__n", F.aggregate("__values", F.lit(0.0), lambda s, x: s + x).alias("__sum"), sums("__values", "__n", "__block").alias("__resamples"))
+    drawn = drawn.select(*groups, "__n", "__sum", F.posexplode("__resamples").alias("__r", "__t"))
     means = drawn.groupBy(*groups, "__n", "__r").agg((F.sum("__t") / F.col("__n")).alias("__resampled"), (F.sum("__sum") / F.col("__n")).alias("__average"))
     tail = (1 - level) / 2
     bounds = means.groupBy(*groups).agg(F.max("__average").alias("mean"), F.percentile("__resampled", F.array(F.lit(tail), F.lit(1 - tail))).alias("__p"))

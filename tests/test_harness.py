@@ -185,3 +185,20 @@ def test_providers_by_environment(monkeypatch):
     monkeypatch.setenv("LODESIFT_MODELS", "other")
     with pytest.raises(ValueError):
         models.default_embedder()
+
+
+def test_contexts_are_written_once_for_all_judges(spark, col, asked, monkeypatch):
+    written = []
+    plain = evaluate.cut
+    monkeypatch.setattr(evaluate, "cut", lambda df: written.append(df.columns) or plain(df))
+    scores, summary = evaluate.run_pattern(patterns.bm25, col, asked, MODEL, k=2, judges=MockLLM(default=GOOD))
+    assert sum("context" in c for c in written) == 1
+    assert {"question", "answer", "context", "faithfulness", "citation_usd"} <= set(scores.columns) and scores.count() == summary.first().n_questions == 3
+    assert all(r.context.startswith("[") for r in scores.collect())
+
+
+def test_groups_of_one_size_draw_one_table(spark):
+    x = [float(i % 5) / 5 for i in range(200)]
+    df = spark.createDataFrame([(g, i, v * s) for g, s in (("a", 1.0), ("b", 2.0)) for i, v in enumerate(x)], "g string, i int, s double")
+    got = {r.g: r for r in metrics.bootstrap_ci(df, "s", "i", "g").collect()}
+    assert (got["b"].mean, got["b"].lower, got["b"].upper) == pytest.approx((2 * got["a"].mean, 2 * got["a"].lower, 2 * got["a"].upper))
