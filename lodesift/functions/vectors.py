@@ -25,11 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_bytes(text: Column, n: int) -> Column:
     """The first ``n`` bytes of the text's SHA-256, repeated beyond 32, as doubles in 0..255."""
 
-    def spread(digest: Column) -> Column:
-        return F.array(*(F.conv(F.substring(digest, (i % 32) * 2 + 1, 2), 16, 10).cast("double") for i in range(n)))
+    def words(digest: Column) -> Column:
+        return F.array(*(F.conv(F.substring(digest, (i % 8) * 8 + 1, 8), 16, 10).cast("bigint") for i in range(-(-n // 4))))
 
-    # the one-element array binds the digest, so it is computed once
-    return F.flatten(F.transform(F.array(F.sha2(text, 256)), spread))
+    def spread(word: Column) -> Column:
+        return F.array(*(F.shiftright(word, shift).bitwiseAND(255).cast("double") for shift in (24, 16, 8, 0)))
+
+    # the one-element array binds the digest, so it is computed once; four bytes are read at a time
+    return F.slice(F.flatten(F.transform(F.flatten(F.transform(F.array(F.sha2(text, 256)), words)), spread)), 1, n)
 
 
 def mock_vector(text: Column, dim: int = 16) -> Column:

@@ -16,41 +16,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.functions.providers import Embedder, MockEmbedder
-from lodesift.operators.lexical import PACKED, Best, few_tasks, marked, merged, named, query_blocks
+from lodesift.operators.lexical import PACKED, Best, few_tasks, merged, named, query_blocks
 from lodesift.runtime import cut
 
 #: Rows and components that a task holds at a time, and queries and rows of one product.
-BLOCK_ROWS, BLOCK_CELLS, TILE_QUERIES, TILE_ROWS = 131_072, 16_000_000, 256, 2048
+BLOCK_ROWS, BLOCK_CELLS, TILE_QUERIES, TILE_ROWS = 131_072, 16_000_000, 512, 512
+#: Tiles from which the first limits are taken, whole ones only.
+FIRST_TILES = 16
 
 
 class VectorIndex:
     """Rows (chunk_id, ord, vec) ranked by L2 distance. All vectors have one length, checked once."""
 
-    def __init__(self, rows: DataFrame) -> None:
+    def __init__(self, rows: DataFrame, dim: int | None = None) -> None:
         vec = F.col("vec").cast("array<double>").alias("vec")
         self.rows = rows.select("chunk_id", "ord", vec)
         self.described = rows.select("chunk_id", "ord", vec, *(F.col(f"`{c}`") for c in rows.columns if c not in ("chunk_id", "ord", "vec")))
-        sizes = self.rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+        # what every vector is known to have needs no pass over them
+        sizes = self.rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first() if dim is None else (dim, dim)
         if sizes[0] is not None and sizes[0] != sizes[1]:
             raise ValueError(f"vectors of {sizes[0]} and {sizes[1]} components in one index")
         self.dim = sizes[0]
 
     @classmethod
     def of_texts(cls, chunks: DataFrame, text: str = "text", embedder: Embedder | None = None) -> VectorIndex:
-        return cls((embedder or MockEmbedder()).embed(chunks, text, "vec"))
+        embedder = embedder or MockEmbedder()
+        return cls(embedder.embed(chunks, text, "vec"), embedder.dim if isinstance(embedder, MockEmbedder) else None)
 
     def search(self, queries: DataFrame, k: int = 5, rows: DataFrame | None = None) -> DataFrame:
         """(qid, chunk_id, ord, distance, rank) of the ``k`` nearest rows to each query (qid, vec), ties by ord."""
         source = self.rows if rows is None else rows
         parts = []
         for block in query_blocks(queries.select("qid", F.col("vec").cast("array<double>").alias("vec")), "vec"):
-            if any(len(v) != self.dim for _, v in block) and self.dim is not None:
-                raise ValueError(f"query vectors must have {self.dim} components")
-            parts.append(_found(source, source, block, k, _nearest(block, k)))
+            parts.append(_written(self.found(block, k, source), source, block))
         if not parts:
             return source.sparkSession.createDataFrame([], "qid string, chunk_id string, ord bigint, distance double, rank bigint")
         return reduce(DataFrame.unionByName, parts)
 
+    def found(self, block: list[tuple], k: int, rows: DataFrame | None = None) -> DataFrame:
+        """(q, ord, distance, rank) for the queries ``block`` (qid, vec); q is their place."""
+        if any(len(v) != self.dim for _, v in block) and self.dim is not None:
+            raise ValueError(f"query vectors must have {self.dim} components")
+        return _found(self.rows if rows is None else rows, block, k, _nearest(block, k))
+
     def search_where(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Like :meth:`search`, each query (qid, vec, wanted) among the rows that match its own filter ``wanted``.
 
@@ -72,15 +80,18 @@ class VectorIndex:
             rows = self.described.select("chunk_id", "ord", "vec", *shown)
             vectors = [(q, a["vec"]) for q, a in block]
             scorer = _nearest(vectors, k, _matching(tests), np.array([place[f] for f in filters]))
-            parts.append(_found(rows, self.described, vectors, k, scorer))
+            parts.append(_written(_found(rows, vectors, k, scorer), self.described, vectors))
         if not parts:
             return self.rows.sparkSession.createDataFrame([], "qid string, chunk_id string, ord bigint, distance double, rank bigint")
         return reduce(DataFrame.unionByName, parts)
 
 
-def _found(rows: DataFrame, ids: DataFrame, block: list[tuple], k: int, scorer: Callable) -> DataFrame:
+def _found(rows: DataFrame, block: list[tuple], k: int, scorer: Callable) -> DataFrame:
+    return merged(few_tasks(rows).mapInArrow(scorer, PACKED), len(block), k, False, "distance")
+
+
+def _written(found: DataFrame, ids: DataFrame, block: list[tuple]) -> DataFrame:
     """(qid, chunk_id, ord, distance, rank) of a block of queries, written once, since callers read it more than once."""
-    found = merged(few_tasks(rows).mapInArrow(scorer, PACKED), len(block), k, False, "distance")
     return cut(named(found, [(q, i) for i, (q, _) in enumerate(block)], ids, "distance"))
 
 
@@ -112,13 +123,13 @@ def _matching(tests: list[list[tuple[int, object]]]) -> Callable[[pa.RecordBatch
 
 def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.ndarray] | None = None, kinds: np.ndarray | None = None):
     """Scores of a block of queries. With ``where`` and ``kinds`` a query of kind g sees the rows whose mark in column g is set."""
-    asked = np.array([v for _, v in block], float)
-    groups = [np.arange(len(block))] if kinds is None else [np.flatnonzero(kinds == g) for g in range(int(kinds.max()) + 1)]
+    asked, size = np.array([v for _, v in block], float), len(block)
+    groups = [np.arange(size)] if kinds is None else [np.flatnonzero(kinds == g) for g in range(int(kinds.max()) + 1)]
 
     squares = (asked * asked).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = Best(len(block), k, False)
+        lists = Best(size, k, False)
         for ords, every, fits in _rows(batches, where):
             for g, members in enumerate(groups):
                 rows = np.arange(len(every)) if fits is None else np.flatnonzero(fits[g])
@@ -128,33 +139,51 @@ def _nearest(block: list[tuple], k: int, where: Callable[[pa.RecordBatch], np.nd
                 square = (x * x).sum(axis=1)
                 largest = max(square.max(), squares[members].max()) if len(members) else 0.0
                 kind, unit = (np.float32, 1.2e-7) if largest < 1e30 else (np.float64, 2.3e-16)
-                tiles = [np.ascontiguousarray(np.column_stack([x[a : a + TILE_ROWS], square[a : a + TILE_ROWS]]).T, kind) for a in range(0, len(x), TILE_ROWS)]
+                tiles = [np.ascontiguousarray(np.column_stack([x[a : a + TILE_ROWS], square[a : a + TILE_ROWS], np.ones(len(x[a : a + TILE_ROWS]))]).T, kind) for a in range(0, len(x), TILE_ROWS)]
+                product = np.empty(TILE_QUERIES * TILE_ROWS, kind)
                 for lo in range(0, len(members), TILE_QUERIES):
                     mine = members[lo : lo + TILE_QUERIES]
                     q, own = asked[mine], squares[mine]
-                    # squared distances less the query's own square
-                    left = np.column_stack([-2 * q, np.ones(len(q))]).astype(kind)
+                    # squared distances less the query's own square and its limit: whoever is above 0 is out
+                    left = np.column_stack([-2 * q, np.ones(len(q)), np.zeros(len(q))]).astype(kind)
                     # the product form is rough; whoever may be among the k is measured exactly
-                    error = 1e-8 + (len(x[0]) + 4) * unit * 2 * (square.max() + own)
+                    error = 1e-8 + (len(x[0]) + 5) * unit * 4 * (square.max() + own)
                     limit, waiting, due = _limits(lists, mine, own, error), [], 1
+                    open_ = np.flatnonzero(np.isinf(limit))
+                    if len(open_) and tiles[0].shape[1] > k:
+                        # as many rows as minima over the first tiles are within the k-th least minimum
+                        first, due = left[open_], min(FIRST_TILES, max(1, len(tiles) - 1))
+                        low = reduce(np.minimum, (first @ wide for wide in tiles[:due]))
+                        limit[open_] = np.partition(low, k - 1, axis=1)[:, k - 1] + 2 * error[open_]
+                    left[:, -1] = -limit
                     for tile, wide in enumerate(tiles, 1):
-                        rough = left @ wide
-                        if tile == 1:
-                            open_ = np.flatnonzero(np.isinf(limit))
-                            if len(open_) and rough.shape[1] > k:
-                                limit[open_] = np.partition(rough[open_], k - 1, axis=1)[:, k - 1] + 2 * error[open_]
-                        i, at = np.divmod(marked((rough <= limit.astype(kind)[:, None]).ravel()), rough.shape[1])
+                        rough = product[: len(q) * wide.shape[1]]
+                        np.matmul(left, wide, out=rough.reshape(len(q), -1))
+                        i, at = np.divmod(_below_zero(rough), wide.shape[1])
                         waiting.append((i, at + (tile - 1) * TILE_ROWS))
                         if tile == due or tile == len(tiles):
                             i, at = (np.concatenate(c) for c in zip(*waiting))
                             d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
                             lists.offer(mine[i], d, ords[rows[at]])
-                            limit, waiting, due = np.minimum(limit, _limits(lists, mine, own, error)), [], 4 * due
+                            limit, waiting, due = np.minimum(limit, _limits(lists, mine, own, error)), [], 2 * due
+                            left[:, -1] = -limit
         yield from lists.packed()
 
     return run
 
 
+def _below_zero(values: np.ndarray) -> np.ndarray:
+    """The places of the values up to 0, few of many: a minimum of 16 is looked at first."""
+    even = len(values) & ~15
+    if not even:
+        return (values <= 0).nonzero()[0]
+    stripes = values[:even].reshape(16, -1)
+    low = (stripes.min(axis=0) <= 0).nonzero()[0]
+    i, j = (stripes[:, low] <= 0).nonzero()
+    at = i * stripes.shape[1] + low[j]
+    return at if even == len(values) else np.concatenate([at, even + (values[even:] <= 0).nonzero()[0]])
+
+
 def _limits(lists: Best, mine: np.ndarray, own: np.ndarray, error: np.ndarray) -> np.ndarray:
     """The rough squared distances, less the query's own square, beyond which no row is among the best."""
     return (lists.worst(mine) + 1e-9) ** 2 - own + error

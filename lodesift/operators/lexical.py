@@ -75,7 +75,7 @@ class Best:
         i, j = np.nonzero(np.arange(self.k) < self.size[asked, None])
         i = asked[i]
         q, order, key, ords = (np.concatenate(c) for c in ((i, q), (self.order[i, j], order), (self.key[i, j], key), (self.ords[i, j], ords)))
-        at = np.lexsort((ords, order, q))
+        at = _ranked(np.searchsorted(asked, q), order, ords)
         q = q[at]
         first = np.searchsorted(q, asked)
         count = np.diff(np.append(first, len(q)))
@@ -95,6 +95,18 @@ class Best:
             yield pa.RecordBatch.from_arrays([pa.array([lo // GROUP], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=["g", "q", "ord", "key"])
 
 
+def _ranked(q: np.ndarray, order: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """``np.lexsort((ords, order, q))``, where ``q`` counts from 0; ``ords`` are looked at in ties only."""
+    at = np.argsort(order)
+    at = at[np.argsort(q[at].astype(np.uint16) if q.max(initial=0) < 65_536 else q[at], kind="stable")]
+    same = (q[at[1:]] == q[at[:-1]]) & (order[at[1:]] == order[at[:-1]])
+    if same.any():
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        some = at[tied]
+        at[tied] = some[np.lexsort((ords[some], order[some], q[some]))]
+    return at
+
+
 def merged(packed: DataFrame, n: int, k: int, descending: bool, value: str, fill: list[int] = ()) -> DataFrame:
     """(q, ord, ``value``, rank) of the best ``k`` of each of ``n`` queries over all packed lists.
 
@@ -227,24 +239,31 @@ class Bm25Index:
             raise RuntimeError("search() before build()")
         spark = self.docs.sparkSession
         docs = self.docs if docs is None else docs
-        parts, first = [], None
+        parts = []
         for rows in query_blocks(queries, "question"):
-            asked = [(q, sorted(_WORDS.findall((t or "").lower()))) for q, t in rows]
-            vocabulary = sorted({w for _, ws in asked for w in ws})
-            known = spark.createDataFrame(pa.table({"term": pa.array(vocabulary, pa.string())}))
-            terms = {r["term"]: (r["idf"], r["df"]) for r in self.idf.join(F.broadcast(known), "term").collect()} if vocabulary else {}
-            if first is None:
-                # a query with fewer than k hits lacks at least k of these
-                first = [r[0] for r in docs.select("ord").orderBy("ord").limit(2 * k).collect()]
-            kinds: dict[tuple[str, ...], int] = {}
-            places = [(q, kinds.setdefault(tuple(w for w in ws if w in terms), len(kinds))) for q, ws in asked]
-            found = merged(few_tasks(docs).mapInArrow(self._scorer(list(kinds), terms, k), PACKED), len(kinds), k, True, "score", first)
+            found, places = self.found(rows, k, docs)
             # written once, since callers read it more than once
             parts.append(cut(named(found, places, docs, "score")))
         if not parts:
             return spark.createDataFrame([], "qid string, chunk_id string, ord bigint, score double, rank bigint")
         return reduce(DataFrame.unionByName, parts)
 
+    def found(self, rows: list[tuple], k: int, docs: DataFrame | None = None) -> tuple[DataFrame, list[tuple[str, int]]]:
+        """(q, ord, score, rank) for the queries ``rows`` (qid, question), and the q of each qid: those with the same terms share one."""
+        if self.docs is None:
+            raise RuntimeError("search() before build()")
+        spark = self.docs.sparkSession
+        docs = self.docs if docs is None else docs
+        asked = [(q, sorted(_WORDS.findall((t or "").lower()))) for q, t in rows]
+        vocabulary = sorted({w for _, ws in asked for w in ws})
+        known = spark.createDataFrame(pa.table({"term": pa.array(vocabulary, pa.string())}))
+        terms = {r["term"]: (r["idf"], r["df"]) for r in self.idf.join(F.broadcast(known), "term").collect()} if vocabulary else {}
+        # a query with fewer than k hits lacks at least k of these
+        first = [r[0] for r in docs.select("ord").orderBy("ord").limit(2 * k).collect()]
+        kinds: dict[tuple[str, ...], int] = {}
+        places = [(q, kinds.setdefault(tuple(w for w in ws if w in terms), len(kinds))) for q, ws in asked]
+        return merged(few_tasks(docs).mapInArrow(self._scorer(list(kinds), terms, k), PACKED), len(kinds), k, True, "score", first), places
+
     def _scorer(self, asked: list[tuple[str, ...]], terms: dict[str, tuple[float, int]], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         avgdl, below_zero, size = self.avgdl or 1.0, self.below_zero, len(asked)
         counted = [Counter(ws) for ws in asked]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,31 @@ def rrf(lists: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
     return _ranked(fused, k, F.round("score", 12).desc(), F.col("first")).drop("first")
 
 
+def rrf_numbered(lists: DataFrame, k: int, rrf_k: int = 60, group: int = 256) -> DataFrame:
+    """:func:`rrf` of lists (q, ord, rank, src) whose queries are numbered: (q, ord, score, rank), without names on the way."""
+
+    def run(table: pa.Table) -> pa.Table:
+        q, ords, rank, src = (table.column(c).to_numpy() for c in ("q", "ord", "rank", "src"))
+        # contributions are summed in list order, so that the sum does not depend on the shuffle
+        at = np.lexsort((src, ords, q))
+        q, ords, rank, src = q[at], ords[at], rank[at], src[at]
+        new = np.append(True, (q[1:] != q[:-1]) | (ords[1:] != ords[:-1]))
+        first, nth = np.flatnonzero(new), np.cumsum(new) - 1
+        score = np.zeros(len(first))
+        np.add.at(score, nth, 1.0 / (rrf_k + rank))
+        q, ords = q[first], ords[first]
+        # a list names a chunk once, so the first contribution has the least (src, rank)
+        at = np.lexsort((rank[first], src[first], -np.rint(1e12 * score), q))
+        q, ords, score = q[at], ords[at], score[at]
+        place = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        top = place <= k
+        columns = ((q, pa.int32()), (ords, pa.int64()), (score, pa.float64()), (place, pa.int64()))
+        return pa.table({name: pa.array(c[top], kind) for name, (c, kind) in zip(("q", "ord", "score", "rank"), columns)})
+
+    grouped = lists.groupBy(F.floor(F.col("q") / group).alias("g"))
+    return grouped.applyInArrow(run, "q int, ord bigint, score double, rank bigint")
+
+
 def best_rank(lists: DataFrame, k: int) -> DataFrame:
     """Each chunk at its best rank over the stacked lists; ties to whoever came first by list, then rank."""
     merged = lists.groupBy("qid", "chunk_id").agg(
@@ -53,6 +80,16 @@ def rerank(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, rer
     pool = ranked.select("qid", "chunk_id", "ord", F.col("rank").alias("old"))
     # texts last: they move once, and none moves with the pool
     pool = pool.join(queries.select("qid", "question"), "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
+    return _reranked(pool, k, reranker)
+
+
+def rerank_numbered(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, reranker: Reranker | None = None) -> DataFrame:
+    """:func:`rerank` of candidates (q, ord, rank) of numbered ``queries`` (q, qid, question), a block of them, which is broadcast."""
+    pool = ranked.select("q", "ord", F.col("rank").alias("old")).join(chunks.select("ord", "chunk_id", "text"), "ord")
+    return _reranked(pool.join(F.broadcast(queries), "q"), k, reranker)
+
+
+def _reranked(pool: DataFrame, k: int, reranker: Reranker | None) -> DataFrame:
     scored = (reranker or MockReranker()).score(pool, "question", "text", "score")
     return _ranked(scored, k, F.col("score").desc(), F.col("old")).select("qid", "chunk_id", "ord", "score", "rank")
 

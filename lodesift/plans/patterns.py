@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from lodesift.functions.providers import LLM, Embedder, MockEmbedder, MockLLM, M
 from lodesift.functions.text import fill, parse_action, parse_filter, parse_next_query, parse_subqueries, parse_typed_filter, python_repr, strip
 from lodesift.operators import ranking
 from lodesift.operators.dense import VectorIndex, dense_search
-from lodesift.operators.lexical import Bm25Index
+from lodesift.operators.lexical import Bm25Index, query_blocks
 from lodesift.runtime import cut
 from lodesift.schema import TRACE_STEP
 
@@ -155,9 +156,31 @@ def bm25(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
     return answer(col, questions, col.lexical(questions, k))
 
 
+def _fused(col: Collection, questions: DataFrame, k: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Both pools fused, (q, ord, score, rank), and the questions (q, qid, question), for each block of them.
+
+    Names and texts stay behind until only the best are left. Written once, since callers may read it more than once.
+    """
+    out = []
+    embedded = col.embedder.embed(questions.select("qid", "question"), "question", "vec")
+    for block in query_blocks(embedded.select("qid", F.struct("question", F.col("vec").cast("array<double>").alias("vec")).alias("a")), "a"):
+        lexical, kinds = col.bm25.found([(qid, a["question"]) for qid, a in block], POOL)
+        dense = col.vectors.found([(qid, a["vec"]) for qid, a in block], POOL)
+        columns = (list(range(len(block))), pa.int32()), ([p[1] for p in kinds], pa.int32()), ([b[0] for b in block], pa.string()), ([b[1]["question"] for b in block], pa.string())
+        asked = col.chunks.sparkSession.createDataFrame(pa.table({name: pa.array(c, kind) for name, (c, kind) in zip(("q", "kind", "qid", "question"), columns)}))
+        lexical = lexical.withColumnRenamed("q", "kind").join(F.broadcast(asked.select("q", "kind")), "kind")
+        lists = [one.select("q", "ord", "rank", F.lit(src).alias("src")) for src, one in enumerate((dense, lexical))]
+        out.append((cut(ranking.rrf_numbered(lists[0].unionByName(lists[1]), k)), asked.select("q", "qid", "question")))
+    return out
+
+
 def hybrid_ranked(col: Collection, questions: DataFrame, k: int, lexical: DataFrame | None = None) -> DataFrame:
     """Both pools fused; ``lexical`` is the lexical pool where it is known already."""
-    return ranking.rrf(ranking.stack(col.dense(questions, POOL), col.lexical(questions, POOL) if lexical is None else lexical), k)
+    parts = _fused(col, questions, k) if lexical is None else []
+    if not parts:
+        return ranking.rrf(ranking.stack(col.dense(questions, POOL), col.lexical(questions, POOL) if lexical is None else lexical), k)
+    named = (f.join(col.chunks.select("ord", "chunk_id"), "ord").join(F.broadcast(asked), "q").select("qid", "chunk_id", "ord", "score", "rank") for f, asked in parts)
+    return reduce(DataFrame.unionByName, named)
 
 
 def hybrid(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
@@ -174,7 +197,10 @@ def rerank(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:
 
 def hybrid_rerank(col: Collection, questions: DataFrame, k: int = 10, lexical: DataFrame | None = None) -> DataFrame:
     """The retriever of the studies: both rankers' pools, fused, reranked; no model call."""
-    return ranking.rerank(hybrid_ranked(col, questions, POOL, lexical), questions, col.chunks, k, col.reranker)
+    parts = _fused(col, questions, POOL) if lexical is None else []
+    if not parts:
+        return ranking.rerank(hybrid_ranked(col, questions, POOL, lexical), questions, col.chunks, k, col.reranker)
+    return reduce(DataFrame.unionByName, (ranking.rerank_numbered(f, asked, col.chunks, k, col.reranker) for f, asked in parts))
 
 
 def hyde(col: Collection, questions: DataFrame, k: int = 10) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodesift.functions.providers import MockLLM
+from lodesift.operators import dense, lexical
 from lodesift.plans import patterns
 
 TEXTS = ["speculative decoding of language models", "convolutional networks for images", "learning from human feedback", "gradient descent", "transformers"]
@@ -34,6 +35,21 @@ def test_lexical_first_and_fused_within_pools(spark, asked):
     assert set(ids(patterns.hybrid(make(spark), asked, 5))) <= {f"c{i}" for i in range(5)}
 
 
+def test_hybrid_rerank_names_only_what_is_left_of_the_pools(spark, asked, monkeypatch):
+    asked = asked.unionByName(spark.createDataFrame([("q3", "Gradient!"), ("q4", "of"), ("q5", "?")], asked.schema))
+    col = make(spark)
+    want = sorted(patterns.hybrid_rerank(col, asked, 3, col.lexical(asked, patterns.POOL)).collect())
+    fused = sorted(patterns.hybrid_ranked(col, asked, 4, col.lexical(asked, patterns.POOL)).collect())
+
+    def never(*_):
+        raise AssertionError("whole pools were named")
+
+    monkeypatch.setattr(lexical, "named", never)
+    monkeypatch.setattr(dense, "named", never)
+    assert sorted(patterns.hybrid_rerank(make(spark), asked, 3).collect()) == want and len(want) == 15
+    assert sorted(patterns.hybrid_ranked(make(spark), asked, 4).collect()) == fused
+
+
 def test_self_query_filters_below_the_ranking(spark, asked):
     col = make(spark, MockLLM(canned={"Which of the fields": '{"category": "cs.CV"}'}))
     row = patterns.self_query(col, asked, 10).where("qid = 'q1'").first()

@@ -249,3 +249,40 @@ def test_bm25_asks_for_terms_without_python_rows(spark, monkeypatch):
     made.clear()
     index.search(queries_, 2)
     assert made == [pa.Table, pa.Table]
+
+
+def test_numbered_fusion_equals_fusion_by_names(spark):
+    # all pairs of ranks in two lists, and chunks that one list alone has
+    pairs = [(i, j) for i in range(1, 13) for j in range(1, 13)]
+    rng = random.Random(3)
+    rows = []
+    for q in range(300):
+        for src in range(2):
+            ords = rng.sample(range(30), 12)
+            rows += [(q, f"q{q}", o, f"c{o}", rank, src) for rank, o in enumerate(ords, 1)]
+    for n, (i, j) in enumerate(pairs):
+        rows += [(1000 + n // 12, f"q{1000 + n // 12}", n, f"c{n}", r, src) for src, r in enumerate((i, j))]
+    lists = spark.createDataFrame(rows, "q int, qid string, ord long, chunk_id string, rank long, src int")
+    want = {(r.qid, r.ord, r.rank): r.score for r in ranking.rrf(lists, 10, 7).collect()}
+    got = {(f"q{r.q}", r.ord, r.rank): r.score for r in ranking.rrf_numbered(lists.select("q", "ord", "rank", "src"), 10, 7).collect()}
+    assert got == want
+
+
+def test_products_find_the_nearest_across_tiles_and_blocks(spark):
+    rng = np.random.default_rng(5)
+    rows, asked = rng.integers(0, 3, (20_000, 6)).astype(float), rng.integers(0, 3, (300, 6)).astype(float)
+    batches = [pa.RecordBatch.from_arrays([pa.array([""] * 2500), pa.array(np.arange(lo, lo + 2500)), pa.array(list(rows[lo : lo + 2500]))], names=["chunk_id", "ord", "vec"]) for lo in range(0, 20_000, 2500)]
+    found = [b for b in _nearest([(str(i), v) for i, v in enumerate(asked)], 7)(iter(batches))]
+    ords = np.concatenate([np.frombuffer(b.column(2)[0].as_py(), np.int64) for b in found]).reshape(300, 7)
+    distances = np.rint(1e9 * np.sqrt(((asked[:, None, :] - rows[None]) ** 2).sum(axis=2)))
+    assert (ords == np.argsort(distances, axis=1, kind="stable")[:, :7]).all()
+
+
+def test_texts_of_known_length_are_embedded_without_a_pass_for_it(spark):
+    df = docs(spark, ["one", "two", None])
+    spark.sparkContext.setJobGroup("index", "building an index")
+    index = VectorIndex.of_texts(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("index"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert index.dim == 16 and jobs == 0
+    assert [r[0] for r in index.rows.selectExpr("size(vec)").collect()] == [16] * 3
