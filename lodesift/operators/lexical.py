@@ -33,7 +33,7 @@ BLOCK_DOCS, BLOCK_WORDS, MOST_TERMS, GROUP = 131_072, 16_000_000, 500_000, 256
 #: Documents of which one maximum is kept while the best of a block are looked for, in blocks that have as many thousands.
 STRIPES = 64
 #: Most terms that are dense columns, and their cells in a block (6 bytes each); candidates that wait to be merged.
-MOST_DENSE, MOST_CELLS, MOST_WAITING = 512, 48_000_000, 2_000_000
+MOST_DENSE, MOST_CELLS, MOST_WAITING = 512, 48_000_000, 500_000
 PACKED = "g int, q binary, ord binary, key binary"
 _WORDS = re.compile("[a-z0-9]+")
 #: Each byte lowered where it is part of a word, else 0.
@@ -143,15 +143,6 @@ def named(found: DataFrame, places: list[tuple[str, int]], docs: DataFrame, valu
     return found.join(docs.select("ord", "chunk_id"), "ord").join(asked, "q").select("qid", "chunk_id", "ord", value, "rank")
 
 
-def marked(mask: np.ndarray) -> np.ndarray:
-    """``flatnonzero`` of a mask of few marks, which looks at eight at a time."""
-    even = len(mask) & ~7
-    some = (mask[:even].view(np.uint64) != 0).nonzero()[0]
-    at = (some[:, None] * 8 + np.arange(8)).ravel()
-    at = at[mask[at]]
-    return at if even == len(mask) else np.concatenate([at, even + mask[even:].nonzero()[0]])
-
-
 def few_tasks(df: DataFrame) -> DataFrame:
     """``df`` in a task for each core: every task keeps a list of its own for every query."""
     return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
@@ -326,6 +317,7 @@ class Bm25Index:
                     lo, hi = ends[term_of[i]], ends[term_of[i] + 1]
                     if lo < hi:
                         spans[i] = doc[lo:hi], value[lo:hi] * times[i]
+                del term, doc, tf, value
                 sums = np.zeros(n)
                 stack = np.zeros((longest + 1, stripes * width), np.float32)
                 stack[0, n:] = -np.inf
@@ -374,7 +366,7 @@ class Bm25Index:
                 if waiting:
                     _offered(lists, waiting, exact, frequent_of, ords, floor)
                 # not held while the next block is read
-                del rough, counts, exact, stack, spans, value, waiting
+                del rough, counts, exact, stack, spans, waiting
             yield from lists.packed()
 
         return run
@@ -440,18 +432,22 @@ def _postings(batches: Iterator[pa.RecordBatch], terms: list[str], most: int) ->
     rows = seen = 0
 
     def block() -> tuple[np.ndarray, ...]:
-        ids, sizes = np.concatenate(words), np.concatenate(lengths)
-        here = np.flatnonzero(ids >= 0)
-        doc = np.repeat(np.arange(len(sizes)), sizes)[here]
-        key, tf = np.unique(ids[here].astype(np.int64) * len(sizes) + doc, return_counts=True)
-        return np.concatenate(ords), sizes.astype(float), key // len(sizes), key % len(sizes), tf.astype(float)
+        nonlocal words, lengths, ords, rows, seen
+        ids, sizes, places = np.concatenate(words), np.concatenate(lengths), np.concatenate(ords)
+        # not held while the block is scored
+        words, lengths, ords, rows, seen = [], [], [], 0, 0
+        here = ids >= 0
+        key = ids[here].astype(np.int64) * len(sizes)
+        key += np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[here]
+        del ids, here
+        key, tf = np.unique(key, return_counts=True)
+        return places, sizes.astype(float), key // len(sizes), key % len(sizes), tf.astype(float)
 
     for whole in batches:
         for lo in range(0, whole.num_rows, most):
             batch = whole.slice(lo, most)
             if rows and rows + batch.num_rows > most:
                 yield block()
-                words, lengths, ords, rows, seen = [], [], [], 0, 0
             found, sizes = words_of(batch.column(2))
             words.append(pc.fill_null(pc.index_in(found, value_set=known), -1).to_numpy(zero_copy_only=False))
             lengths.append(sizes)
@@ -459,6 +455,5 @@ def _postings(batches: Iterator[pa.RecordBatch], terms: list[str], most: int) ->
             rows, seen = rows + batch.num_rows, seen + len(found)
             if seen >= BLOCK_WORDS:
                 yield block()
-                words, lengths, ords, rows, seen = [], [], [], 0, 0
     if rows:
         yield block()
